@@ -80,24 +80,38 @@ def hits(answer: Column, words: Column) -> Column:
     return F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda k: F.contains(answer, k))
 
 
-def check_must_contain(answer: Column, words: Column) -> Column:
-    h, n = hits(answer, words), F.size(F.coalesce(words, F.array().cast("array<string>")))
+def _must_from(h: Column, words: Column) -> Column:
+    n = F.size(F.coalesce(words, F.array().cast("array<string>")))
     score = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.size(h) / F.greatest(n, F.lit(1)) * 2))
     return _check((n == 0) | (F.size(h) > 0), score, F.array_join(h, ","))
 
 
-def check_must_not_contain(answer: Column, words: Column) -> Column:
-    h = hits(answer, words)
+def check_must_contain(answer: Column, words: Column) -> Column:
+    return _must_from(hits(answer, words), words)
+
+
+def _must_not_from(h: Column) -> Column:
     return _binary(F.size(h) == 0, F.array_join(h, ","))
 
 
-def check_refusal(answer: Column, should_refuse: Column, markers: Sequence[str] = lx.REFUSAL_MARKERS) -> Column:
-    said = tx.contains_any(answer, markers)
+def check_must_not_contain(answer: Column, words: Column) -> Column:
+    return _must_not_from(hits(answer, words))
+
+
+def _refusal_from(said: Column, should_refuse: Column) -> Column:
     return _binary(said == F.coalesce(should_refuse, F.lit(False)), F.when(said, F.lit("refused")).otherwise(F.lit("answered")))
 
 
+def check_refusal(answer: Column, should_refuse: Column, markers: Sequence[str] = lx.REFUSAL_MARKERS) -> Column:
+    return _refusal_from(tx.contains_any(answer, markers), should_refuse)
+
+
+def _promise_from(hit: Column) -> Column:
+    return _binary(hit.isNull(), F.coalesce(hit, F.lit("")))
+
+
 def check_over_promise(answer: Column, phrases: Sequence[str] = lx.OVER_PROMISES) -> Column:
-    return _binary(~tx.contains_any(answer, phrases), F.coalesce(tx.first_hit(answer, phrases), F.lit("")))
+    return _promise_from(tx.first_hit(answer, phrases))
 
 
 def pii_matches(answer: Column, patterns: Mapping[str, str] = lx.PII_PATTERNS, limit: int = 3) -> Column:
@@ -107,12 +121,17 @@ def pii_matches(answer: Column, patterns: Mapping[str, str] = lx.PII_PATTERNS, l
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
 
 
+def pii_kinds(answer: Column, patterns: Mapping[str, str] = lx.PII_PATTERNS) -> Column:
+    """Comma-separated kinds that occur; only tests for a match, without collecting it."""
+    return F.concat_ws(",", *[F.when(answer.rlike("(?U)" + p), F.lit(k)) for k, p in patterns.items()])
+
+
+def _pii_from(kinds: Column) -> Column:
+    return _binary(kinds == "", kinds)
+
+
 def check_pii_leak(answer: Column, patterns: Mapping[str, str] = lx.PII_PATTERNS) -> Column:
-    leak = F.lit(False)
-    for p in patterns.values():
-        leak = leak | answer.rlike("(?U)" + p)
-    kinds = F.array_join(F.map_keys(pii_matches(answer, patterns)), ",")
-    return _binary(~leak, F.when(leak, kinds).otherwise(F.lit("")))
+    return _pii_from(pii_kinds(answer, patterns))
 
 
 def check_intent(answer: Column, expected: Column, labels: Sequence[str] = ()) -> Column:
@@ -130,26 +149,36 @@ def check_json_keys(parsed: Column, required: Sequence[str]) -> Column:
     return _check(parsed.isNotNull() & (F.size(missing) == 0), score, F.array_join(missing, ","))
 
 
+def scan_answer(answer: Column, must: Column, must_not: Column, refusals: Sequence[str] = lx.REFUSAL_MARKERS,
+                promises: Sequence[str] = lx.OVER_PROMISES) -> Column:
+    """Everything the rules need from the answer text, each pattern tried once."""
+    return F.struct(hits(answer, must).alias("must"), hits(answer, must_not).alias("must_not"), tx.contains_any(answer, refusals).alias("refused"),
+                    tx.first_hit(answer, promises).alias("promise"), pii_kinds(answer).alias("pii"))
+
+
+def rule_verdict(scan: Column, answer: Column, must: Column, should_refuse: Column, expected_intent: Column, labels: Sequence[str] = ()) -> Column:
+    """struct<passed, score, checks> from a scan. Checks that do not apply are left out of verdict and mean."""
+    no_words = must.isNull() | (F.size(must) == 0)
+    want = F.coalesce(should_refuse, F.lit(False))
+    has_intent = expected_intent.isNotNull() & (expected_intent != "")
+    named = [("must_contain", _must_from(scan["must"], must), None), ("must_not_contain", _must_not_from(scan["must_not"]), None),
+             ("refusal", _refusal_from(scan["refused"], want), want | ~no_words), ("over_promise", _promise_from(scan["promise"]), None),
+             ("pii", _pii_from(scan["pii"]), None), ("intent", check_intent(answer, expected_intent, labels), has_intent)]
+    passed, total, n = F.lit(True), F.lit(0.0), F.lit(0)
+    for _, c, applies in named:
+        on = F.lit(True) if applies is None else F.coalesce(applies, F.lit(False))
+        passed = passed & (~on | c["passed"])
+        total = total + F.when(on, c["score"]).otherwise(0.0)
+        n = n + on.cast("int")
+    entries = F.array_compact(F.array(*[F.when(F.lit(True) if a is None else a, F.struct(F.lit(k).alias("key"), c.alias("value"))) for k, c, a in named]))
+    return F.struct(passed.alias("passed"), (total / n).alias("score"), F.map_from_entries(entries).alias("checks"))
+
+
 def evaluate_rules(answer: Column, must: Column, must_not: Column, should_refuse: Column, expected_intent: Column,
                    refusals: Sequence[str] = lx.REFUSAL_MARKERS, promises: Sequence[str] = lx.OVER_PROMISES,
                    labels: Sequence[str] = ()) -> Column:
-    """All checks of one answer: struct<passed, score, checks>. Checks that do not apply are left out of both."""
-    no_words = must.isNull() | (F.size(must) == 0)
-    want = F.coalesce(should_refuse, F.lit(False))
-    named = [
-        ("must_contain", check_must_contain(answer, must)),
-        ("must_not_contain", check_must_not_contain(answer, must_not)),
-        ("refusal", F.when(want | ~no_words, check_refusal(answer, want, refusals))),
-        ("over_promise", check_over_promise(answer, promises)),
-        ("pii", check_pii_leak(answer)),
-        ("intent", F.when(expected_intent.isNotNull() & (expected_intent != ""),
-                          check_intent(answer, expected_intent, labels))),
-    ]
-    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), c.alias("value")) for n, c in named]),
-                       lambda e: e["value"].isNotNull())
-    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["value"]["score"])
-    return F.struct(F.forall(entries, lambda e: e["value"]["passed"]).alias("passed"),
-                    (total / F.size(entries)).alias("score"), F.map_from_entries(entries).alias("checks"))
+    """All checks of one answer as one column. Over whole tables use ``evaluation.judge_answers``, which scans each text once."""
+    return rule_verdict(scan_answer(answer, must, must_not, refusals, promises), answer, must, should_refuse, expected_intent, labels)
 
 
 # ---- small predicates ----

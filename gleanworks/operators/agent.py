@@ -11,6 +11,13 @@ from ..functions import text as tx
 from ..ordering import exact_quantiles, rank_in_groups, running_sums, top_per_group, with_halo
 from ..session import one_row
 
+
+
+def _seconds(col: str) -> Column:
+    """Epoch seconds of a timestamp with or without time zone."""
+    return F.col(col).cast("timestamp").cast("double")
+
+
 # ---- scoring agent tasks ----
 
 
@@ -131,7 +138,7 @@ def guardrail_replay(steps: DataFrame, limits: Mapping[str, float] = lx.GUARD_LI
     s = running_sums(in_turn, ["session_id"], order, day, {"cost_sum": F.col("cost"), "token_sum": F.col("tokens"), "turns": F.col("new_turn")})
     start = steps.groupBy("session_id", "turn").agg(F.min("ts").alias("turn_start"))
     s = s.join(start, ["session_id", "turn"])
-    elapsed = F.col("ts").cast("double") - F.col("turn_start").cast("double")
+    elapsed = _seconds("ts") - _seconds("turn_start")
     gate = (F.when(F.col("steps") > limits["steps"], F.lit("steps"))
             .when(F.col("tools") - F.col("is_tool").cast("int") > limits["tools"], F.lit("tools"))
             .when(elapsed > limits["wall_s"], F.lit("wall_clock"))
@@ -249,7 +256,7 @@ def link_orders(orders: DataFrame, sessions: DataFrame, key: str = "customer") -
 
 def load_summary(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """n, n_ok, n_fail, wall_s, qps, latency percentiles and mean over successful requests. ``log``: ts, ms, ok."""
-    wall = F.max(F.col("ts").cast("double")) - F.min(F.col("ts").cast("double"))
+    wall = F.max(_seconds("ts")) - F.min(_seconds("ts"))
     base = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_done"), F.count(F.when(F.col("ok"), 1)).alias("n_ok"), F.count(F.when(~F.col("ok"), 1)).alias("n_fail"),
                                   wall.alias("wall_s"), F.avg(F.when(F.col("ok"), F.col("ms"))).alias("mean"))
     base = base.withColumn("qps", F.col("n_done") / F.nullif("wall_s", F.lit(0.0)))
@@ -267,7 +274,7 @@ def best_concurrency(summary: DataFrame, key: str) -> DataFrame:
 
 def generation_latency(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First-token percentiles by index and tokens per second. ``log``: ttft_ms, tokens, ts."""
-    wall = F.max(F.col("ts").cast("double")) - F.min(F.col("ts").cast("double"))
+    wall = F.max(_seconds("ts")) - F.min(_seconds("ts"))
     base = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ok"), (F.sum("tokens") / F.nullif(wall, F.lit(0.0))).alias("tokens_per_s"))
     return base.join(exact_quantiles(log, keys, "ttft_ms", {"ttft_p50": (0.5, "index"), "ttft_p95": (0.95, "index")}), list(keys))
 

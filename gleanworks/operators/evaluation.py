@@ -16,13 +16,21 @@ def attach_reference(answers: DataFrame, eval_set: DataFrame, cols: Sequence[str
     return answers.join(eval_set.select(key, *cols), key, "left")
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    A plain projection may be merged into every later use of the column, which would repeat text scans; a generator
+    over a one-element array is not merged and costs nothing but a copy of the row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def judge_answers(samples_with_answers: DataFrame, refusals: Sequence[str] = lx.REFUSAL_MARKERS,
                   promises: Sequence[str] = lx.OVER_PROMISES, labels: Sequence[str] = ()) -> DataFrame:
     """Add ``rule``: struct<passed, score, checks>."""
     c = F.col
-    return samples_with_answers.withColumn("rule", ru.evaluate_rules(
-        c("model_answer"), c("must_contain"), c("must_not_contain"), c("should_refuse"), c("expected_intent"),
-        refusals, promises, labels))
+    scanned = compute_once(samples_with_answers, "_scan", ru.scan_answer(c("model_answer"), c("must_contain"), c("must_not_contain"), refusals, promises))
+    return scanned.withColumn("rule", ru.rule_verdict(c("_scan"), c("model_answer"), c("must_contain"), c("should_refuse"), c("expected_intent"), labels)).drop("_scan")
 
 
 def flatten(records: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool =
         n_q = max(1, -(-queries.count() // block))
         n_i = max(1, -(-index.count() // 50_000))
         q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
-        i = index.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(n_i)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+        i = index.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(n_i)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 
         def block_pair(qp: pd.DataFrame, ip: pd.DataFrame) -> pd.DataFrame:
             out = list(search(qp, ip))

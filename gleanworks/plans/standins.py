@@ -155,7 +155,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.concat(F.lit("img/"), i.cast("string"))).alias("images"), F.col("text").alias("model_answer"),
         (F.col("n_chars") * 0.125 + i % 700).cast("double").alias("latency_ms"), F.when(i % 29 == 0, F.lit("timeout")).otherwise(F.lit("")).alias("error"),
         judge.alias("judge"), must.alias("must_contain"), F.array(*[F.lit(w) for w in MUST_NOT]).alias("must_not_contain"), (i % 7 == 0).alias("should_refuse"),
-        F.when(i % 5 == 0, F.lit("tion")).alias("expected_intent"), F.when(i % 4 != 0, F.upper(F.substring("text", 1, 40))).alias("reference"))
+        F.when(i % 5 == 0, F.lit("tion")).alias("expected_intent"), F.when(i % 4 != 0, F.concat(F.lit("ref: "), F.substring("text", 1, 40))).alias("reference"))
     return ev.judge_answers(df, REFUSALS, PROMISES)
 
 
