@@ -27,6 +27,7 @@ def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple]
     """(seq, key, shop, period, outcome, charged) for every reported event.
 
     ``events``: seq, key, shop, period, amount (decimal), ts; ``subs``: shop, plan, subscription_id, capped_amount (decimal).
+    A key stands for one charge, so repeated reports of a key carry the same amount.
     Order of decisions per shop and period: duplicate key, cap, quota, subscription. A rejected charge does not use up cap, so
     the outcome depends on order: all shops are advanced together, one crossing of the cap per round. After a crossing every
     later amount above the remaining cap is rejected at once (the rest of the cap only shrinks), which ends equal-price shops in

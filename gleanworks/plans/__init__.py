@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "packing", "evaluation", "retrieval", "operations")
+MODULES = ("cleaning", "packing", "evaluation", "retrieval", "operations", "streams")
 
 
 def load():

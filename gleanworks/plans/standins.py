@@ -188,17 +188,22 @@ def steps(spark: SparkSession, folder: str) -> DataFrame:
 PLANS = {"free": (0.0, 5, 0.0), "standard": (99.0, 10, 0.15), "pro": (399.0, 20, 0.10)}
 USAGE = """usage_events AS (
   SELECT event_id AS seq, 'u' || CAST(user_id AS VARCHAR) AS shop, strftime(ts, '%Y-%m') AS period,
-    CAST(user_id AS VARCHAR) || '|' || regexp_extract(props, '[0-9]+') AS key, CAST(value AS DECIMAL(10,4)) AS amount, ts FROM events),
+    CAST(user_id AS VARCHAR) || '|' || regexp_extract(props, '[0-9]+') AS key, CAST((user_id % 13 + CAST(regexp_extract(props, '[0-9]+') AS BIGINT)) / 4.0 AS DECIMAL(10,4)) AS amount, ts FROM events),
 subs AS (
   SELECT 'u' || CAST(c_custkey AS VARCHAR) AS shop, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'free' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'pro' ELSE 'standard' END AS plan,
     CASE WHEN c_nationkey % 6 = 0 THEN 'frozen' ELSE 'active' END AS status, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE 'sub' || CAST(c_custkey AS VARCHAR) END AS subscription_id,
     CAST(CASE WHEN c_acctbal > 0 THEN round(c_acctbal / 10, 2) ELSE 0 END AS DECIMAL(10,4)) AS capped_amount FROM customer)"""
 
 
+def amount_column():
+    """One charge per key: the same key always carries the same amount."""
+    return ((F.col("user_id") % 13 + F.regexp_extract("props", "[0-9]+", 0).cast("long")) / 4.0).cast("decimal(10,4)")
+
+
 def usage_events(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("shop"), F.date_format("ts", "yyyy-MM").alias("period"),
-                    F.concat_ws("|", F.col("user_id").cast("string"), F.regexp_extract("props", "[0-9]+", 0)).alias("key"), F.col("value").cast("decimal(10,4)").alias("amount"), "ts")
+                    F.concat_ws("|", F.col("user_id").cast("string"), F.regexp_extract("props", "[0-9]+", 0)).alias("key"), amount_column().alias("amount"), "ts")
 
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,14 +94,14 @@ USAGE_OUT = _schema(("seq", T.LongType()), ("shop", T.StringType()), ("key", T.S
 
 
 class UsageMeter(StatefulProcessor):
-    """Quota, cap and seen keys of one shop and period. Keys expire after ``ttl_ms``."""
+    """Quota, cap and seen keys of one shop and period. Keys expire after ``ttl_ms`` if it is given."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("account", _schema(("sessions", T.LongType()), ("usage", T.StringType())))
-        self.keys = handle.getMapState("keys", _schema(("key", T.StringType())), _schema(("at", T.LongType())), self.ttl_ms)
+        self.keys = handle.getMapState("keys", _schema(("key", T.StringType())), _schema(("at", T.LongType())), *([self.ttl_ms] if self.ttl_ms else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
@@ -132,7 +132,10 @@ class UsageMeter(StatefulProcessor):
         pass
 
 
-def usage_meter(events: DataFrame, ttl_ms: int = 40 * 86_400_000) -> DataFrame:
-    """``events``: seq, key, shop, period, amount decimal, ts, included, subscription_id, cap (plan columns joined before)."""
+def usage_meter(events: DataFrame, ttl_ms: int | None = 40 * 86_400_000) -> DataFrame:
+    """``events``: seq, key, shop, period, amount decimal, ts, included, subscription_id, cap (plan columns joined before).
+
+    State with a time to live keeps the stream's clock running, so a bounded run over existing data passes ``ttl_ms=None``.
+    """
     return events.groupBy("shop", "period").transformWithStateInPandas(
-        statefulProcessor=UsageMeter(ttl_ms), outputStructType=USAGE_OUT, outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=UsageMeter(ttl_ms), outputStructType=USAGE_OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
