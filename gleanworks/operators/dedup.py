@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..ordering import first_wins
-from ..session import cut_lineage, one_row
+from ..session import cut_lineage, one_row, spread
 from . import graph, simjoin
 
 PEEL_ABOVE = 512
@@ -127,7 +127,7 @@ def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5
     """(seq, kept, note): note is dup_pair, dup_image, same_image_diff_text, dup_text or NULL."""
     nodes = cut_lineage(_nodes(samples, hashes))
     first = cut_lineage(_collapse(nodes.drop("text")))
-    texts = cut_lineage(nodes.filter("seq = tid").select("tid", "text"))
+    texts = spread(cut_lineage(nodes.filter("seq = tid").select("tid", "text")))
     real = F.length("text") > 0
     sigs = cut_lineage(simjoin.set_signatures(texts.filter(real), n, text))
     exact = texts.filter(real).select("tid", F.col("tid").alias("key"))  # texts shorter than n still equal themselves

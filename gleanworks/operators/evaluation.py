@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import lexicons as lx
 from ..functions import rules as ru, text as tx
+from ..session import compute_once
 from ..ordering import exact_quantiles, hash_bucket, rank_in_groups, seeded_key, top_per_group
 
 
@@ -16,15 +17,6 @@ def attach_reference(answers: DataFrame, eval_set: DataFrame, cols: Sequence[str
     return answers.join(eval_set.select(key, *cols), key, "left")
 
 
-def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is evaluated once per row.
-
-    A plain projection may be merged into every later use of the column, which would repeat text scans; a generator
-    over a one-element array is not merged and costs nothing but a copy of the row.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def judge_answers(samples_with_answers: DataFrame, refusals: Sequence[str] = lx.REFUSAL_MARKERS,
                   promises: Sequence[str] = lx.OVER_PROMISES, labels: Sequence[str] = ()) -> DataFrame:
     """Add ``rule``: struct<passed, score, checks>."""

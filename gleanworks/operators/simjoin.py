@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.vision import gram_hashes
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 HOT_PRODUCT = 4_000_000  # pairs one bucket may generate before it is split further
 
@@ -128,7 +128,7 @@ def size_classes(t: float, top: int) -> np.ndarray:
     return np.array(out)
 
 
-def part_keys(grams: np.ndarray, cls: int, bound: int, t: float, weak: int = 2) -> np.ndarray:
+def part_keys(grams: np.ndarray, cls: int, bound: int, t: float, weak: int = 3) -> np.ndarray:
     """Keys of one set for one size class whose largest member has ``bound`` elements."""
     diff = math.floor((1 - t) / (1 + t) * 2 * bound + 1e-9)
     spare = (diff + 1) // 4
@@ -137,15 +137,19 @@ def part_keys(grams: np.ndarray, cls: int, bound: int, t: float, weak: int = 2)
     part = (g % np.uint64(m)).astype(np.int64)
     size = np.bincount(part, minlength=m)
     total = np.zeros(m, np.uint64)
+    order = np.argsort(part, kind="stable")
+    filled = np.flatnonzero(size)
+    starts = np.concatenate([[0], np.cumsum(size[filled])[:-1]])
     with np.errstate(over="ignore"):
-        np.add.at(total, part, _mix(g ^ _MIX[2]))
+        total[filled] = np.add.reduceat(_mix(g ^ _MIX[2])[order], starts)
         key = _mix(total + np.arange(m, dtype=np.uint64) * _MIX[2] + _mix(np.array([cls], np.uint64))[0]
                    + size.astype(np.uint64))
-    # At least spare + 1 parts agree in a true pair, and an agreeing part has the same size in both sets: with no more
-    # than ``spare`` small parts, small parts can be left out without losing the pair.
-    strong = size > weak
-    if m - strong.sum() <= spare:
-        key = key[strong]
+    # At least spare + 1 parts agree in a true pair, and an agreeing part has the same size in both sets. A set may
+    # therefore leave out its parts of up to w elements as long as they are no more than ``spare``: with the larger w of the
+    # two sets, one agreeing part is above it, and both sets keep it. Small parts are the ones many sets share by chance.
+    fewer = np.cumsum(np.bincount(size, minlength=weak + 1)[:weak + 1])
+    w = int(np.searchsorted(fewer, spare, side="right")) - 1
+    key = key[size > w]
     return key.view(np.int64)
 
 
@@ -205,8 +209,8 @@ def score_pairs(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFra
     """Attach both texts to candidate (a, b) pairs and keep those with similarity >= t."""
     ta = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
-    return (pairs.join(ta, "a").join(tb, "b").withColumn("sim", jaccard_udf(n)("text_a", "text_b"))
-            .filter(F.col("sim") >= t).select("a", "b", "sim"))
+    both = pairs.join(ta, "a").join(tb, "b").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    return both.withColumn("sim", jaccard_udf(n)("text_a", "text_b")).filter(F.col("sim") >= t).select("a", "b", "sim")
 
 
 def candidates(sigs: DataFrame, t: float) -> DataFrame:
@@ -220,12 +224,14 @@ def candidates(sigs: DataFrame, t: float) -> DataFrame:
 
 def near_pairs(texts: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
     """All pairs (a, b, sim) of distinct texts with n-gram Jaccard >= t. ``texts``: tid long, text string, no repeats."""
+    texts = spread(cut_lineage(texts))
     sigs = cut_lineage(set_signatures(texts, n, t))
-    return score_pairs(candidates(sigs, t), texts, n, t)
+    return score_pairs(cut_lineage(candidates(sigs, t)), texts, n, t)
 
 
 def cross_near_pairs(left: DataFrame, right: DataFrame, n: int, t: float) -> DataFrame:
     """Pairs between two text tables (a from left, b from right); equal texts included."""
+    left, right = spread(cut_lineage(left)), spread(cut_lineage(right))
     ls, rs = set_signatures(left, n, t), set_signatures(right, n, t)
     fits = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(t) - 1e-9)
     cand = (ls.alias("x").join(rs.alias("y"), F.col("x.key") == F.col("y.key"))
@@ -268,6 +274,7 @@ def near_pairs_lsh(texts: DataFrame, n: int = 5, t: float = 0.85, bands: int = 1
 
     A pair of similarity s becomes a candidate with probability 1 - (1 - s**rows)**bands, 0.994 at 0.85 with the defaults.
     """
+    texts = spread(cut_lineage(texts))
     k = cut_lineage(minhash_bands(texts, n, bands, rows))
     x, y = k.alias("x"), k.alias("y")
     cand = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.tid") < F.col("y.tid")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import lexicons as lx
 from ..functions import rules as ru, text as tx
 from ..ordering import top_per_group
+from ..session import compute_once
 from . import dedup, simjoin
 
 STAGES = ("format", "rules", "clip", "dedup")
@@ -26,7 +27,7 @@ def open_stages(df: DataFrame) -> DataFrame:
 def row_stage(df: DataFrame, name: str, reason: Column) -> DataFrame:
     """Mark living rows for which ``reason`` is not NULL."""
     hit = alive() & reason.isNotNull()
-    return (df.withColumn("_hit", F.when(hit, reason))
+    return (compute_once(df, "_hit", F.when(hit, reason))
             .withColumn("dropped_at", F.when(F.col("_hit").isNotNull(), F.lit(name)).otherwise(F.col("dropped_at")))
             .withColumn("reason", F.coalesce("_hit", "reason")).drop("_hit"))
 

@@ -6,12 +6,13 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Local defaults only: on a cluster the submitting side sets master, memory and
 # shuffle width, and the settings below that matter for results are the last block.
 _LOCAL = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
     "spark.sql.shuffle.partitions": "8",
 }
@@ -78,3 +79,21 @@ def one_row(*tables: DataFrame) -> DataFrame:
     spark = tables[0].sparkSession
     parts = [t.select(F.struct("*")).scalar().alias(f"_t{i}") for i, t in enumerate(tables)]
     return spark.range(1, numPartitions=1).select(*parts).select(*[f"_t{i}.*" for i in range(len(tables))])
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    A plain projection may be merged into every later use of the column, which would repeat text scans; a generator
+    over a one-element array is not merged and costs nothing but a copy of the row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the input has fewer partitions than there are cores.
+
+    Large inputs have more partitions than that and pass through without a shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
