@@ -182,13 +182,20 @@ def set_signatures(texts: DataFrame, n: int, t: float, id_col: str = "tid", text
 def jaccard_udf(n: int):
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        held: dict[str, np.ndarray] = {}  # a text usually meets several partners in one batch
+
+        def grams(x: str) -> np.ndarray:
+            if x not in held:
+                held[x] = gram_hashes(x, n)
+            return held[x]
+
         def one(x: str, y: str) -> float:
             if not x or not y:
                 return 0.0
             x, y = x.strip(), y.strip()
             if x == y:
                 return 1.0
-            gx, gy = gram_hashes(x, n), gram_hashes(y, n)
+            gx, gy = grams(x), grams(y)
             if not len(gx) or not len(gy):
                 return 0.0
             both = len(np.intersect1d(gx, gy, assume_unique=True))
@@ -209,7 +216,8 @@ def score_pairs(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFra
     """Attach both texts to candidate (a, b) pairs and keep those with similarity >= t."""
     ta = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(ta, "a").join(tb, "b").repartition(pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    both = pairs.join(ta, "a").join(tb, "b").repartition(
+        pairs.sparkSession.sparkContext.defaultParallelism * 4, "a", F.pmod("b", F.lit(8)))
     return both.withColumn("sim", jaccard_udf(n)("text_a", "text_b")).filter(F.col("sim") >= t).select("a", "b", "sim")
 
 
