@@ -31,10 +31,10 @@ def read_samples(spark: SparkSession, path: str, schema: str = sc.SAMPLE, keep_c
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    raw = (spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_pos")))
+    text = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = text.select(parsed.alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_pos")).select("r.*", "_file", "_block", "_pos")
     out = rank_in_groups(raw, [], [F.col("_file"), F.col("_block"), F.col("_pos")], F.struct("_file", "_block"), "seq")
     out = out.drop("_file", "_block", "_pos")
     return out if keep_corrupt else out.filter("_corrupt_record is null").drop("_corrupt_record")
