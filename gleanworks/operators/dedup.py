@@ -149,7 +149,11 @@ def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5
         near = t.join(ok.select(F.col("a").alias("ta"), F.col("b").alias("tb")), ["ta", "tb"]).select("a", "b")
         return same.unionByName(near)
 
-    if keep_same_image or hashes is None:
+    small = hashes is None and (sigs.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= PEEL_ABOVE
+    if small:  # every node is a text of its own and no bucket needs peeling: the filtered candidates are the edges
+        edges = simjoin.score_pairs(cut_lineage(simjoin.candidates(sigs, text)), texts.select("tid", "text"), n, text)
+        gone = graph.greedy_dropped(edges).select(F.col("node").alias("seq"))
+    elif keep_same_image or hashes is None:
         gone = _resolve(post, verify)
     else:
         # any earlier kept row with a near image also drops the row: one more kind of edge, no text test

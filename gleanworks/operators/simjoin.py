@@ -128,9 +128,14 @@ def size_classes(t: float, top: int) -> np.ndarray:
     return np.array(out)
 
 
+def max_difference(t: float, total: int) -> int:
+    """Largest symmetric difference of two sets with Jaccard >= t whose sizes add up to ``total``."""
+    return math.floor((1 - t) / (1 + t) * total + 1e-9)
+
+
 def part_keys(grams: np.ndarray, cls: int, bound: int, t: float, weak: int = 3) -> np.ndarray:
     """Keys of one set for one size class whose largest member has ``bound`` elements."""
-    diff = math.floor((1 - t) / (1 + t) * 2 * bound + 1e-9)
+    diff = max_difference(t, 2 * bound)
     spare = (diff + 1) // 4
     m = diff + 1 + spare
     g = _mix(grams.view(np.uint64))
@@ -154,11 +159,11 @@ def part_keys(grams: np.ndarray, cls: int, bound: int, t: float, weak: int = 3)
 
 
 def set_signatures(texts: DataFrame, n: int, t: float, id_col: str = "tid", text_col: str = "text") -> DataFrame:
-    """(id, size, key, own) rows: blocking keys of every text with at least one n-gram."""
+    """(id, size, key, own, diff) rows: blocking keys of every text with at least one n-gram."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bounds = size_classes(t, 1 << 12)
         for pdf in batches:
-            ids, sizes, keys, own = [], [], [], []
+            ids, sizes, keys, own, diffs = [], [], [], [], []
             for i, text in zip(pdf[id_col].to_numpy(), pdf[text_col]):
                 g = gram_hashes(text, n) if text is not None else np.zeros(0, np.int64)
                 if not len(g):
@@ -172,11 +177,13 @@ def set_signatures(texts: DataFrame, n: int, t: float, id_col: str = "tid", text
                     sizes.append(np.full(len(k), len(g)))
                     keys.append(k)
                     own.append(np.full(len(k), cls == c))
+                    diffs.append(np.full(len(k), max_difference(t, 2 * int(bounds[cls]))))
             if ids:
                 yield pd.DataFrame({id_col: np.concatenate(ids), "size": np.concatenate(sizes),
-                                    "key": np.concatenate(keys), "own": np.concatenate(own)})
+                                    "key": np.concatenate(keys), "own": np.concatenate(own),
+                                    "diff": np.concatenate(diffs)})
 
-    return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} long, size long, key long, own boolean")
+    return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} long, size long, key long, own boolean, diff long")
 
 
 def jaccard_udf(n: int):
@@ -221,13 +228,27 @@ def score_pairs(pairs: DataFrame, texts: DataFrame, n: int, t: float) -> DataFra
     return both.withColumn("sim", jaccard_udf(n)("text_a", "text_b")).filter(F.col("sim") >= t).select("a", "b", "sim")
 
 
-def candidates(sigs: DataFrame, t: float) -> DataFrame:
-    """Distinct a < b that share a key and whose sizes allow the threshold."""
-    x, y = sigs.alias("x"), sigs.alias("y")
+def _enough_keys(matches: DataFrame, t: float) -> DataFrame:
+    """(a, b) pairs with as many common keys as a true pair must have.
+
+    A pair meets in one size class, cut into diff + 1 + spare parts. At most D parts differ, D following from the two
+    real sizes, and at most ``spare`` agreeing parts are left out: 1 + diff - D keys remain in common.
+    """
+    d = F.floor(F.lit((1 - t) / (1 + t)) * (F.col("na") + F.col("nb")) + 1e-9)
+    return (matches.groupBy("a", "b", "na", "nb", "diff").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= 1 + F.col("diff") - d).select("a", "b"))
+
+
+def _matches(x: DataFrame, y: DataFrame, t: float, extra: Column) -> DataFrame:
+    x, y = x.alias("x"), y.alias("y")
     fits = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(t) - 1e-9)
-    return (x.join(y, F.col("x.key") == F.col("y.key"))
-            .filter((F.col("x.tid") < F.col("y.tid")) & fits & (F.col("x.own") | F.col("y.own")))
-            .select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct())
+    return (x.join(y, F.col("x.key") == F.col("y.key")).filter(extra & fits & (F.col("x.own") | F.col("y.own")))
+            .select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb"), F.col("x.diff").alias("diff")))
+
+
+def candidates(sigs: DataFrame, t: float) -> DataFrame:
+    """a < b that share enough keys and whose sizes allow the threshold."""
+    return _enough_keys(_matches(sigs, sigs, t, F.col("x.tid") < F.col("y.tid")), t)
 
 
 def near_pairs(texts: DataFrame, n: int = 5, t: float = 0.85) -> DataFrame:
@@ -241,10 +262,7 @@ def cross_near_pairs(left: DataFrame, right: DataFrame, n: int, t: float) -> Dat
     """Pairs between two text tables (a from left, b from right); equal texts included."""
     left, right = spread(cut_lineage(left)), spread(cut_lineage(right))
     ls, rs = set_signatures(left, n, t), set_signatures(right, n, t)
-    fits = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(t) - 1e-9)
-    cand = (ls.alias("x").join(rs.alias("y"), F.col("x.key") == F.col("y.key"))
-            .filter(fits & (F.col("x.own") | F.col("y.own")))
-            .select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct())
+    cand = _enough_keys(_matches(ls, rs, t, F.lit(True)), t)
     ta = left.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     tb = right.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
     scored = (cand.join(ta, "a").join(tb, "b").withColumn("sim", jaccard_udf(n)("text_a", "text_b"))
