@@ -47,7 +47,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node id as component label, for all nodes on an edge.
 
     Alternates the published large-star and small-star steps; the number of rounds grows with the logarithm of the
@@ -56,7 +56,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     cur = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                       .filter("u <> v").distinct())
     before = _fingerprint(cur)
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (both.join(low, "u").filter(F.col("v") > F.col("u"))
@@ -71,8 +71,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("component search did not converge")
     members = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

@@ -39,13 +39,15 @@ def local_session(app: str = "gleanworks", cpus: int | str | None = None, **extr
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a fresh local one only where none is set."""
+    """Shared checkpoint folder named by the cluster; a fresh local one only under a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(named)
     return named
