@@ -100,7 +100,7 @@ def _named_by_content(src: DataFrame, block: int, key_bits: int, clashes: DataFr
 def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, key_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, level, name."""
     named = cut_lineage(name_texts(docs, text, (doc_id,), block, key_bits).withColumnRenamed(doc_id, "doc_id"))
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut_lineage(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))  # so that a hot group is split in the join
     return named.join(groups, ["level", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "level", "name")
 
