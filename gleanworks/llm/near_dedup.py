@@ -4,10 +4,10 @@ Every permutation of the shingle space is evaluated once per shingle and gives t
 greatest hash; 96 permutations make the 192 values of 32 bands of six. A pair at similarity 0.85 shares no band with
 probability below 1e-6. Shared bands propose, full shingle sets decide.
 
-How a group of any size stays linear: rows with equal sets are one class. Classes that share a band are candidates; a
-class whose shingles are too often its own cannot reach the threshold with any of them and leaves. Then every class is
-compared with one leader of its bands only, linked classes become components, and this is repeated; whatever bands still
-join different components is compared pair by pair, so no link is lost. Sets are fetched for candidates only.
+How a group of any size stays small: rows with equal sets are one class. Classes that share a band are candidates. Every
+candidate is compared with one leader of its bands only, linked classes become components, and this is repeated. Where
+bands still join different components, rarest-first prefixes of the full sets tell which pairs can reach the threshold at
+all; those are compared one by one, so no link is lost. Sets are fetched for candidates only.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; a text of fewer than ``width``
 words is one shingle; a row without doc_id is linked with nothing and has no component; rows that share a doc_id are one
@@ -22,7 +22,7 @@ from itertools import starmap
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.graph import components
 from ..session import cut_lineage
@@ -129,10 +129,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                        .where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
 
 
-def _within_bound(percent: int):
-    """An upper bound of the similarity: shingles found in one class only cannot be shared."""
-    most = F.least("am", "bm")
-    return 100 * most >= percent * (F.col("an") + F.col("bn") - most)
+def _remaining_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of ``live(id, comp)`` that may reach the threshold; every such pair that does is among them.
+
+    Each set is sorted rarest shingle first. Two similar sets share a shingle among the first ones of both, and what
+    follows the first shared one bounds their overlap, so pairs that only share what their whole group shares never arise.
+    """
+    token = (sets.join(live, "id").select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    often = cut_lineage(token.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
+    order = Window.partitionBy("id").orderBy("df", "s")
+    need = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
+    head = cut_lineage(token.join(often, "s").withColumn("pos", F.row_number().over(order))
+                       .where((F.col("pos") <= F.col("n") - need + 1) & (F.col("df") > 1)).drop("df"))
+    a, b = (head.select("s", *[F.col(c).alias(f"{side}{c}") for c in ("id", "comp", "n", "pos")]) for side in "ab")
+    most = 1 + F.least(F.expr("an - apos"), F.expr("bn - bpos"))
+    return (a.join(b, "s").where((F.col("acomp") < F.col("bcomp")) & (100 * most >= percent * (F.col("an") + F.col("bn") - most)))
+            .select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
@@ -152,36 +164,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = cells.select("id").distinct()
     sets = cut_lineage(src.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
                        .mapInArrow(_setter(width), "id long, shingles array<long>"))
-    alone = (sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
-             .where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own")))
-    cells = cut_lineage(cells.join(alone, "id", "left").select("key", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
-                        .where(100 * F.col("m") >= percent * F.col("n")))
-
     links = None
     labels = cells.sparkSession.createDataFrame([], "node long, component long")
-
-    def open_cells() -> DataFrame:
-        """Cells of the bands that still join different components."""
-        at = cells.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "m", F.coalesce("component", "id").alias("comp"))
-        mixed = cut_lineage(at.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"))
-        return cut_lineage(at.join(mixed, "key"))
-
     for turn in range(star_rounds + 1):
-        live = open_cells()
+        # cells of the bands that still join different components
+        at = cells.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+        mixed = cut_lineage(at.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key"))
+        live = cut_lineage(at.join(mixed, "key"))
         if live.isEmpty():
             break
-        a = live.select("key", *[F.col(c).alias(f"a{c}") for c in ("id", "n", "m", "comp")])
         if turn < star_rounds:
-            # one leader per band: the class with the fewest shingles of its own; one leader per class: the most bands in common
-            rank = F.col("m") / F.col("n") + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1000)) / 1e7
-            lead = cut_lineage(live.groupBy("key").agg(F.max_by(F.struct("id", "n", "m", "comp"), rank).alias("_h")))
-            b = lead.select("key", *[F.col(f"_h.{c}").alias(f"b{c}") for c in ("id", "n", "m", "comp")])
-            near = a.join(b, "key").where((F.col("acomp") != F.col("bcomp")) & _within_bound(percent))
-            near = near.groupBy("aid", "bid").agg(F.count(F.lit(1)).alias("c"))
-            pairs = near.groupBy("aid").agg(F.max_by("bid", "c").alias("b")).select(F.col("aid").alias("a"), "b")
+            # one leader per band, the first row or a random one; one leader per class, the one with the most bands in common
+            rank = -F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            lead = cut_lineage(live.groupBy("key").agg(F.max_by(F.struct("id", "n", "comp"), rank).alias("_h")))
+            lead = lead.select("key", *[F.col(f"_h.{c}").alias(f"_{c}") for c in ("id", "n", "comp")])
+            near = live.join(lead, "key").where((F.col("comp") != F.col("_comp")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
+            near = near.groupBy("id", "_id").agg(F.count(F.lit(1)).alias("c"))
+            pairs = near.groupBy("id").agg(F.max_by("_id", "c").alias("b")).select(F.col("id").alias("a"), "b")
         else:
-            b = live.select("key", *[F.col(c).alias(f"b{c}") for c in ("id", "n", "m", "comp")])
-            pairs = a.join(b, "key").where((F.col("acomp") < F.col("bcomp")) & _within_bound(percent)).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+            pairs = _remaining_pairs(live.select("id", "comp").distinct(), sets, percent)
         found = _linked(pairs, sets, percent)
         links = found if links is None else links.union(found)
         labels = components(links)
