@@ -53,11 +53,11 @@ class _Grams:
 
     def add(self, text: bytes) -> None:
         pad = START * self.depth
-        for at in range(0, len(text), 4 << 20):  # very long texts in pieces, each with the bytes before it
-            piece = (pad + text[:4 << 20]) if at == 0 else text[at - self.depth:at + (4 << 20)]
+        for at in range(0, len(text), 2 << 20):  # very long texts in pieces, each with the bytes before it
+            piece = (pad + text[:2 << 20]) if at == 0 else text[at - self.depth:at + (2 << 20)]
             self.buffer.append(piece)
             self.waiting += len(piece)
-            if self.waiting > 4 << 20:
+            if self.waiting > 2 << 20:
                 self.flush()
 
     def flush(self) -> None:
@@ -77,7 +77,7 @@ class _Grams:
         self.parts.append(np.unique(g[fresh[d:]], return_counts=True))
         self.size += len(self.parts[-1][0])
         self.buffer, self.waiting = [], 0
-        if self.size > 3_000_000:
+        if self.size > 1_500_000:
             self.merge()
 
     def merge(self) -> None:
@@ -106,18 +106,18 @@ def _counter(depth: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         grams = _Grams(depth)
-        for b in batches(frames, 16 << 20):
+        for b in batches(frames, 8 << 20):
             for t in utf8(b, "text"):
                 ws = words(t)
                 seen.update(ws)
                 grams.add(stream(ws))
             seen[END] += b.num_rows
-            if len(seen) > 1_000_000:
+            if len(seen) > 400_000:
                 yield from words_out(seen)
-            if grams.size > 2_000_000:
+            if grams.size > 1_000_000:
                 grams.flush()
                 grams.merge()
-                if grams.size > 2_000_000:
+                if grams.size > 1_000_000:
                     yield from _rows(1, *grams.parts[0])
                     grams = _Grams(depth)
         yield from words_out(seen)
@@ -217,7 +217,7 @@ def _scorer(tree, common, n_all: int, n_words: int):
         known = dict(zip(*(x.tolist() for x in common.value)))
         floor = n_all + 0.1 * (n_words + 1)
         memo: dict[bytes, tuple[float, int]] = {}
-        for b in batches(frames, 16 << 20):
+        for b in batches(frames, 8 << 20):
             n, seen, base, rare, texts = [], [], [], [], []
             for t in utf8(b, "text"):
                 ws = words(t)
@@ -226,7 +226,7 @@ def _scorer(tree, common, n_all: int, n_words: int):
                 for w in [*ws, END]:
                     got = memo.get(w)
                     if got is None:
-                        if len(memo) > 500_000:
+                        if len(memo) > 150_000:
                             memo.clear()
                         key = int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
                         c = known.get(key)
@@ -252,16 +252,16 @@ def train(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float
     """The suffix tree of the rows' texts and their word counts (key, n)."""
     counts = docs.select("text").mapInArrow(_counter(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = cut_lineage(counts.where("n > 0"))
-    level = counts.where("kind = 1").select("key", "n")
-    places = level.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels: list[pd.DataFrame] = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = level.groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        ctx = F.shiftright("key", 8)
-        often = level.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("_all")).where(F.col("_all") >= least * places)
-        levels.append(level.join(often.select("ctx"), ctx == F.col("ctx"), "left_semi").toPandas())  # at most 256 / least rows
-    return SuffixTree(levels[::-1], gain, prior), counts.where("kind = 0").select("key", "n")
+    grams = counts.where("kind = 1")
+    places = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # counts of contexts of every length at once, then whole distributions of those that are frequent enough
+    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << 8 * (d + 1)) - 1).alias("mask")) for d in range(depth + 1)])
+    level = (grams.select("key", "n", F.explode(masks).alias("m")).groupBy(F.col("m.d").alias("d"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
+             .agg(F.sum("n").alias("n")))
+    found = (level.groupBy("d", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("next"))  # at most 256
+             .where(F.col("total") >= least * places).select("d", F.inline("next")).toPandas())
+    levels = [found.loc[found["d"] == d, ["key", "n"]] for d in range(depth + 1)]
+    return SuffixTree(levels, gain, prior), counts.where("kind = 0").select("key", "n")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: float = COMMON, **how) -> DataFrame:
