@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "exact_dedup", "near_dedup", "suffix_tree_lm")
+MODULES = ("decontamination", "exact_dedup", "near_dedup", "suffix_tree_lm", "toxicity", "url_filter", "quality")
 
 
 def load():
