@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
-from ..ordering import first_wins
+from ..ordering import first_wins, rank_in_groups
 from ..session import cut_lineage, one_row, spread
 from . import graph, simjoin
 
@@ -69,22 +69,34 @@ def _leaders(post: DataFrame) -> DataFrame:
     return post.join(per, "k").select("seq", lead.alias("lead"))
 
 
-def _resolve(post: DataFrame, verify, peel_above: int = PEEL_ABOVE, max_rounds: int = 12) -> DataFrame:
-    """Dropped ``seq`` values. ``post``: seq, k, lone, any. ``verify(pairs a<b)`` keeps the true matches."""
+def _resolve(post: DataFrame, verify, peel_above: int = PEEL_ABOVE) -> DataFrame:
+    """Dropped ``seq`` values. ``post``: seq, k, lone, any. ``verify(pairs a<b)`` keeps the true matches.
+
+    Buckets above ``peel_above`` rows are peeled as long as that takes at least a twentieth of their rows at a time; what
+    is left is compared pair by pair. Neither number changes the result.
+    """
     post = cut_lineage(post)
     gone: list[DataFrame] = []
-    for _ in range(max_rounds):
-        largest = post.groupBy("k").count().agg(F.max("count")).first()[0] or 0
-        if largest <= peel_above:
+    while True:
+        large = post.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > peel_above)
+        before = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not before:
             break
         lead = cut_lineage(_leaders(post))
         blocked = F.max(F.coalesce(F.col("lead") < F.col("seq"), F.lit(False)))
         sure = cut_lineage(lead.groupBy("seq").agg(blocked.alias("blocked")).filter(~F.col("blocked")).select("seq"))
-        star = lead.filter("lead < seq").select(F.col("lead").alias("a"), F.col("seq").alias("b")).distinct()
+        star = lead.filter("lead < seq").select(F.col("lead").alias("a"), F.col("seq").alias("b"))
         star = star.join(sure, star.a == sure.seq, "left_semi")
+        # a row with an image may be sure without leading its "any" bucket: there it meets all later rows without image
+        held = post.filter("any and not lone").join(sure, "seq", "left_semi").select("k", F.col("seq").alias("a"))
+        bare = post.filter("any and lone").select("k", F.col("seq").alias("b"))
+        star = star.unionByName(held.join(bare, "k").filter("a < b").select("a", "b")).distinct()
         out = cut_lineage(verify(star).select(F.col("b").alias("seq")).distinct())
         gone.append(out)
+        rows = post.count()
         post = cut_lineage(post.join(sure, "seq", "left_anti").join(out, "seq", "left_anti"))
+        if rows - post.count() < before / 20:
+            break
     x, y = post.filter("not any").alias("x"), post.filter("not any").alias("y")
     img = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.seq") < F.col("y.seq")))
     img = img.select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
@@ -123,8 +135,8 @@ def dedup_exact(samples: DataFrame, hashes: DataFrame | None = None, img: int =
 
 
 def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5, text: float = 0.85, n: int = 2,
-               keep_same_image: bool = True) -> DataFrame:
-    """(seq, kept, note): note is dup_pair, dup_image, same_image_diff_text, dup_text or NULL."""
+               keep_same_image: bool = True, peel_above: int = PEEL_ABOVE) -> DataFrame:
+    """(seq, kept, note): note is dup_pair, dup_image, same_image_diff_text, dup_text or NULL. ``peel_above`` never changes the result."""
     nodes = cut_lineage(_nodes(samples, hashes))
     first = cut_lineage(_collapse(nodes.drop("text")))
     texts = spread(cut_lineage(nodes.filter("seq = tid").select("tid", "text")))
@@ -149,17 +161,15 @@ def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5
         near = t.join(ok.select(F.col("a").alias("ta"), F.col("b").alias("tb")), ["ta", "tb"]).select("a", "b")
         return same.unionByName(near)
 
-    small = hashes is None and (sigs.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= PEEL_ABOVE
+    small = hashes is None and (sigs.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= peel_above
     if small:  # every node is a text of its own and no bucket needs peeling: the filtered candidates are the edges
         edges = simjoin.score_pairs(cut_lineage(simjoin.candidates(sigs, text)), texts.select("tid", "text"), n, text)
         gone = graph.greedy_dropped(edges).select(F.col("node").alias("seq"))
     elif keep_same_image or hashes is None:
-        gone = _resolve(post, verify)
+        gone = _resolve(post, verify, peel_above)
     else:
         # any earlier kept row with a near image also drops the row: one more kind of edge, no text test
-        img_nodes = first.filter("h is not null").select("seq", "h")
-        firsts = img_nodes.groupBy("h").agg(F.min("seq").alias("f"))
-        gone = _same_image_dropped(post, verify, img_nodes, firsts, img - 1)
+        gone = _same_image_dropped(post, verify, first.filter("h is not null").select("seq", "h"), img - 1)
     gone = cut_lineage(gone.distinct())
     # empty text matches nothing, so collapsed copies of it are kept too, unless the image alone decides
     empty = nodes.filter(~real if keep_same_image or hashes is None else ~real & F.col("h").isNull())
@@ -173,20 +183,34 @@ def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5
     return _notes(out, kept, texts, keys, sigs, n, text, img - 1, keep_same_image)
 
 
-def _same_image_dropped(post, verify, img_nodes, firsts, distance):
+def _same_image_dropped(post, verify, img_nodes, distance):
+    """Dropped rows when a near image alone drops a row, and similar text does where one side has no image.
+
+    Of the rows with one hash only the first kept one matters: it drops all later ones. Rows wait until every earlier row of
+    their hash has been dropped for another reason; then the next one joins and the order is scanned again.
+    """
     near = simjoin.hamming_pairs(img_nodes.select("h"), None, distance)
-    sym = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # rows with the same hash: only the first can survive
-    later = img_nodes.join(firsts, "h").filter("seq > f").select("seq")
-    edges = (sym.join(firsts.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a")
-             .join(firsts.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
-             .filter("fa < fb").select(F.col("fa").alias("a"), F.col("fb").alias("b")))
-    post = post.join(later, "seq", "left_anti")
+    sym = cut_lineage(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ranked = cut_lineage(rank_in_groups(img_nodes, ["h"], [F.col("seq")], F.floor(F.col("seq") / 100_000), "place"))
     u, v = post.filter("any and lone").alias("x"), post.filter("any").alias("y")
     lone = u.join(v, (F.col("x.k") == F.col("y.k")) & (F.col("x.seq") != F.col("y.seq")))
-    lone = verify(lone.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b")).distinct())
-    gone = graph.greedy_dropped(edges.unionByName(lone)).select(F.col("node").alias("seq"))
-    return gone.unionByName(later)
+    lone = cut_lineage(verify(lone.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b")).distinct()))
+    depth = cut_lineage(img_nodes.select("h").distinct().withColumn("depth", F.lit(1)))
+    while True:
+        here = ranked.join(depth, "h")
+        active = cut_lineage(here.filter("place <= depth").select("seq", "h"))
+        waiting = here.filter("place > depth").select("seq", "h")
+        l, r = active.select(F.col("seq").alias("a"), F.col("h").alias("ha")), active.select(F.col("seq").alias("b"), F.col("h").alias("hb"))
+        image = l.join(sym.select(F.col("a").alias("ha"), F.col("b").alias("hb")), "ha").join(r, "hb").filter("a < b").select("a", "b")
+        same = l.join(r, F.col("ha") == F.col("hb")).filter("a < b").select("a", "b")
+        parked = waiting.select(F.col("seq").alias("p"))
+        text = lone.join(parked, lone.a == F.col("p"), "left_anti").join(parked, lone.b == F.col("p"), "left_anti")
+        gone = cut_lineage(graph.greedy_dropped(image.unionByName(same).unionByName(text)).select(F.col("node").alias("seq")).distinct())
+        alive = active.join(gone, "seq", "left_anti").select("h").distinct()
+        starved = cut_lineage(waiting.select("h").distinct().join(alive, "h", "left_anti"))
+        if starved.isEmpty():
+            return gone.unionByName(waiting.select("seq"))
+        depth = cut_lineage(depth.join(starved.withColumn("more", F.lit(1)), "h", "left").select("h", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
 
 
 def _notes(out, kept, texts, keys, sigs, n, t, distance, keep_same_image):

@@ -8,34 +8,57 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 
 
-def greedy_dropped(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+LOCAL_EDGES = 200_000  # a component of at most so many edges is resolved by one task
+
+
+def greedy_dropped(edges: DataFrame, local_edges: int = LOCAL_EDGES, rounds: int = 6) -> DataFrame:
     """Nodes dropped by "drop a row if an earlier kept row is its neighbour".
 
     ``edges`` has columns a < b in input order. A node that is no edge's later end is kept for sure, so its later
-    neighbours are dropped; both leave the graph and the rule is applied again until no edge is left.
+    neighbours are dropped; both leave the graph and the rule is applied again until no edge is left. Long chains need
+    a round for every two links, so what is left after ``rounds`` rounds falls apart into components: those of a bounded
+    size are scanned in input order by one task each, larger ones go on in rounds. Neither number changes the result.
     """
     edges = cut_lineage(edges.select("a", "b").distinct())
     dropped: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    turn = 0
+    while not edges.isEmpty():
+        turn += 1
+        if turn % rounds == 0:
+            part = components(edges).select(F.col("node").alias("a"), "component")
+            parted = cut_lineage(edges.join(part, "a"))
+            small = parted.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= local_edges).select("component")
+            out = (parted.join(small, "component", "left_semi").groupBy("component")
+                   .applyInPandas(lambda pdf: _scan(pdf), "x long"))
+            dropped.append(cut_lineage(out))
+            edges = cut_lineage(parted.join(small, "component", "left_anti").select("a", "b"))
+            continue
         later = edges.select(F.col("b").alias("a")).distinct()
         out = edges.join(later, "a", "left_anti").select(F.col("b").alias("x")).distinct()
         out = cut_lineage(out)
         dropped.append(out)
         edges = cut_lineage(edges.join(out, edges.a == out.x, "left_anti").join(out, edges.b == out.x, "left_anti"))
-    else:
-        raise RuntimeError("greedy resolution did not converge")
     if not dropped:
         return edges.select(F.col("a").alias("node")).limit(0)
     return reduce(DataFrame.unionByName, dropped).select(F.col("x").alias("node"))
 
 
+def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rule applied to one component in input order."""
+    pdf = pdf.sort_values(["a", "b"])
+    gone: set[int] = set()
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+        if a not in gone:
+            gone.add(b)
+    return pd.DataFrame({"x": sorted(gone)}, dtype="int64")
+
+
 def greedy_keep(nodes: DataFrame, edges: DataFrame, node: str = "seq") -> DataFrame:
     """Rows of ``nodes`` that survive the sequential rule."""
     gone = greedy_dropped(edges)

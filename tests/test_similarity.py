@@ -122,25 +122,23 @@ def test_dedup_exact_equals_sequential_scan(spark, seed):
 
 
 @pytest.mark.parametrize("seed,keep_img,nulls,peel", [(1, True, True, 512), (2, True, True, 3), (3, False, False, 512),
-                                                     (4, True, False, 3), (5, False, True, 512)])
-def test_dedup_near_equals_sequential_scan(spark, monkeypatch, seed, keep_img, nulls, peel):
-    monkeypatch.setattr(dedup, "PEEL_ABOVE", peel)
+                                                     (4, True, False, 3), (5, False, True, 512), (6, True, True, 1)])
+def test_dedup_near_equals_sequential_scan(spark, seed, keep_img, nulls, peel):
     rows = _samples(random.Random(seed), 120, nulls)
     flags, notes = _sequential(rows, 5, 0.85, 2, keep_img, False)
-    got = dedup.dedup_near(*_frames(spark, rows), keep_same_image=keep_img).collect()
+    got = dedup.dedup_near(*_frames(spark, rows), keep_same_image=keep_img, peel_above=peel).collect()
     assert {r.seq: r.kept for r in got} == flags
     assert {r.seq: r.note for r in got if r.kept} == {s: n for s, n in notes.items() if flags[s]}
 
 
-def test_dedup_near_text_only_with_a_hot_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "PEEL_ABOVE", 20)
+def test_dedup_near_text_only_with_a_hot_group_of_near_copies(spark):
     rng = random.Random(9)
     stem = "the same long question about the very same jumper and its size "
     rows = [(i, None, stem + "abcdefghij"[i % 10] + "xyz"[i % 3] if i % 3 == 0 else "".join(rng.choices("abcdef ", k=40)).strip())
             for i in range(200)]
     flags, _ = _sequential(rows, 5, 0.85, 2, True, False)
     samples = spark.createDataFrame([(s, t) for s, _, t in rows], "seq long, text string")
-    assert {r.seq: r.kept for r in dedup.dedup_near(samples).collect()} == flags
+    assert {r.seq: r.kept for r in dedup.dedup_near(samples, peel_above=20).collect()} == flags
 
 
 def test_new_combination_of_known_image_and_known_text_survives(spark):
@@ -161,6 +159,30 @@ def test_zero_hash_is_an_image_and_null_is_not(spark):
     assert got == {0: (True, True), 1: (False, True), 2: (True, False)}
 
 
+@pytest.mark.parametrize("peel", [1, 512])
+def test_peeling_keeps_edges_of_rows_that_lead_no_bucket(spark, peel):
+    """Rows 1 and 2 have images, 3 has none; only 2 and 3 have similar texts."""
+    a, b = 0b1111101000 << 20, 0b101010101010101010 << 40
+    rows = [(1, a, "aaaa bbbb cccc dddd"), (2, b, "where is my parcel now please"), (3, None, "where is my parcel now please!")]
+    got = {r.seq: r.kept for r in dedup.dedup_near(*_frames(spark, rows), peel_above=peel).collect()}
+    assert got == _sequential(rows, 5, 0.85, 2, True, False)[0] == {1: True, 2: True, 3: False}
+
+
+def test_first_row_of_an_image_may_itself_be_dropped(spark):
+    """Row 2 goes because of the text of row 1, so it cannot take row 3 with it; row 4 goes because of row 3."""
+    i = 0b1111101000 << 20
+    rows = [(1, None, "the very same text"), (2, i, "the very same text"), (3, i, "another story altogether"), (4, i, "something else again")]
+    got = {r.seq: r.kept for r in dedup.dedup_near(*_frames(spark, rows), keep_same_image=False).collect()}
+    assert got == _sequential(rows, 5, 0.85, 2, False, False)[0] == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_a_chain_of_a_thousand(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")
+    assert {r.node for r in graph.greedy_dropped(chain).collect()} == set(range(1, 1001, 2))
+    short = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    assert {r.node for r in graph.greedy_dropped(short, local_edges=0).collect()} == set(range(1, 31, 2))  # rounds to the end
+
+
 def test_greedy_resolution_equals_the_loop(spark):
     for seed in range(3):
         rng = random.Random(seed)
