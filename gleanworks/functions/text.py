@@ -130,10 +130,14 @@ def sample_id(*fields: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *fields).cast("binary")), 1, 16)
 
 
+def canonical_json(text: Column) -> Column:
+    """The same value with the keys of every object, nested ones too, in order, and no blanks; NULL if it is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def idempotency_key(session: Column, tool: Column, args: Column) -> Column:
-    """Order-insensitive key over a string map of arguments."""
-    entries = F.array_sort(F.map_entries(args))
-    return F.substring(F.sha2(F.to_json(F.struct(session.alias("s"), tool.alias("t"), entries.alias("a"))), 256), 1, 16)
+    """Key of a call that ignores the order of arguments at every depth. ``args``: JSON text."""
+    return F.substring(F.sha2(F.concat_ws("|", session, tool, F.coalesce(canonical_json(args), args)), 256), 1, 16)
 
 
 def parse_yes_no(answer: Column, yes: Sequence[str] = lx.YES_WORDS, no: Sequence[str] = lx.NO_WORDS) -> Column:

@@ -80,17 +80,16 @@ IMAGE_TYPES = (
     ("product_main", "商品主图", 1), ("model_wearing", "模特上身图", 2), ("detail_closeup", "细节特写", 3),
     ("defect_photo", "瑕疵实拍", 5), ("size_chart", "尺码表", 4), ("user_compare", "实物对比", 5),
 )
-# rows follow INTENTS, columns follow IMAGE_TYPES
-TARGET_MATRIX = (
-    (300, 500, 150, 0, 400, 150),
-    (100, 60, 400, 700, 0, 300),
-    (250, 300, 200, 150, 0, 400),
-    (200, 100, 450, 100, 50, 50),
-    (250, 450, 50, 0, 0, 50),
-    (50, 0, 0, 0, 0, 250),
-    (60, 20, 100, 350, 40, 200),
-    (300, 150, 80, 0, 60, 40),
-)
+TARGET_MATRIX = {
+    "size_fit": {"product_main": 300, "model_wearing": 500, "detail_closeup": 150, "defect_photo": 0, "size_chart": 400, "user_compare": 150},
+    "quality_issue": {"product_main": 100, "model_wearing": 60, "detail_closeup": 400, "defect_photo": 700, "size_chart": 0, "user_compare": 300},
+    "color_mismatch": {"product_main": 250, "model_wearing": 300, "detail_closeup": 200, "defect_photo": 150, "size_chart": 0, "user_compare": 400},
+    "material": {"product_main": 200, "model_wearing": 100, "detail_closeup": 450, "defect_photo": 100, "size_chart": 50, "user_compare": 50},
+    "styling": {"product_main": 250, "model_wearing": 450, "detail_closeup": 50, "defect_photo": 0, "size_chart": 0, "user_compare": 50},
+    "logistics": {"product_main": 50, "model_wearing": 0, "detail_closeup": 0, "defect_photo": 0, "size_chart": 0, "user_compare": 250},
+    "return_refund": {"product_main": 60, "model_wearing": 20, "detail_closeup": 100, "defect_photo": 350, "size_chart": 40, "user_compare": 200},
+    "presale_general": {"product_main": 300, "model_wearing": 150, "detail_closeup": 80, "defect_photo": 0, "size_chart": 60, "user_compare": 40},
+}
 PERSONAS = (
     ("焦虑型", "语气急，反复确认，容易担心买错"),
     ("理性型", "问得具体，关注参数和对比，少情绪词"),
@@ -166,18 +165,6 @@ L4_TEMPLATES = (
 )
 L4_REQUIRED = ("方便告诉我", "需要确认", "转接", "无法确定", "建议您提供")
 
-# --- agent tasks: id, query, expected tools, forbidden tools, verifier, verifier argument (fixed values) ---
-AGENT_TASKS = (
-    ("t01", "我的快递到哪了？", ("lookup_order", "shipping_status"), ("start_return",), "answered_contains",
-     ("物流", "快递", "运输")),
-    ("t02", "这个能退吗？", ("lookup_order", "check_return_eligibility"), (), "tool_called", ("check_return_eligibility",)),
-    ("t03", "M 码还有货吗？", ("check_stock",), (), "tool_called", ("check_stock",)),
-    ("t04", "这张图里的线头算质量问题吗？", (), ("lookup_order", "check_stock"), "answered_contains", ("线头", "工艺", "正常")),
-    ("t05", "我要退货", ("lookup_order", "start_return"), (), "tool_called", ("start_return",)),
-    ("t06", "你们这是欺诈！我要投诉", (), ("start_return",), "answered_contains", ("抱歉", "转接", "人工", "理解")),
-    ("t07", "这件衣服是纯棉的吗？", (), (), "answered_contains", ("成分", "材质", "标注", "棉")),
-)
-
 # --- labels written into results (fixed values) ---
 REASON = {
     "structure": "结构异常", "no_image": "缺少图片路径", "user_len": "用户提问长度越界", "reply_len": "回复长度越界",

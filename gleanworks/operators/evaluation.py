@@ -124,20 +124,24 @@ def failures(records: DataFrame, groups: Mapping[str, Sequence[str]] = lx.KEYWOR
             .withColumn("semantic_group", ru.semantic_group(both, groups)))
 
 
-def error_type_counts(fails: DataFrame, top: int = 10, n_examples: int = 3) -> DataFrame:
+def _most(counts: DataFrame, name: str, top: int | None) -> DataFrame:
+    return counts if top is None else counts.orderBy(F.col("n").desc(), name).limit(top)
+
+
+def error_type_counts(fails: DataFrame, top: int | None = None, n_examples: int = 3) -> DataFrame:
     """Multi-label counts: a record may appear under several types."""
     total = fails.agg(F.count(F.lit(1)))
     long = fails.select("id", F.explode("error_types").alias("error_type"))
     counts = long.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
     ex = top_per_group(long, ["error_type"], [F.col("id")], n_examples).groupBy("error_type").agg(
         F.array_join(F.array_sort(F.collect_list("id")), ",").alias("examples"))
-    return (counts.orderBy(F.col("n").desc(), "error_type").limit(top).join(ex, "error_type")
+    return (_most(counts, "error_type", top).join(ex, "error_type")
             .select("error_type", "n", (F.col("n") / total.scalar()).alias("share"), "examples"))
 
 
-def semantic_group_counts(fails: DataFrame, top: int = 10) -> DataFrame:
+def semantic_group_counts(fails: DataFrame, top: int | None = None) -> DataFrame:
     total = fails.agg(F.count(F.lit(1)))
-    return (fails.groupBy("semantic_group").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "semantic_group").limit(top)
+    return (_most(fails.groupBy("semantic_group").agg(F.count(F.lit(1)).alias("n")), "semantic_group", top)
             .select("semantic_group", "n", (F.col("n") / total.scalar()).alias("share")))
 
 
@@ -351,13 +355,13 @@ def judge_means(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # ---- yes/no probes ----
 
-def build_probes(images: DataFrame, objects: Sequence[str] = lx.PROBE_OBJECTS, n_per_image: int = 10, n_images: int = 30,
+def build_probes(images: DataFrame, objects: Sequence[str] = lx.PROBE_OBJECTS, n_per_image: int = 10, n_images: int | None = None,
                  seed: int = 42) -> DataFrame:
     """Half positive, half negative questions per image. ``images``: image, visible array (may be NULL or empty).
 
     The object list is fixed and short, so candidates are built inside each image row; nothing is crossed or shuffled.
     """
-    pick = images.orderBy(seeded_key(seed, "image"), "image").limit(n_images)
+    pick = images if n_images is None else images.orderBy(seeded_key(seed, "image"), "image").limit(n_images)
     vis = F.coalesce("visible", F.array().cast("array<string>"))
     n_pos = n_per_image // 2
 
@@ -377,12 +381,12 @@ def build_probes(images: DataFrame, objects: Sequence[str] = lx.PROBE_OBJECTS, n
         F.col("r.truth").alias("ground_truth"), F.lit("existence").alias("probe_type"), F.col("r.target").alias("target"))
 
 
-def attribute_probes(images: DataFrame, n: int = 60, seed: int = 42, attributes: Mapping[str, Sequence[str]] = lx.PROBE_ATTRIBUTES) -> DataFrame:
+def attribute_probes(images: DataFrame, n: int | None = None, seed: int = 42, attributes: Mapping[str, Sequence[str]] = lx.PROBE_ATTRIBUTES) -> DataFrame:
     """Questions about an attribute value that is not the image's; the right answer is no. Two distinct values are picked by
     hash: the image's value ``a`` and the asked value ``b``."""
     from .packing import seeded_pick
     kinds = list(attributes)
-    pick = images.orderBy(seeded_key(seed, "image"), "image").limit(n // 2)
+    pick = images if n is None else images.orderBy(seeded_key(seed, "image"), "image").limit(n // 2)
     kind = F.pmod(seeded_pick(seed + 1, "image"), F.lit(len(kinds)))
     values = F.get(F.array(*[tx.lit_array(attributes[k]) for k in kinds]), kind.cast("int"))
     size = F.size(values)

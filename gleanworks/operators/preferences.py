@@ -57,7 +57,7 @@ def incomplete_bad_cases(bad: DataFrame) -> DataFrame:
     return bad.agg(F.count(F.lit(1)).alias("n_total"), F.count(F.when(~ok, 1)).alias("n_skipped"))
 
 
-def contrastive_pairs(df: DataFrame, n: int | None = 2000, seed: int = 42) -> DataFrame:
+def contrastive_pairs(df: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
     """Same question and answer, once with its own image and once with an image of another type.
 
     ``df``: seq, id, image_type, image_path, query, answer. Images of a type are numbered, the other type and the number

@@ -135,12 +135,12 @@ def pairs_from_bad_cases(spark, folder):
 @query("error_type_counts", "A12 X14 L1", _R + _FAILS + """, u AS (SELECT id, unnest(types) AS error_type FROM lb), r AS (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY id) AS rn FROM u)
 SELECT error_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM lb), 6) AS share, string_agg(id, ',' ORDER BY id) FILTER (WHERE rn <= 3) AS examples FROM r GROUP BY error_type ORDER BY n DESC, error_type LIMIT 10""")
 def error_type_counts(spark, folder):
-    return _round(ev.error_type_counts(_narrow(_fails(spark, folder))), "share")
+    return _round(ev.error_type_counts(_narrow(_fails(spark, folder)), 10), "share")
 
 
 @query("semantic_group_counts", "A13 X13 L1", _R + _FAILS + " SELECT grp AS semantic_group, count(*) AS n, round(count(*) / (SELECT count(*) FROM lb), 6) AS share FROM lb GROUP BY grp ORDER BY n DESC, semantic_group LIMIT 10")
 def semantic_group_counts(spark, folder):
-    return _round(ev.semantic_group_counts(_narrow(_fails(spark, folder))), "share")
+    return _round(ev.semantic_group_counts(_narrow(_fails(spark, folder)), 10), "share")
 
 
 @query("tier_intent_crosstab", "A14", _R + _FAILS + """ SELECT tier AS difficulty, count(*) FILTER (WHERE intent = 'en') AS en, count(*) FILTER (WHERE intent = 'fr') AS fr, count(*) FILTER (WHERE intent = 'de') AS de,
@@ -332,8 +332,7 @@ def mitigation_compare(spark, folder):
 _OBJ = si.sql_list(lx.PROBE_OBJECTS)
 
 
-@query("build_probes", "J25 L4", f"""WITH i AS (SELECT 'p/' || CAST(page_id AS VARCHAR) || '.jpg' AS image, CAST(page_id AS VARCHAR) AS stem, CASE WHEN page_id % 2 = 0 THEN ['口袋', '拉链', '纽扣', '腰带', '帽子', '围巾'] ELSE [] END AS vis FROM pages
-   ORDER BY md5('42|' || 'p/' || CAST(page_id AS VARCHAR) || '.jpg'), image LIMIT 30),
+@query("build_probes", "J25 L4", f"""WITH i AS (SELECT 'p/' || CAST(page_id AS VARCHAR) || '.jpg' AS image, CAST(page_id AS VARCHAR) AS stem, CASE WHEN page_id % 2 = 0 THEN ['口袋', '拉链', '纽扣', '腰带', '帽子', '围巾'] ELSE [] END AS vis FROM pages),
  c AS (SELECT image, stem, vis, unnest({_OBJ}) AS o FROM i), pp AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY md5('42p|' || image || '|' || o), o) AS rn FROM c WHERE len(vis) = 0),
  nn AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY md5('42n|' || image || '|' || o), o) AS rn FROM c WHERE NOT list_contains(vis, o)),
  r AS (SELECT image, stem, o, true AS truth FROM pp WHERE rn <= 5 UNION ALL SELECT image, stem, unnest(vis[1:5]), true FROM i WHERE len(vis) > 0 UNION ALL SELECT image, stem, o, false FROM nn WHERE rn <= 5)

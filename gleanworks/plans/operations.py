@@ -79,10 +79,15 @@ def visual_context(spark, folder):
     return ag.visual_context(c, key="conv_id", seq="turn", text="text")
 
 
-@query("idempotency_keys", "P8")
+@query("idempotency_keys", "P8", """WITH e AS (SELECT event_id, user_id::VARCHAR || '|' || event_type || '|' || '{"a":"' || event_type || '","n":{"k":"' || regexp_extract(props, '[0-9]+') || '","list":[1,{"x":true,"y":null}]}}' AS call FROM events)
+SELECT sha256(call)[1:16] AS key, count(*) AS n, min(event_id) AS first_event FROM e GROUP BY 1""")
 def idempotency_keys(spark, folder):
     e = table(spark, folder, "events")
-    args = F.create_map(F.lit("k"), F.regexp_extract("props", "[0-9]+", 0), F.lit("a"), F.col("event_type"))
+    k = F.concat(F.lit('"k": "'), F.regexp_extract("props", "[0-9]+", 0), F.lit('"'))
+    a, inner = F.concat(F.lit('"a":"'), F.col("event_type"), F.lit('"')), F.lit('"list": [1, {"y": null, "x": true}]')
+    first = F.concat(F.lit("{"), a, F.lit(', "n": {'), inner, F.lit(","), k, F.lit("}}"))
+    second = F.concat(F.lit('{"n":{'), k, F.lit(","), inner, F.lit("}, "), a, F.lit("}"))
+    args = F.when(F.col("event_id") % 2 == 0, first).otherwise(second)  # two orders of the same arguments
     return e.groupBy(tx.idempotency_key(F.col("user_id").cast("string"), F.col("event_type"), args).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 

@@ -66,7 +66,8 @@ def pad_waste(spark, folder):
     return pk.pad_waste(_packed(spark, folder), "n").withColumn("waste", F.round("waste", 6))
 
 
-_PROMPT_SQL = "'## 已知商品信息' || chr(10) || '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' || chr(10) || chr(10) || '## 图像信息' || chr(10) || '图像类型：' || p_type || chr(10) || chr(10) || '## 本次生成要求' || chr(10) || '- 用户人设：焦虑型' || chr(10) || '- 用户情绪：平静' || chr(10) || '- 咨询意图：' || p_brand || chr(10) || '- 难度等级：' || (p_size % 5 + 1) || chr(10) || CASE WHEN p_partkey % 17 = 0 THEN '信息不足：请以追问为主' WHEN p_partkey % 19 = 0 THEN '超出范围：先安抚，再转人工' ELSE '' END"
+_PROMPT_SQL = ("'请写一轮客服对话。' || chr(10) || '商品：' || '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' || chr(10) || '图片：' || p_type || '（' || p_name || '）' || chr(10) || "
+               "'顾客：焦虑型（语气急，反复确认，容易担心买错），此刻平静' || chr(10) || '想问：' || p_brand || '（b' || p_size || '），难度 ' || (p_size % 5 + 1) || chr(10) || CASE WHEN p_partkey % 17 = 0 THEN '信息不足：请以追问为主' WHEN p_partkey % 19 = 0 THEN '超出范围：先安抚，再转人工' ELSE '' END")
 
 
 @query("build_prompts", "P6", f"SELECT p_partkey, {_PROMPT_SQL} AS prompt FROM part")
@@ -74,8 +75,8 @@ def build_prompts(spark, folder):
     p = table(spark, folder, "part")
     k = F.col("p_partkey")
     kind = F.when(k % 17 == 0, F.lit("clarify")).when(k % 19 == 0, F.lit("escalate")).otherwise(F.lit("normal"))
-    fields = {"product": F.to_json(F.struct("p_partkey", "p_name", "p_size")), "image_type_name": F.col("p_type"), "persona": F.lit(lx.PERSONAS[0][0]), "emotion": F.lit(lx.EMOTIONS[0]),
-              "intent_name": F.col("p_brand"), "difficulty": F.col("p_size") % 5 + 1}
+    fields = {"product": F.to_json(F.struct("p_partkey", "p_name", "p_size")), "image_type_name": F.col("p_type"), "caption": F.col("p_name"), "persona": F.lit(lx.PERSONAS[0][0]), "persona_description": F.lit(lx.PERSONAS[0][1]),
+              "emotion": F.lit(lx.EMOTIONS[0]), "intent_name": F.col("p_brand"), "intent_description": F.concat(F.lit("b"), F.col("p_size").cast("string")), "difficulty": F.col("p_size") % 5 + 1}
     return p.select("p_partkey", pk.build_prompt(fields, kind).alias("prompt"))
 
 
@@ -120,6 +121,13 @@ def split_by_group(spark, folder):
     return pk.split_by_group(si.samples(spark, folder, messages=False)).select("seq", "group_key", "split")
 
 
+@query("split_by_group_ratios", "W3", f"""WITH {_GROUPED}, own AS (SELECT group_key, CASE WHEN g < 3 THEN 'train' WHEN slot BETWEEN 4 AND 6 THEN 'test' WHEN slot BETWEEN 7 AND 8 THEN 'val' ELSE 'train' END AS split FROM nb)
+SELECT seq, group_key, own.split FROM k JOIN own USING (group_key)""")
+def split_by_group_ratios(spark, folder):
+    """Three tenths of the groups to test, two to validation."""
+    return pk.split_by_group(si.samples(spark, folder, messages=False), eval_ratio=0.2, test_ratio=0.3).select("seq", "group_key", "split")
+
+
 @query("split_overlap", "J6 F30 L5", f"WITH {_GROUPED}, m AS (SELECT image_path, CASE WHEN seq % 49 = 0 THEN 'test' ELSE split END AS split FROM splits WHERE image_path IS NOT NULL AND NOT starts_with(image_path, '__')) "
        "SELECT image_path, count(DISTINCT split) AS n_splits FROM m GROUP BY image_path HAVING count(DISTINCT split) > 1")
 def split_overlap(spark, folder):
@@ -151,7 +159,7 @@ def load_suite(spark, folder):
 # ---- plan ----
 
 _CELLS = "cells AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{i}', '{t}', {n})" for (i, _), row in zip(lx.INTENTS, lx.TARGET_MATRIX) for (t, _, _), n in zip(lx.IMAGE_TYPES, row)) + ") AS v(intent, image_type, target))"
+    f"('{i}', '{t}', {n})" for i, row in lx.TARGET_MATRIX.items() for t, n in row.items()) + ") AS v(intent, image_type, target))"
 _INTENT_SQL = "[" + ", ".join(f"'{k}'" for k, _ in lx.INTENTS) + "]"
 _TYPE_SQL = "[" + ", ".join(f"'{k}'" for k, _, _ in lx.IMAGE_TYPES) + "]"
 # documents dealt onto the taxonomy so that plan queries measure real counts
@@ -312,11 +320,11 @@ def pair_stats(spark, folder):
     return pr.pair_stats(_pairs(spark, folder)).withColumn("chosen_longer", F.round("chosen_longer", 6))
 
 
-@query("contrastive_pairs", "J13", f"""WITH {si.SAMPLES} SELECT id, image_type AS own_type, true AS other_type_differs, true AS image_of_other_type FROM samples WHERE image_path IS NOT NULL AND reply_text IS NOT NULL ORDER BY seq LIMIT 400""")
+@query("contrastive_pairs", "J13", f"""WITH {si.SAMPLES} SELECT id, image_type AS own_type, true AS other_type_differs, true AS image_of_other_type FROM samples WHERE image_path IS NOT NULL AND reply_text IS NOT NULL""")
 def contrastive_pairs(spark, folder):
     """Checked by its invariants: which rows get a pair, and that the rejected image belongs to another type."""
     s = si.samples(spark, folder, messages=False).withColumn("image_path", F.when(F.col("image_path").isNotNull(), F.concat_ws("#", "image_path", "image_type", "id")))
-    p = pr.contrastive_pairs(s.select("seq", "id", "image_type", "image_path", F.col("user_text").alias("query"), F.col("reply_text").alias("answer")), 400)
+    p = pr.contrastive_pairs(s.select("seq", "id", "image_type", "image_path", F.col("user_text").alias("query"), F.col("reply_text").alias("answer")))
     got = F.element_at(F.split(F.get("rejected_images", F.lit(0)), "#"), 2)
     return p.select(F.regexp_replace("id", "contrast_", "").alias("id"), F.col("image_type").alias("own_type"), (F.col("other_type") != F.col("image_type")).alias("other_type_differs"),
                     (got == F.col("other_type")).alias("image_of_other_type"))

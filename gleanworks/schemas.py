@@ -102,8 +102,7 @@ def image_types(spark: SparkSession) -> DataFrame:
 
 def target_cells(spark: SparkSession) -> DataFrame:
     """The 8 x 6 target matrix as rows, zero cells included."""
-    rows = [(i, t, int(n)) for (i, _), line in zip(lx.INTENTS, lx.TARGET_MATRIX)
-            for (t, _, _), n in zip(lx.IMAGE_TYPES, line)]
+    rows = [(i, t, int(n)) for i, line in lx.TARGET_MATRIX.items() for t, n in line.items()]
     return spark.createDataFrame(rows, "intent string, image_type string, target int")
 
 

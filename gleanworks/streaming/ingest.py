@@ -87,7 +87,7 @@ def handle_with_retry(handlers: Mapping[str, Callable[[DataFrame, int], None]],
                         error = None
                         break
                     except Exception as e:  # noqa: BLE001 - the handler is user code; its failure is recorded below
-                        error = str(e)[:200]
+                        error = str(e)
             if error is not None:
                 part.withColumn("error", F.lit(error)).withColumn("attempts", F.lit(used)).write.mode("overwrite").parquet(
                     f"{out}/dead/route={(name or 'other').replace('/', '_')}/batch={batch_id}")
