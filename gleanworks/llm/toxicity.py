@@ -36,7 +36,7 @@ SEEDS = {
     "contempt": ("disgusting", "pathetic", "despicable", "hateful", "repulsive", "shameful"),
 }
 CATEGORIES = (*SEEDS, "toxic")
-SAMPLE_ROWS, FOLDS, MIN_DOCS, MIN_Z, THRESHOLD = 20_000, 5, 5, 4.0, 0.5
+SAMPLE_ROWS, FOLDS, MIN_DOCS, MIN_Z, THRESHOLD = 10_000, 5, 5, 4.0, 0.5
 RIDGE, STEPS = 0.1, 30
 PREFIXES = (4, 5, 6, 7)  # bytes
 
@@ -79,15 +79,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int
     w, b = np.zeros(k), float(np.log(share / (1 - share)))
     if y.min(initial=1) == y.max(initial=0):
         return w, b
-    full = np.hstack([x, np.ones((n, 1))])
     theta, penalty = np.append(w, b), np.append(np.full(k, ridge), 1e-6)
     for _ in range(steps):
-        p = _sigmoid(full @ theta)
-        grad = full.T @ (p - y) + penalty * theta
-        hess = (full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty)
+        p = _sigmoid(x @ theta[:-1].astype(x.dtype) + theta[-1])
+        miss, spread = p - y, p * (1 - p)
+        grad = np.append(x.T @ miss.astype(x.dtype), miss.sum()) + penalty * theta
+        hess = np.diag(penalty)
+        for at in range(0, n, 1000):  # in blocks: one weighted copy of the rows at a time
+            part, v = x[at:at + 1000], spread[at:at + 1000].astype(x.dtype)
+            weighted = part * v[:, None]
+            hess[:k, :k] += weighted.T @ part
+            edge = weighted.sum(axis=0)
+            hess[:k, k] += edge
+            hess[k, :k] += edge
+            hess[k, k] += v.sum()
         move = np.linalg.solve(hess, grad)
         theta -= move * min(1.0, 5 / max(1e-12, np.abs(move).max()))
-        if np.abs(move).max() < 1e-8:
+        if np.abs(move).max() < 1e-5:
             break
     return theta[:-1], float(theta[-1])
 
@@ -97,14 +105,17 @@ def fit_chain(names: list[bytes], x: np.ndarray, y: np.ndarray, fold: np.ndarray
     n, cats = y.shape
     chain = Chain(names, np.zeros((cats, len(names))), np.zeros((cats, cats)), np.zeros(cats))
     oof = np.zeros((n, cats))
+    seen = np.zeros((n, len(names) + cats), np.float32)
+    seen[:, :len(names)] = x
     for j in range(cats):
-        seen = np.hstack([x, oof[:, :j]])
+        wide = len(names) + j
         for f in range(folds):
             rest = fold != f
             if rest.any() and not rest.all():
-                w, b = fit_logistic(seen[rest], y[rest, j])
-                oof[~rest, j] = _sigmoid(seen[~rest] @ w + b)
-        w, b = fit_logistic(seen, y[:, j])
+                w, b = fit_logistic(seen[rest, :wide], y[rest, j])
+                oof[~rest, j] = _sigmoid(seen[~rest, :wide] @ w + b)
+        w, b = fit_logistic(seen[:, :wide], y[:, j])
+        seen[:, wide] = oof[:, j]  # later models see what the model says of texts that it has not seen
         chain.weights[j], chain.earlier[j, :j], chain.bias[j] = w[:len(names)], w[len(names):], b
     return chain
 
@@ -173,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
         keep |= F.col(f"c{k}") - F.col("n") * share >= MIN_Z * F.sqrt(F.col("n") * share * (1 - share))
     names = sorted(bytes(r[0]) for r in counts.where(keep).select("word").collect())  # few of the sample's words
     data = sample.mapInArrow(_vectors(names), "fold int, y array<int>, x array<int>").toPandas()
-    x = np.zeros((len(data), len(names)))
+    x = np.zeros((len(data), len(names)), np.float32)
     for i, at in enumerate(data["x"]):
         x[i, at] = 1.0
     order = np.lexsort((*x.T[:3], data["fold"]))  # the fit must not depend on the order in which rows arrive
