@@ -15,6 +15,7 @@ connected components give this answer. The work is split into:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -135,13 +136,23 @@ def dedup_exact(samples: DataFrame, hashes: DataFrame | None = None, img: int =
 
 
 def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5, text: float = 0.85, n: int = 2,
-               keep_same_image: bool = True, peel_above: int = PEEL_ABOVE) -> DataFrame:
-    """(seq, kept, note): note is dup_pair, dup_image, same_image_diff_text, dup_text or NULL. ``peel_above`` never changes the result."""
+               keep_same_image: bool = True, peel_above: int = PEEL_ABOVE, similar: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(seq, kept, note): note is dup_pair, dup_image, same_image_diff_text, dup_text or NULL. ``peel_above`` never changes the result.
+
+    ``similar`` replaces the n-gram similarity of texts: it gets (tid, text), distinct non-empty texts, and returns the similar
+    pairs (a, b) of tids, such as a vector search gives; equal texts need not be among them.
+    """
     nodes = cut_lineage(_nodes(samples, hashes))
     first = cut_lineage(_collapse(nodes.drop("text")))
     texts = spread(cut_lineage(nodes.filter("seq = tid").select("tid", "text")))
     real = F.length("text") > 0
-    sigs = cut_lineage(simjoin.set_signatures(texts.filter(real), n, text))
+    found = None
+    if similar is None:
+        sigs = cut_lineage(simjoin.set_signatures(texts.filter(real), n, text))
+    else:
+        found = similar(texts.filter(real)).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = cut_lineage(found)
+        sigs = found.select(F.explode(F.array("a", "b")).alias("tid"), F.xxhash64("a", "b").alias("key"))
     exact = texts.filter(real).select("tid", F.col("tid").alias("key"))  # texts shorter than n still equal themselves
     keys = cut_lineage(sigs.select("tid", "key").unionByName(exact).distinct())
     lonely = hashes is None or not first.filter("h is null").isEmpty()
@@ -157,13 +168,16 @@ def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5
         t = t.join(where.select(F.col("seq").alias("b"), F.col("tid").alias("tb")), "b")
         same = t.filter("ta = tb").select("a", "b")
         uniq = t.filter("ta <> tb").select(F.col("ta").alias("x"), F.col("tb").alias("y")).distinct()
-        ok = simjoin.score_pairs(uniq.select(F.col("x").alias("a"), F.col("y").alias("b")), texts.select("tid", "text"), n, text)
+        if found is not None:
+            ok = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        else:
+            ok = simjoin.score_pairs(uniq.select(F.col("x").alias("a"), F.col("y").alias("b")), texts.select("tid", "text"), n, text)
         near = t.join(ok.select(F.col("a").alias("ta"), F.col("b").alias("tb")), ["ta", "tb"]).select("a", "b")
         return same.unionByName(near)
 
-    small = hashes is None and (sigs.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= peel_above
+    small = hashes is None and (found is not None or (sigs.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= peel_above)
     if small:  # every node is a text of its own and no bucket needs peeling: the filtered candidates are the edges
-        edges = simjoin.score_pairs(cut_lineage(simjoin.candidates(sigs, text)), texts.select("tid", "text"), n, text)
+        edges = found if found is not None else simjoin.score_pairs(cut_lineage(simjoin.candidates(sigs, text)), texts.select("tid", "text"), n, text)
         gone = graph.greedy_dropped(edges).select(F.col("node").alias("seq"))
     elif keep_same_image or hashes is None:
         gone = _resolve(post, verify, peel_above)
@@ -180,7 +194,8 @@ def dedup_near(samples: DataFrame, hashes: DataFrame | None = None, img: int = 5
     if hashes is None:
         note = F.when(F.col("kept").isNull(), F.lit("dup_pair"))
         return out.select("seq", F.coalesce("kept", F.lit(False)).alias("kept"), note.alias("note"))
-    return _notes(out, kept, texts, keys, sigs, n, text, img - 1, keep_same_image)
+    near = found if found is not None else simjoin.score_pairs(simjoin.candidates(sigs, text), texts.select("tid", "text"), n, text)
+    return _notes(out, kept, texts, near, img - 1, keep_same_image)
 
 
 def _same_image_dropped(post, verify, img_nodes, distance):
@@ -213,8 +228,8 @@ def _same_image_dropped(post, verify, img_nodes, distance):
         depth = cut_lineage(depth.join(starved.withColumn("more", F.lit(1)), "h", "left").select("h", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
 
 
-def _notes(out, kept, texts, keys, sigs, n, t, distance, keep_same_image):
-    """Why a row was dropped, and what a kept row had met before."""
+def _notes(out, kept, texts, cand, distance, keep_same_image):
+    """Why a row was dropped, and what a kept row had met before. ``cand``: similar pairs (a, b) of text ids."""
     per_hash = kept.filter("h is not null").groupBy("h").agg(F.min("seq").alias("f"))
     near = simjoin.hamming_pairs(out.select("h"), None, distance)
     sym = near.select(F.col("a").alias("h"), F.col("b").alias("h2")).unionByName(
@@ -222,7 +237,6 @@ def _notes(out, kept, texts, keys, sigs, n, t, distance, keep_same_image):
     sym = sym.unionByName(per_hash.select("h", F.col("h").alias("h2")))
     img_first = (sym.join(per_hash.select(F.col("h").alias("h2"), "f"), "h2").groupBy("h").agg(F.min("f").alias("img_first")))
     per_text = kept.groupBy("tid").agg(F.min("seq").alias("f"))
-    cand = simjoin.score_pairs(simjoin.candidates(sigs, t), texts.select("tid", "text"), n, t)
     tsym = cand.select(F.col("a").alias("tid"), F.col("b").alias("t2")).unionByName(
         cand.select(F.col("b").alias("tid"), F.col("a").alias("t2")))
     tsym = tsym.unionByName(texts.filter(F.length("text") > 0).select("tid", F.col("tid").alias("t2")))
@@ -249,6 +263,27 @@ def image_groups(hashes: DataFrame, threshold: int = 5, id_col: str = "id") -> D
     return labelled.join(heads, "c").select("id", "component")
 
 
+def image_rows(samples: DataFrame) -> DataFrame:
+    """One row (image_path) per real image of every sample: its ``images`` list, else its ``image_path``; placeholders and blanks go."""
+    have = set(samples.columns)
+    listed = F.col("images") if "images" in have else F.lit(None).cast("array<string>")
+    single = F.array("image_path") if "image_path" in have else F.array().cast("array<string>")
+    both = F.when(F.size(F.coalesce(listed, F.array().cast("array<string>"))) > 0, listed).otherwise(single)
+    rows = samples.select(F.explode(both).alias("image_path")).filter("image_path is not null and image_path <> ''")
+    return rows.filter(~F.col("image_path").startswith("__"))
+
+
+def leakage_of_samples(train: DataFrame, held: DataFrame, hashes: DataFrame, threshold: int = 8) -> DataFrame:
+    """``leakage_report`` for sample tables with ``images`` or ``image_path``; ``hashes``: image_path, phash.
+
+    With nothing but placeholders on the held-out side nothing was checked and coverage is 0.
+    """
+    def side(df: DataFrame) -> DataFrame:
+        return image_rows(df).distinct().join(hashes, "image_path", "left")
+
+    return leakage_report(side(train), side(held), threshold).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+
+
 def leakage_pairs(train: DataFrame, held: DataFrame, threshold: int = 8) -> DataFrame:
     """(eval_image, train_image, distance): held-out images that also occur, nearly, in training. Columns: image_path, phash."""
     t = cut_lineage(train.filter("phash is not null").select(F.col("image_path").alias("train_image"), "phash").distinct())

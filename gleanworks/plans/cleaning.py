@@ -304,6 +304,19 @@ def leakage_report(spark, folder):
     return r.withColumn("coverage", F.round("coverage", 6)).withColumn("leak_rate", F.round("leak_rate", 6))
 
 
+@query("leakage_of_samples", "J4", f"""WITH {si.FINGERPRINTS}, {_SIDES}, n AS (SELECT count(*) FILTER (WHERE d.doc_id % 5 = 0 AND phash IS NOT NULL) AS ec, count(*) FILTER (WHERE d.doc_id % 5 <> 0 AND phash IS NOT NULL) AS tc,
+  count(*) FILTER (WHERE d.doc_id % 5 = 0 AND phash IS NULL) AS es, count(*) FILTER (WHERE d.doc_id % 5 <> 0 AND phash IS NULL) AS ts FROM documents d LEFT JOIN prints p ON d.doc_id = p.doc_id),
+ l AS (SELECT count(*) AS np, count(DISTINCT ev) AS ni FROM pairs)
+SELECT ec AS n_eval_checked, tc AS n_train_checked, es AS n_eval_skipped, ts AS n_train_skipped, np AS n_leak_pairs, ni AS n_leak_eval_images,
+  round(ec / (ec + es), 6) AS coverage, round(ni / ec, 6) AS leak_rate FROM n, l""")
+def leakage_of_samples(spark, folder):
+    """Held-out rows that name their images in a list only, next to placeholders."""
+    t, e = _leak_sides(spark, folder)
+    held = e.select(F.array("image_path", F.lit("__text_only__"), F.lit("")).alias("images"))
+    r = dedup.leakage_of_samples(t.select("image_path"), held, t.select("image_path", "phash").unionByName(e.select("image_path", "phash")).distinct())
+    return r.withColumn("coverage", F.round("coverage", 6)).withColumn("leak_rate", F.round("leak_rate", 6))
+
+
 @query("duplicate_groups", "J5 R2", f"""WITH RECURSIVE {si.FINGERPRINTS}, e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM prints a JOIN prints b ON a.doc_id <> b.doc_id AND bit_count(xor(a.phash, b.phash)) < 5),
  c(node, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, c.root FROM c JOIN e ON c.node = e.x)
 SELECT node AS id, min(root) AS component FROM c GROUP BY node""")

@@ -176,6 +176,31 @@ def test_first_row_of_an_image_may_itself_be_dropped(spark):
     assert got == _sequential(rows, 5, 0.85, 2, False, False)[0] == {1: True, 2: False, 3: True, 4: False}
 
 
+def test_similarity_can_be_replaced(spark):
+    """Texts that start with the same letter count as similar."""
+    def same_letter(texts):
+        x, y = (texts.selectExpr(f"tid as {k}", f"substring(text, 1, 1) as {k}s") for k in "ab")
+        return x.join(y, x["as"] == y["bs"]).filter("a < b").select("a", "b")
+
+    i, j = 0b1111101000 << 20, 0b101010101010101010 << 40
+    rows = [(0, None, "apple pie"), (1, None, "anything"), (2, None, "bread"), (3, i, "cake"), (4, j, "cold"), (5, i, "crumb"), (6, None, ""), (7, None, "beer")]
+    got = {r.seq: r.kept for r in dedup.dedup_near(*_frames(spark, rows), similar=same_letter).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: True, 5: False, 6: True, 7: False}
+    samples = spark.createDataFrame([(s, t) for s, _, t in rows], "seq long, text string")
+    got = {r.seq: r.kept for r in dedup.dedup_near(samples, similar=same_letter).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_leakage_reads_image_lists(spark):
+    hashes = spark.createDataFrame([("t", 0b1111), ("e", 0b1110), ("f", 0xFFFFFF << 20)], "image_path string, phash long")
+    train = spark.createDataFrame([("t",)], "image_path string")
+    held = spark.createDataFrame([(["e", "__none__"],), (["f"],), ([],), (None,)], "images array<string>")
+    r = dedup.leakage_of_samples(train, held, hashes).first()
+    assert (r.n_eval_checked, r.n_leak_pairs, r.coverage) == (2, 1, 1.0)
+    r = dedup.leakage_of_samples(train, spark.createDataFrame([(["__none__"],)], "images array<string>"), hashes).first()
+    assert (r.n_eval_checked, r.coverage) == (0, 0.0)
+
+
 def test_a_chain_of_a_thousand(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")
     assert {r.node for r in graph.greedy_dropped(chain).collect()} == set(range(1, 1001, 2))
