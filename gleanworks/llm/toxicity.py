@@ -7,7 +7,7 @@ earlier ones are on texts they have not seen; when scoring, the models of all ro
 The labels table says whether a text is toxic, which is the last category; the categories before it are told apart among
 toxic texts by seed words (``SEEDS``). Models are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, those with
 the smallest seeded hash of doc_id). Words enter if, over the sample, they occur in ``MIN_DOCS`` rows and differ between
-the classes by ``MIN_Z`` standard errors in some category. Scoring is one pass over all texts, nothing exchanged.
+the classes by ``MIN_Z`` standard errors in some category; the ``FEATURES`` strongest make up the models. Scoring is one pass over all texts, nothing exchanged.
 
 Defined cases: a null or empty text has no words and gets the chain's base probabilities; labels that are null or whose
 doc_id is not found are not used; if several labels stand for one doc_id the largest counts; without labelled rows of
@@ -37,6 +37,7 @@ SEEDS = {
 }
 CATEGORIES = (*SEEDS, "toxic")
 SAMPLE_ROWS, FOLDS, MIN_DOCS, MIN_Z, THRESHOLD = 10_000, 5, 5, 4.0, 0.5
+FEATURES = 500  # words and beginnings of words in the models
 RIDGE, STEPS = 0.1, 30
 PREFIXES = (4, 5, 6, 7)  # bytes
 
@@ -177,12 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
         return Chain([], np.zeros((cats, 0)), np.zeros((cats, cats)), np.full(cats, np.log(share / (1 - share))))
     counts = sample.mapInArrow(_word_counts, "word binary, n long, per array<long>").groupBy("word").agg(
         F.sum("n").alias("n"), *[F.sum(F.get("per", k)).alias(f"c{k}") for k in range(len(CATEGORIES))]).where(F.col("n") >= MIN_DOCS)
-    keep = F.lit(False)
-    for k in range(len(CATEGORIES)):
-        # standard errors between the share of toxic rows among those with the word and among all
-        share = F.lit(positive[0] / rows)
-        keep |= F.col(f"c{k}") - F.col("n") * share >= MIN_Z * F.sqrt(F.col("n") * share * (1 - share))
-    names = sorted(bytes(r[0]) for r in counts.where(keep).select("word").collect())  # few of the sample's words
+    # standard errors between the share of a category's rows among those with the word, and the share of toxic rows among all
+    share = F.lit(positive[0] / rows)
+    strength = F.greatest(*[(F.col(f"c{k}") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)) for k in range(len(CATEGORIES))])
+    best = counts.select("word", strength.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "word").limit(FEATURES)
+    names = sorted(bytes(r[0]) for r in best.collect())
     data = sample.mapInArrow(_vectors(names), "fold int, y array<int>, x array<int>").toPandas()
     x = np.zeros((len(data), len(names)), np.float32)
     for i, at in enumerate(data["x"]):
