@@ -260,13 +260,35 @@ def _distinct_texts(spark, folder):
     return first_wins(d.withColumn("_k", F.sha2(F.encode("text", "utf-8"), 256)), ["_k"], "tid").drop("_k")
 
 
-@query("dedup_near", "J2 R1 U6")
+# The sequential rule itself: one step per row that has an earlier neighbour, carrying the rows dropped so far.
+_SIMILAR = f"""{_TEXTS}, {_CHARS}, {_GRAM_SETS.format(id='tid', chars='chars')},
+ k AS (SELECT DISTINCT u.tid AS a, v.tid AS b FROM x u JOIN x v ON u.gram = v.gram AND u.tid < v.tid AND least(u.n, v.n) >= greatest(u.n, v.n) * 0.85),
+ pr AS (SELECT k.a, k.b, len(list_intersect(u.gs, v.gs)) AS common, u.n AS na, v.n AS nb FROM k JOIN s u ON k.a = u.tid JOIN s v ON k.b = v.tid),
+ near AS MATERIALIZED (SELECT a, b FROM pr WHERE common / (na + nb - common) >= 0.85),
+ docs AS (SELECT doc_id, tid, texts.text FROM documents JOIN texts ON trim(documents.text) = texts.text),
+ alike AS MATERIALIZED (SELECT u.doc_id AS a, v.doc_id AS b FROM docs u JOIN docs v ON u.tid = v.tid AND u.doc_id < v.doc_id AND u.text <> ''
+           UNION SELECT least(u.doc_id, v.doc_id), greatest(u.doc_id, v.doc_id) FROM near JOIN docs u ON u.tid = a JOIN docs v ON v.tid = b)"""
+_SCAN = """adj AS MATERIALIZED (SELECT b, list(a) AS prev, row_number() OVER (ORDER BY b) AS i FROM e GROUP BY b),
+ scan(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+   SELECT adj.i, CASE WHEN len(list_filter(prev, lambda q: NOT list_contains(gone, q))) > 0 THEN list_append(gone, b) ELSE gone END FROM scan JOIN adj ON adj.i = scan.i + 1),
+ dropped AS (SELECT unnest(arg_max(gone, i)) AS seq FROM scan)"""
+
+
+@query("dedup_near", "J2 R1 U6", f"""WITH RECURSIVE {_SIMILAR}, e AS (SELECT * FROM alike), {_SCAN}
+SELECT doc_id AS seq, doc_id NOT IN (SELECT seq FROM dropped) AS kept, CASE WHEN doc_id IN (SELECT seq FROM dropped) THEN 'dup_pair' END AS note FROM docs""")
 def dedup_near(spark, folder):
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("seq"), "text")
     return dedup.dedup_near(d, n=5)
 
 
-@query("dedup_near_images", "J2 R1")
+@query("dedup_near_images", "J2 R1", f"""WITH RECURSIVE {si.FINGERPRINTS.replace('chars', 'pchars')}, {_SIMILAR},
+ h AS MATERIALIZED (SELECT docs.*, CASE WHEN docs.doc_id % 6 <> 0 THEN phash END AS h FROM docs LEFT JOIN prints ON prints.doc_id = docs.doc_id),
+ e AS (SELECT alike.a, alike.b FROM alike JOIN h u ON u.doc_id = alike.a JOIN h v ON v.doc_id = alike.b WHERE u.h IS NULL OR v.h IS NULL OR bit_count(xor(u.h, v.h)) < 5), {_SCAN},
+ kept AS (SELECT * FROM h WHERE doc_id NOT IN (SELECT seq FROM dropped)),
+ img AS (SELECT DISTINCT v.doc_id FROM kept u JOIN kept v ON u.doc_id < v.doc_id AND bit_count(xor(u.h, v.h)) < 5),
+ txt AS (SELECT DISTINCT b AS doc_id FROM alike JOIN kept ON kept.doc_id = alike.a)
+SELECT doc_id AS seq, doc_id IN (SELECT doc_id FROM kept) AS kept, CASE WHEN doc_id NOT IN (SELECT doc_id FROM kept) THEN 'dup_pair' WHEN doc_id IN (SELECT doc_id FROM img) THEN 'same_image_diff_text'
+  WHEN doc_id IN (SELECT doc_id FROM txt) THEN 'dup_text' END AS note FROM h""")
 def dedup_near_images(spark, folder):
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("seq"), "text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("image_path"))
     prints = si.fingerprints(spark, folder).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("image_path"), F.when(F.col("doc_id") % 6 != 0, F.col("phash")).alias("phash"))

@@ -347,11 +347,16 @@ def _images(spark, folder):
                                                 F.when(F.col("page_id") % 2 == 0, vis).otherwise(F.array().cast("array<string>")).alias("visible"))
 
 
-@query("attribute_probes", "J26 L4")
+_PICK = "('0x' || substr(md5('{}|' || image), 1, 8))::BIGINT"
+_ATTRS = "[" + ", ".join(si.sql_list(v) for v in lx.PROBE_ATTRIBUTES.values()) + "]"
+
+
+@query("attribute_probes", "J26 L4", f"""WITH i AS (SELECT 'p/' || CAST(page_id AS VARCHAR) || '.jpg' AS image, CAST(page_id AS VARCHAR) AS stem FROM pages),
+ v AS (SELECT *, {_ATTRS}[{_PICK.format(43)} % {len(lx.PROBE_ATTRIBUTES)} + 1] AS vals FROM i), x AS (SELECT *, {_PICK.format(44)} % len(vals) AS a FROM v),
+ y AS (SELECT *, (a + 1 + {_PICK.format(45)} % (len(vals) - 1)) % len(vals) AS b FROM x)
+SELECT stem || '_attr_' || vals[b + 1] AS qid, image, '这件衣服是' || vals[b + 1] || '色的吗？' AS question, false AS ground_truth, 'attribute' AS probe_type, vals[b + 1] AS target, vals[a + 1] AS shown FROM y""")
 def attribute_probes(spark, folder):
-    a = ev.attribute_probes(_images(spark, folder))
-    both = a.drop("shown").unionByName(ev.build_probes(_images(spark, folder)))
-    return both.groupBy("probe_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ground_truth"), 1)).alias("n_true"))
+    return ev.attribute_probes(_images(spark, folder))
 
 
 # ---- JSON, claims, rewards over the event payloads and texts ----
