@@ -181,7 +181,7 @@ def match_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
             size = 0
         parts[-1].append((r[0], bytes(r[1])))
         size += n
-    out = docs.select(*rest).withColumns({
+    out = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumns({
         "n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<struct<start:int,end:int>>"),
         "hit_items": F.array().cast("array<string>")})
     for part in parts:
@@ -231,7 +231,9 @@ def without_spans(matched: DataFrame, text: str = "text", least: int = WINDOW) -
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 5, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with their own columns."""
-    return match_items(docs, items, window=window).where(~contaminated(percent)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = {c: f"{c}_of_input" if c in ADDED else c for c in docs.columns}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    return match_items(renamed, items, window=window).where(~contaminated(percent)).select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -194,8 +194,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows whose document is a near copy of one with a smaller doc_id."""
-    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @query("op8_minhash_near_dedup", """

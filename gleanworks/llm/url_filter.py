@@ -122,6 +122,12 @@ def word_shares(pages: DataFrame, least: float = WORD_SHARE) -> dict[str, float]
 
 
 def _classed(shares):
+    def out(seen: dict[str, Counter]) -> pa.RecordBatch:
+        rows = [(c, w, n) for c, counts in seen.items() for w, n in counts.items()]
+        for counts in seen.values():
+            counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["class", "word", "n"])
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seeds = Segmenter(shares.value), frozenset(BLOCK_WORDS)
         seen = {"block": Counter(), "allow": Counter()}
@@ -132,8 +138,9 @@ def _classed(shares):
                 counts.update(ws)
                 counts.update(cut.words(p))
                 counts[""] += 1  # pages of the class
-        rows = [(c, w, n) for c, counts in seen.items() for w, n in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["class", "word", "n"])
+            if len(seen["block"]) + len(seen["allow"]) > 300_000:
+                yield out(seen)
+        yield out(seen)
 
     return run
 

@@ -65,6 +65,6 @@ def test_defined_cases(spark):
     rows = [(1, None), (2, base), (3, base), (3, base), (None, base), (4, ""), (5, "solo")]
     assert run(spark, rows) == sorted([(1, 0, 1, True), (2, 96, 2, True), (3, 96, 2, False), (3, 96, 2, False), (None, 96, None, True), (4, 0, 4, True), (5, 1, 5, True)], key=str)
     assert run(spark, []) == []
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, True, 1, 2) for r in rows], "doc_id long, text string, kept boolean, id int, row int")
     kept = keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "None"]
