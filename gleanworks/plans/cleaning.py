@@ -295,6 +295,20 @@ def dedup_near_images(spark, folder):
     return dedup.dedup_near(d, prints, n=5)
 
 
+@query("dedup_folded", "J2 R1 U6", """WITH f AS (SELECT doc_id, trim(text) AS text, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g') AS fold FROM documents),
+ r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY CASE WHEN fold = '' THEN text ELSE fold END ORDER BY doc_id) AS rn FROM f)
+SELECT doc_id AS seq, rn = 1 OR text = '' AS kept, CASE WHEN rn > 1 AND text <> '' THEN 'dup_pair' END AS note FROM r""")
+def dedup_folded(spark, folder):
+    """The sequential rule with another similarity: texts with the same letters and digits, whatever their case and marks."""
+    def same_letters(texts):
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        t = texts.select("tid", F.regexp_replace(F.translate("text", upper, lower), "[^a-z0-9]", "").alias("fold")).filter("fold <> ''")
+        first = t.groupBy("fold").agg(F.min("tid").alias("a"))  # the first one stands for its group
+        return t.join(first, "fold").select("a", F.col("tid").alias("b")).filter("a <> b")
+
+    return dedup.dedup_near(table(spark, folder, "documents").select(F.col("doc_id").alias("seq"), "text"), similar=same_letters)
+
+
 @query("near_pairs_lsh", "J3")
 def near_pairs_lsh(spark, folder):
     return simjoin.near_pairs_lsh(_distinct_texts(spark, folder), 5, 0.85)
