@@ -5,7 +5,7 @@ words by a Viterbi search under a unigram model. The model counts the words of t
 at least ``WORD_SHARE`` of all words, so at most 1 / WORD_SHARE of them) and the seed words. A naive Bayes model over the
 words of host and path is learnt from all pages: pages whose host holds a word of ``BLOCK_WORDS`` teach the block class,
 all others the allow class. Word counts per class are combined before the shuffle, so a host that fills a third of the
-rows is a few counts. Rules of the operator of the list are tried first.
+rows is a few counts. All counts are used: those of frequent words are sent to the tasks, rare words meet theirs in a join. Rules of the operator of the list are tried first.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the class
 shares alone; a null html adds no words; an empty table gives an empty result; repeated rows are judged each. Other
@@ -145,27 +145,35 @@ def _classed(shares):
     return run
 
 
+def _odds(block, allow, total: tuple[float, float], smooth: float, log=math.log):
+    """Log odds of a word that the classes hold ``block`` and ``allow`` times."""
+    return log((block + smooth) / total[0]) - log((allow + smooth) / total[1])
+
+
 def bayes(counts: dict[tuple[str, str], int], smooth: float = SMOOTH) -> tuple[float, dict[str, float], float]:
     """Log odds of block over allow: of the classes, of each word, of an unknown word."""
     vocab = {w for _, w in counts if w}
-    total = {c: sum(n for (k, w), n in counts.items() if k == c and w) + smooth * (len(vocab) + 1) for c in ("block", "allow")}
+    total = tuple(sum(n for (k, w), n in counts.items() if k == c and w) + smooth * (len(vocab) + 1) for c in ("block", "allow"))
     prior = math.log((counts.get(("block", ""), 0) + smooth) / (counts.get(("allow", ""), 0) + smooth))
-    odds = {w: math.log((counts.get(("block", w), 0) + smooth) / total["block"]) - math.log((counts.get(("allow", w), 0) + smooth) / total["allow"]) for w in vocab}
-    return prior, odds, math.log(total["allow"] / total["block"])
+    odds = {w: _odds(counts.get(("block", w), 0), counts.get(("allow", w), 0), total, smooth) for w in vocab}
+    return prior, odds, math.log(total[1] / total[0])
 
 
 def _judge(shares, model):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Segmenter(shares.value)
-        prior, odds, other = model.value
+        prior, odds = model.value
         for b in batches(frames):
-            score, words = [], []
+            score, words, rare = [], [], []
             for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
                 ws = cut.words(h)
                 words.append(" ".join(ws))
-                score.append(prior + math.fsum(odds.get(w, other) for w in [*ws, *cut.words(p)]))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(words, pa.string()), pa.array(score, pa.float64())],
-                                             ["page_id", "host", "path", "host_words", "log_odds"])
+                ws = [*ws, *cut.words(p)]
+                score.append(prior + math.fsum(odds[w] for w in ws if w in odds))
+                rare.append([w for w in ws if w not in odds])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(words, pa.string()), pa.array(score, pa.float64()),
+                                              pa.array(rare, pa.list_(pa.string()))],
+                                             ["page_id", "host", "path", "host_words", "log_odds", "rare"])
 
     return run
 
@@ -175,13 +183,25 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     bc = pages.sparkSession.sparkContext.broadcast
     shares = bc(word_shares(pages))
     cut = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    # Words of hosts and paths by class: a vocabulary, rare strings of paths apart.
-    counts = cut_lineage(cut.mapInArrow(_classed(shares), "class string, word string, n long").groupBy("class", "word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.where((F.col("word") == "") | (F.col("n") >= WORD_SHARE * total)).collect()  # at most 1 / WORD_SHARE rows
-    model = bayes({(r["class"], r.word): r.n for r in kept})
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, host_words string, log_odds double"
-    judged = cut.mapInArrow(_judge(shares, bc(model)), schema).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
+    # Words of hosts and paths by class: all of them, a word of one page too.
+    n_of = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(F.lit(0))).alias(c) for c in ("block", "allow")]
+    counts = cut_lineage(cut.mapInArrow(_classed(shares), "class string, word string, n long").groupBy("word").agg(*n_of))
+    words = counts.where("word <> ''")
+    seen = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("block", "allow")], F.count(F.lit(1))).first()
+    of_class = counts.where("word = ''").first() or {"block": 0, "allow": 0}
+    prior = math.log((of_class["block"] + SMOOTH) / (of_class["allow"] + SMOOTH))
+    total = tuple(n + SMOOTH * (seen[2] + 1) for n in seen[:2])
+    # Words that make up WORD_SHARE of all go to the tasks (at most 1 / WORD_SHARE of them), the others meet their pages in a join.
+    often = F.col("block") + F.col("allow") >= WORD_SHARE * (seen[0] + seen[1])
+    common = {r.word: _odds(r.block, r.allow, total, SMOOTH) for r in words.where(often).collect()}
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, host_words string, log_odds double, rare array<string>"
+    judged = cut_lineage(cut.mapInArrow(_judge(shares, bc((prior, common))), schema).withColumn("_row", F.monotonically_increasing_id()))
+    odds = words.where(~often).select("word", _odds(F.col("block"), F.col("allow"), total, SMOOTH, F.log).alias("_odds"))
+    rest = judged.select("_row", F.explode("rare").alias("word")).join(odds, "word").groupBy("_row").agg(F.collect_list("_odds").alias("_rest"))
+    # summed in order of size, so that equal urls have equal odds
+    rest = rest.select("_row", F.aggregate(F.array_sort("_rest"), F.lit(0.0), lambda x, y: x + y).alias("_rest"))
+    judged = (judged.drop("rare").join(rest, "_row", "left").withColumn("log_odds", F.col("log_odds") + F.coalesce("_rest", F.lit(0.0)))
+              .withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)))
     return judged.select("page_id", "host", "path", F.col("_r.rule").alias("rule"),
                          F.coalesce("_r.action", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "log_odds")
 

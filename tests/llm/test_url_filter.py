@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+from collections import Counter
 
 from gleanworks.llm import url_filter as uf
 
@@ -54,3 +55,22 @@ def test_bayes_by_hand():
     prior, odds, other = uf.bayes({("block", ""): 1, ("allow", ""): 3, ("block", "spam"): 2, ("allow", "spam"): 1, ("allow", "tea"): 5})
     assert math.isclose(prior, math.log(2 / 4)) and math.isclose(odds["spam"], math.log(3 / 5) - math.log(2 / 9)) and math.isclose(odds["tea"], math.log(1 / 5) - math.log(6 / 9))
     assert math.isclose(other, math.log(1 / 5) - math.log(1 / 9))
+
+
+def test_rare_words_keep_their_counts(spark):
+    # enough counts that a share of 1e-5 is more than one hit
+    urls = [f"http://quiet.example/{'abcdefgh'[i % 8]}/pages/news/{i}" for i in range(40_000)] + ["http://casino.example/win"] * 30
+    urls += ["http://poker.example/zq", "http://quiet.example/kx/jw", "http://quiet.example/kx"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("page_id", "url", "cast(null as string) html", "'x' host")
+    s = uf.Segmenter(uf.word_shares(pages))
+    words = [(s.words(h), s.words(p)) for h, p in map(cut, urls)]
+    counts = Counter()
+    for h, p in words:
+        c = "block" if set(h) & set(uf.BLOCK_WORDS) else "allow"
+        counts.update([(c, ""), *[(c, w) for w in h + p]])
+    assert min(counts.values()) == 1 < uf.WORD_SHARE * sum(counts.values())
+    prior, odds, _ = uf.bayes(counts)
+    for r in uf.filter_urls(pages).collect():
+        h, p = words[r.page_id]
+        want = prior + math.fsum(odds[w] for w in h + p)
+        assert math.isclose(r.log_odds, want, abs_tol=1e-9) and r.verdict == ("block" if want > 0 else "allow")
