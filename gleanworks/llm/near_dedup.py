@@ -115,7 +115,8 @@ def _setter(width: int):
         memo = _WordHashes()
         for b in batches(frames, 8 << 20):
             sets = list(starmap(lambda t: shingle_set(words(t), width, memo).view(np.int64), zip(utf8(b, "text"))))
-            yield pa.RecordBatch.from_arrays([b.column("id"), _lists(sets)], ["id", "shingles"])
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys), _lists(sets)], ["id", "set", "shingles"])
 
     return run
 
@@ -135,9 +136,9 @@ def _remaining_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFram
     Each set is sorted rarest shingle first. Two similar sets share a shingle among the first ones of both, and what
     follows the first shared one bounds their overlap, so pairs that only share what their whole group shares never arise.
     """
-    token = (sets.join(live, "id").select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    token = (sets.join(live, "id").select("id", "set", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
     often = cut_lineage(token.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
-    order = Window.partitionBy("id").orderBy("df", "s")
+    order = Window.partitionBy("id", "set").orderBy("df", "s")
     need = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
     head = cut_lineage(token.join(often, "s").withColumn("pos", F.row_number().over(order))
                        .where((F.col("pos") <= F.col("n") - need + 1) & (F.col("df") > 1)).drop("df"))
@@ -162,8 +163,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = cut_lineage(bands_of.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("key"))
     cells = cut_lineage(bands_of.join(shared, "key"))
     wanted = cells.select("id").distinct()
-    sets = cut_lineage(src.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-                       .mapInArrow(_setter(width), "id long, shingles array<long>"))
+    # One row per document and set: rows that repeat a doc_id are fetched apart and their equal sets taken once.
+    repeated = cut_lineage(signed.where("n > 0").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                           .join(wanted, "id", "left_semi").select("id"))
+    texts = src.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
+    fetch = lambda ids: texts.join(ids, "id", "left_semi").mapInArrow(_setter(width), "id long, set long, shingles array<long>")
+    if repeated.isEmpty():
+        sets = cut_lineage(fetch(wanted))
+    else:
+        sets = cut_lineage(fetch(wanted.join(repeated, "id", "left_anti")).union(fetch(repeated).dropDuplicates(["id", "set"])))
     links = None
     labels = cells.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(star_rounds + 1):

@@ -68,3 +68,16 @@ def test_defined_cases(spark):
     docs = spark.createDataFrame([(*r, True, 1, 2) for r in rows], "doc_id long, text string, kept boolean, id int, row int")
     kept = keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "None"]
+
+
+def test_repeated_rows_lose_no_link(spark):
+    rng = random.Random(9)
+    texts = [some(rng, 80) for _ in range(6)]
+    for edits in (1, 2):
+        texts += family(rng, some(rng, 150), 8, edits)
+    rows = list(enumerate(texts, 1))
+    label = {r[0]: r for r in brute(rows)}
+    rows = rows * 3 + rows[:9]
+    want = sorted((label[i] for i, _ in rows), key=str)
+    assert run(spark, rows) == want
+    assert run(spark, rows, star_rounds=0) == want
