@@ -2,15 +2,16 @@
 
 A text is lower-cased (A-Z) and read as words; each word is followed by a blank, the last one by the end symbol, so a text's
 tokens and its byte stream stand for each other one to one. Tree nodes are contexts of up to ``DEPTH`` bytes, across
-word borders too. A context is kept if it makes up ``LEAST`` of the training positions and its next-symbol counts diverge
-from those of its longest kept suffix (count-weighted Kullback-Leibler divergence of at least ``GAIN`` nats). Next-symbol
-distributions are smoothed towards that suffix. A text's score is the sum over its stream, at each place from the state
-of the longest kept context that the stream ends with.
+word borders too. A context is kept if it was seen ``LEAST`` times in training (a number below 1 is a share of the
+positions) and its next-symbol counts diverge from those of its longest kept suffix (count-weighted Kullback-Leibler
+divergence of at least ``GAIN`` nats). Next-symbol distributions are smoothed towards that suffix. A text's score is the
+sum over its stream, at each place from the state of the longest kept context that the stream ends with.
 
-Counting is one pass with sums per task before the shuffle; contexts are kept from counts of all training text. At most
-DEPTH / LEAST contexts can reach their share, whatever the size of the corpus: that bounds what the driver reads and
-tasks receive (here below 500,000 contexts, in prose about 20,000). Words are counted whole, by a 64-bit key of the
-word; counts of words above ``COMMON`` (at most 1 / COMMON of them) go to the tasks, all others meet their words in a join.
+The tree is a distributed table and grows with the corpus: for every gram (context and next symbol) of any text, its
+training count and its probability, made from the shorter grams' by one join a level. Rows are taken in chunks; each chunk
+asks for its distinct grams once and gets their probabilities by an equi-join, next to its texts. Counting is one pass with
+sums per task before the shuffle. Words are counted whole, by a 64-bit key of the word; counts of words above ``COMMON``
+(at most 1 / COMMON of them) go to the tasks, all others meet their words in a join.
 
 Defined cases: a null text counts as empty and is one end token; a row without doc_id is held out; repeated rows are
 scored each; without training rows N = V = 0, every base probability is 1 and the model is uniform over bytes. Other
@@ -22,9 +23,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import cut_lineage
 from .common import batches, query, read, utf8, words
 
-DEPTH, LEAST, GAIN, PRIOR = 5, 1e-5, 15.0, 8.0
+DEPTH, LEAST, GAIN, PRIOR = 5, 16, 15.0, 8.0  # a context and its next byte make up a 64-bit key: DEPTH is 7 at most
 COMMON = 1e-6
 START, END = b"\n", b"\xff"  # neither occurs in a word
-SEGMENT = 1024  # bytes scored in one lane
+CHUNK_BITS = 14  # a chunk is at most so many rows of one partition, as a power of 2
 _END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64).view(np.int64)[0].item()
 
 
@@ -43,6 +44,21 @@ def stream(ws: list[bytes]) -> bytes:
     return b" ".join([*ws, END]) if ws else END
 
 
+def grams_of(pieces: list[bytes], d: int) -> np.ndarray:
+    """(context, next symbol) as integers for each byte of the pieces but the first ``d`` of each, which are context only."""
+    a = np.frombuffer(b"".join(pieces), np.uint8)
+    fresh = np.ones(len(a), bool)
+    at = 0
+    for x in pieces:
+        fresh[at:at + d] = False
+        at += len(x)
+    wide = a.astype(np.uint64)
+    g = np.zeros(len(a) - d, np.uint64)
+    for j in range(d + 1):
+        g = g << np.uint64(8) | wide[j:len(a) - d + j]
+    return g[fresh[d:]]
+
+
 class _Grams:
     """Counts of (context, next symbol) as integers of DEPTH + 1 bytes, merged in bounded pieces."""
 
@@ -63,18 +79,7 @@ class _Grams:
     def flush(self) -> None:
         if not self.buffer:
             return
-        d = self.depth
-        a = np.frombuffer(b"".join(self.buffer), np.uint8)
-        fresh = np.ones(len(a), bool)
-        at = 0
-        for x in self.buffer:  # the first DEPTH bytes of a piece are context only
-            fresh[at:at + d] = False
-            at += len(x)
-        wide = a.astype(np.uint64)
-        g = np.zeros(len(a) - d, np.uint64)
-        for j in range(d + 1):
-            g = g << np.uint64(8) | wide[j:len(a) - d + j]
-        self.parts.append(np.unique(g[fresh[d:]], return_counts=True))
+        self.parts.append(np.unique(grams_of(self.buffer, self.depth), return_counts=True))
         self.size += len(self.parts[-1][0])
         self.buffer, self.waiting = [], 0
         if self.size > 1_500_000:
@@ -105,178 +110,211 @@ def _counter(depth: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        grams = _Grams(depth)
+        taught, asked = _Grams(depth), _Grams(depth)
         for b in batches(frames, 8 << 20):
-            for t in utf8(b, "text"):
+            for t, held in zip(utf8(b, "text"), b.column("held_out").to_pylist()):
                 ws = words(t)
-                seen.update(ws)
-                grams.add(stream(ws))
-            seen[END] += b.num_rows
+                (asked if held else taught).add(stream(ws))
+                if not held:
+                    seen.update(ws)
+                    seen[END] += 1
             if len(seen) > 400_000:
                 yield from words_out(seen)
-            if grams.size > 1_000_000:
-                grams.flush()
-                grams.merge()
-                if grams.size > 1_000_000:
-                    yield from _rows(1, *grams.parts[0])
-                    grams = _Grams(depth)
+            if taught.size + asked.size > 1_000_000:
+                yield from _gram_rows(taught, asked, 1_000_000)
         yield from words_out(seen)
+        yield from _gram_rows(taught, asked, 0)
+
+    return run
+
+
+def _gram_rows(taught: _Grams, asked: _Grams, least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams; those that are only asked for count 0."""
+    for grams in (taught, asked):
+        grams.flush()
+        grams.merge()
+    if taught.size + asked.size > least:
+        for grams in (taught, asked):
+            for keys, n in grams.parts:
+                yield from _rows(1, keys, n if grams is taught else np.zeros_like(n))
+            grams.parts, grams.size = [], 0
+
+
+def _chunk_grams(depth: int):
+    """The distinct grams of every chunk; rows of a chunk lie together."""
+    def out(chunk: int, grams: _Grams) -> Iterator[pa.RecordBatch]:
         grams.flush()
         grams.merge()
-        for keys, n in grams.parts:
-            yield from _rows(1, keys, n)
+        for keys, _ in grams.parts:
+            for at in range(0, len(keys), 200_000):
+                k = keys[at:at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int64)), pa.array(k.view(np.int64))], ["chunk", "key"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, grams = None, _Grams(depth)
+        for b in batches(frames, 8 << 20):
+            for t, chunk in zip(utf8(b, "text"), b.column("chunk").to_pylist()):
+                if chunk != at:
+                    yield from out(at, grams)
+                    at, grams = chunk, _Grams(depth)
+                grams.add(stream(words(t)))
+        yield from out(at, grams)
 
     return run
 
 
-class SuffixTree:
-    """Kept contexts with smoothed distributions, as an automaton over bytes."""
-
-    def __init__(self, levels: list[pd.DataFrame], gain: float = GAIN, prior: float = PRIOR):
-        """``levels[d]``: columns key (context of d bytes, then the next byte) and n, for contexts that are frequent enough."""
-        self.depth = len(levels) - 1
-        flat = np.full(256, 1 / 256)
-        kept: dict[bytes, np.ndarray] = {}
-        for d, level in enumerate(levels):
-            level = level.sort_values("key")
-            key, n = level["key"].to_numpy(np.int64), level["n"].to_numpy(np.float64)
-            ctx, nxt = key >> 8, key & 255
-            first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else []
-            for s, e in zip(first, [*first[1:], len(ctx)]):
-                c = int(ctx[s]).to_bytes(d, "big")
-                below = next((kept[c[i:]] for i in range(1, d + 1) if c[i:] in kept), flat)
-                total = n[s:e].sum()
-                if d == 0 or (n[s:e] * np.log(n[s:e] / total / below[nxt[s:e]])).sum() >= gain:
-                    p = prior * below
-                    p[nxt[s:e]] += n[s:e]
-                    kept[c] = p / (total + prior)
-        kept.setdefault(b"", flat)
-        self.kept = kept
-        # States: kept contexts and their beginnings, so that a step needs no more than the state and the byte.
-        names = sorted({c[:i] for c in kept for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        at = {c: i for i, c in enumerate(names)}
-        used = np.zeros(256, bool)
-        for c in names:
-            used[list(c)] = True
-        self.symbol = np.zeros(256, np.int32)  # bytes that no context holds share column 0 of the steps
-        self.symbol[used] = np.arange(1, used.sum() + 1)
-        heads = np.flatnonzero(used)
-        self.step = np.zeros((len(names), len(heads) + 1), np.int32)
-        score_of = np.zeros(len(names), np.int32)
-        where = {c: i for i, c in enumerate(kept)}
-        for i, c in enumerate(names):
-            for j, b in enumerate(heads, 1):
-                w = c + bytes([b])
-                while w not in at:
-                    w = w[1:]
-                self.step[i, j] = at[w]
-            score_of[i] = next(where[c[k:]] for k in range(len(c) + 1) if c[k:] in where)
-        self.score_of = score_of
-        self.logp = np.log10(np.stack(list(kept.values()))).astype(np.float64)
+def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams and probabilities of a chunk side by side, in few rows."""
+    def out() -> pa.RecordBatch:
+        chunk, key, logp = (np.concatenate([p[k] for p in waiting]) for k in range(3))
+        order = np.argsort(chunk, kind="stable")
+        chunk, key, logp = chunk[order], key[order], logp[order]
+        first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+        ends = [*first[1:], len(chunk)]
+        cols = [pa.array(chunk[first]), *[pa.array([v[s:e].tobytes() for s, e in zip(first, ends)], pa.binary()) for v in (key, logp)]]
+        return pa.RecordBatch.from_arrays(cols, ["chunk", "keys", "logps"])
+
+    waiting, size = [], 0
+    for b in frames:
+        if b.num_rows:
+            waiting.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "key", "logp")])
+            size += b.num_rows
+        if size > 500_000:
+            yield out()
+            waiting, size = [], 0
+    if size:
+        yield out()
+
+
+class _Table:
+    """log10 probabilities of the grams of one chunk."""
+
+    def __init__(self, depth: int):
+        self.depth, self.parts, self.keys, self.logp = depth, [], None, None
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each stream. Streams are cut into lanes; a lane starts DEPTH bytes early to find its state."""
-        d, lanes = self.depth, [max(1, -(-len(t) // SEGMENT)) for t in texts]
-        out = np.zeros(sum(lanes))
-        row, waiting = 0, []
-        for t, k in zip(texts, lanes):
-            t = START * d + t
-            for i in range(k):
-                waiting.append(t[i * SEGMENT:(i + 1) * SEGMENT + d])
-                if len(waiting) == 8192:
-                    out[row:row + 8192] = self._lanes(waiting)
-                    row, waiting = row + 8192, []
+        if self.keys is None:
+            keys = np.frombuffer(b"".join(k for k, _ in self.parts), np.uint64)
+            order = np.argsort(keys)
+            self.keys, self.logp = keys[order], np.frombuffer(b"".join(p for _, p in self.parts), np.float64)[order]
+            self.parts = []
+        out = np.zeros(len(texts))
+        row, waiting, size = [], [], 0
+        for i, t in enumerate(texts):
+            for at in range(0, len(t), 1 << 20):  # very long texts in pieces, each with the bytes before it
+                waiting.append((START * self.depth + t)[at:at + (1 << 20) + self.depth] if len(t) > 1 << 20 else START * self.depth + t)
+                row.append(i)
+                size += len(waiting[-1])
+                if size > 1 << 20:
+                    self._add(out, row, waiting)
+                    row, waiting, size = [], [], 0
         if waiting:
-            out[row:] = self._lanes(waiting)
-        return np.add.reduceat(out, np.cumsum([0, *lanes[:-1]])) if texts else out
-
-    def _lanes(self, parts: list[bytes]) -> np.ndarray:
-        d = self.depth
-        size = np.array([len(p) for p in parts])
-        order = np.argsort(-size, kind="stable")
-        wide = size.max()
-        grid = np.frombuffer(b"".join(parts[i].ljust(wide, b"\0") for i in order), np.uint8).reshape(len(parts), wide).T.copy()
-        alive = len(parts) - np.searchsorted(np.sort(size), np.arange(wide), side="right")
-        state, total = np.zeros(len(parts), np.int32), np.zeros(len(parts))
-        columns = self.step.shape[1]
-        steps, logp = self.step.ravel(), self.logp.ravel()
-        for t in range(wide):
-            n = alive[t]
-            b = grid[t, :n]
-            if t >= d:
-                total[:n] += logp.take(self.score_of.take(state[:n]).astype(np.int64) * 256 + b)
-            state[:n] = steps.take(state[:n].astype(np.int64) * columns + self.symbol.take(b))
-        out = np.empty(len(parts))
-        out[order] = total
+            self._add(out, row, waiting)
         return out
 
+    def _add(self, out: np.ndarray, row: list[int], pieces: list[bytes]) -> None:
+        g = grams_of(pieces, self.depth)
+        at = np.searchsorted(self.keys, g)
+        if at.max() >= len(self.keys) or (self.keys[at] != g).any():
+            raise RuntimeError("the rows changed between two passes: a gram without a probability")
+        first = np.cumsum([0] + [len(x) - self.depth for x in pieces[:-1]])
+        np.add.at(out, row, np.add.reduceat(self.logp[at], first))
 
-def _scorer(tree, common, n_all: int, n_words: int):
+
+def _scorer(depth: int, common, n_all: int, n_words: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
+        at, model = None, None
         known = dict(zip(*(x.tolist() for x in common.value)))
         floor = n_all + 0.1 * (n_words + 1)
         memo: dict[bytes, tuple[float, int]] = {}
-        for b in batches(frames, 8 << 20):
-            n, seen, base, rare, texts = [], [], [], [], []
-            for t in utf8(b, "text"):
-                ws = words(t)
-                texts.append(stream(ws))
-                parts, open_keys, hits = [], [], 0
-                for w in [*ws, END]:
-                    got = memo.get(w)
-                    if got is None:
-                        if len(memo) > 150_000:
-                            memo.clear()
-                        key = int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
-                        c = known.get(key)
-                        got = memo[w] = (math.log10((c + 0.1) / floor), 0) if c else (1.0, key)
-                    if got[0] > 0.5:
-                        open_keys.append(got[1])
-                    else:
-                        hits += 1
-                        parts.append(got[0])
-                n.append(len(ws) + 1)
-                seen.append(hits)
-                base.append(math.fsum(parts))
-                rare.append(open_keys)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(model.score(texts)), pa.array(rare, pa.list_(pa.int64()))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+        for whole in batches(frames, 8 << 20):
+            for (chunk, is_text), rows in groupby(enumerate(zip(whole.column("chunk").to_pylist(), whole.column("is_text").to_pylist())), lambda x: x[1]):
+                rows = [i for i, _ in rows]
+                b = whole.slice(rows[0], len(rows))
+                if chunk != at:
+                    at, model = chunk, _Table(depth)
+                if not is_text:
+                    model.parts += zip(b.column("keys").to_pylist(), b.column("logps").to_pylist())
+                    continue
+                n, seen, base, rare, texts = [], [], [], [], []
+                for t in utf8(b, "text"):
+                    ws = words(t)
+                    texts.append(stream(ws))
+                    parts, open_keys, hits = [], [], 0
+                    for w in [*ws, END]:
+                        got = memo.get(w)
+                        if got is None:
+                            if len(memo) > 150_000:
+                                memo.clear()
+                            key = int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+                            c = known.get(key)
+                            got = memo[w] = (math.log10((c + 0.1) / floor), 0) if c else (1.0, key)
+                        if got[0] > 0.5:
+                            open_keys.append(got[1])
+                        else:
+                            hits += 1
+                            parts.append(got[0])
+                    n.append(len(ws) + 1)
+                    seen.append(hits)
+                    base.append(math.fsum(parts))
+                    rare.append(open_keys)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
+                     pa.array(model.score(texts)), pa.array(rare, pa.list_(pa.int64()))],
+                    ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     return run
 
 
-def train(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN, prior: float = PRIOR) -> tuple[SuffixTree, DataFrame]:
-    """The suffix tree of the rows' texts and their word counts (key, n)."""
-    counts = docs.select("text").mapInArrow(_counter(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts.where("n > 0"))
-    grams = counts.where("kind = 1")
-    places = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # counts of contexts of every length at once, then whole distributions of those that are frequent enough
-    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << 8 * (d + 1)) - 1).alias("mask")) for d in range(depth + 1)])
-    level = (grams.select("key", "n", F.explode(masks).alias("m")).groupBy(F.col("m.d").alias("d"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
-             .agg(F.sum("n").alias("n")))
-    found = (level.groupBy("d", F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("next"))  # at most 256
-             .where(F.col("total") >= least * places).select("d", F.inline("next")).toPandas())
-    levels = [found.loc[found["d"] == d, ["key", "n"]] for d in range(depth + 1)]
-    return SuffixTree(levels, gain, prior), counts.where("kind = 0").select("key", "n")
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: float = COMMON, **how) -> DataFrame:
+def _probabilities(grams: DataFrame, depth: int, least: float, gain: float, prior: float) -> DataFrame:
+    """(key, logp) for every gram of ``grams(key, n)``."""
+    levels = [grams]
+    for d in range(depth - 1, -1, -1):
+        levels.append(cut_lineage(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))))
+    if least < 1:
+        least *= levels[-1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    p = None
+    for d, level in enumerate(levels[::-1]):
+        level = level.select("key", "n", F.shiftrightunsigned("key", 8).alias("ctx"))
+        if d == 0:
+            level = level.withColumn("below", F.lit(1 / 256))
+        else:
+            level = level.withColumn("_low", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(p.select(F.col("key").alias("_low"), F.col("p").alias("below")), "_low").drop("_low")
+        told = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("below"))).otherwise(F.lit(0.0))
+        of_ctx = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(told).alias("told"), F.collect_list(F.struct("key", "n", "below")).alias("next"))  # at most 256
+        kept = F.col("total") > 0
+        if d:
+            kept = kept & (F.col("total") >= least) & (F.col("told") - F.col("total") * F.log(F.col("total").cast("double")) >= gain)
+        p = (of_ctx.select("total", kept.alias("kept"), F.inline("next"))
+             .select("key", F.when(F.col("kept"), (F.col("n") + prior * F.col("below")) / (F.col("total") + prior)).otherwise(F.col("below")).alias("p")))
+    return p.select("key", F.log10("p").alias("logp"))
+
+
+def train(src: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN, prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
+    """(key, logp) for the grams of all rows of ``src(text, held_out)``, learnt from those not held out, and the latter's word counts (key, n)."""
+    counts = src.select("text", "held_out").mapInArrow(_counter(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts)
+    return _probabilities(counts.where("kind = 1").select("key", "n"), depth, least, gain, prior), counts.where("kind = 0").select("key", "n")
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: float = COMMON, depth: int = DEPTH, **how) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.crc32(key.cast("binary")) % 10 == 0).alias("held_out"),
                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    tree, counts = train(src.where("not held_out"), **how)
+    src = src.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
+    logps, counts = train(src, depth, **how)
     n_all, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     spark = docs.sparkSession
     often = counts.where(F.col("n") >= max(1, common * n_all)).toPandas()  # at most 1 / common rows
     tables = (often["key"].to_numpy(np.int64), often["n"].to_numpy(np.int64))
     bc = spark.sparkContext.broadcast
     id_type = src.schema["doc_id"].dataType.simpleString()
-    scored = src.mapInArrow(_scorer(bc(tree), bc(tables), n_all, n_words),
+    asked = src.select("chunk", "text").mapInArrow(_chunk_grams(depth), "chunk long, key long").join(logps, "key").select("chunk", "key", "logp")
+    packed = asked.mapInArrow(_pack, "chunk long, keys binary, logps binary").withColumn("is_text", F.lit(False))
+    # a chunk's probabilities, then its texts
+    both = packed.unionByName(src.withColumn("is_text", F.lit(True)), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "is_text")
+    scored = both.mapInArrow(_scorer(depth, bc(tables), n_all, n_words),
                             f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
     scored = cut_lineage(scored.withColumn("_row", F.monotonically_increasing_id()))
     # Words that are not common meet their counts; sums go back to their row.

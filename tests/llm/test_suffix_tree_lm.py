@@ -64,3 +64,25 @@ def test_no_training_rows(spark):
     r = score(docs).collect()[0]
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score == pytest.approx(5 * math.log10(1 / 256))
     assert score(docs.limit(0)).collect() == []
+
+
+def test_contexts_are_kept_by_count_in_any_corpus(spark):
+    # "qz" is always followed by "k": 40 times, less than a share of 1e-5 of the positions
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "zk", "zm", "qa", "ka"]) for _ in range(1500)) + (" qzkqzkqzkqzk" if i < 11 else "")) for i in range(1, 1000)]
+    docs = spark.createDataFrame([*rows, (1_000_000, "qzk"), (1_000_001, "qzm")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score(docs).where("doc_id >= 1000000").collect()}
+    taught = sum(t.count("qz") for i, t in rows if zlib.crc32(str(i).encode()) % 10)
+    places = sum(len(t) + 2 for i, t in rows if zlib.crc32(str(i).encode()) % 10)
+    assert 16 <= taught < 1e-5 * places
+    # after "qz" the k is nearly sure and the m is not; without that context both follow z alike
+    assert got[1_000_000] - got[1_000_001] > 0.5
+
+
+def test_longest_contexts(spark):
+    how = dict(depth=7, least=1e-4, gain=1.0, prior=8.0)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["één", "be", "çing"]) for _ in range(20))) for i in range(40)]
+    got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in score(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect())
+    for g, w in zip(got, brute(rows, **how), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
