@@ -60,3 +60,9 @@ def batches(frames: Iterator[pa.RecordBatch], limit: int = 64 << 20) -> Iterator
         rows = max(1, int(b.num_rows * limit / max(1, b.nbytes)))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
