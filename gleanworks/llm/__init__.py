@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontamination", "exact_dedup", "near_dedup", "suffix_tree_lm", "toxicity", "url_filter", "quality", "sharding", "mixing", "license_scan", "periodic_runs", "warc")
+MODULES = ("decontamination", "exact_dedup", "near_dedup", "suffix_tree_lm", "toxicity", "url_filter", "quality", "sharding", "mixing", "license_scan", "periodic_runs", "warc", "token_alignment")
 
 
 def load():
