@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -62,6 +65,13 @@ def batches(frames: Iterator[pa.RecordBatch], limit: int = 64 << 20) -> Iterator
             yield b.slice(at, rows)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared store and read again, and its folder."""
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder), folder
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

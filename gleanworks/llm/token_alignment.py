@@ -4,8 +4,8 @@ Both tokenizers cut the same bytes; a token's end is the number of bytes up to i
 steps that double until they pass it and then halve, from the place where an earlier end was found. Ends in both lists cut the tokens into groups. The place of an end in the other list
 is its rank there; the ranks of a token's two ends are the range of tokens that it overlaps, so links come from differences of ranks, without comparing tokens.
 
-A text is given to the tokenizers in sections cut at single blanks between visible characters, where neither can join tokens (``Tokenizers`` says why); a section that occurs again
-is looked up. Ends and searches are those of whole texts. Two passes over the rows: pairs of linked ids are counted, pre-aggregated in the tasks; then each text's links meet their
+A text is given to the tokenizers in pieces, cut where neither can join tokens (``Tokenizers`` says why); a piece that occurs again is looked up. Ends and searches are those of whole texts. Texts are tokenized once, into a table of ids in the shared
+folder that is removed at the end; it is read twice: pairs of linked ids are counted, pre-aggregated in the tasks; then each text's links meet their
 pairs' counts. Counts of pairs above ``COMMON`` of all links go to the tasks (at most 1 / COMMON of them), the rest meet theirs in a join. The highest count per B id is at most one number for each entry of B.
 
 Defined cases: texts that are null or empty, or whose tokens' bytes are not the text with a blank before it, have no tokens: zeros and no groups; they add to no count. Repeated rows
@@ -14,21 +14,25 @@ count each. An empty table gives an empty result. Very long texts are a batch of
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import batches, query, read
+from .common import batches, query, read, remove, written
 
 TOKENIZERS = "/opt/tokenizers"  # the same folder on every machine
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 COMMON = 1e-6
-SECTIONS, LEADERS = 200_000, 32
+PARTS, RUNS = 400_000, 100_000  # pieces of text whose tokens a task remembers
+LEADERS = 32
 SHIFT = 24  # a pair of ids as one number
 ADDED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "n_best": "long", "count_sum": "long", "groups": "string"}
 
@@ -40,15 +44,22 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_RUNS = re.compile(rf"[{_LETTERS}]+|\n|[^{_LETTERS}\n]+")
+_PLAIN = re.compile(rf"[{_LETTERS}!-&(-/:-@\[-`{{-~\n]+")  # letters, visible ASCII but digits and the apostrophe, line ends
+_LINE_ENDS = re.compile(r"\n\n|\n\Z|\A\n")
+
+
 def _visible(c: str) -> bool:
     return "!" <= c <= "~" or c.isalnum()
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens.
+    """Both tokenizers with the bytes of their tokens, and what they made of pieces of text before.
 
-    Cutting at a blank between two visible characters changes no token: A starts a word at such a blank; no entry of B holds a blank behind another character, and B adds a blank before
-    each section. Both are checked or follow from the files; the tests compare sections with whole texts.
+    A text is cut where neither can join tokens. At a blank between visible characters A starts a word, no entry of B holds a blank behind another character, and B itself adds a blank
+    before each section. Within a section of letters, line ends and signs, A's words are the runs of letters, of signs, and the single line end; B cannot join two characters that follow each other
+    in no entry. What follows from an entry list is read off it here; the tests compare cut with whole texts.
     """
 
     def __init__(self, folder: str, a_file: str, b_file: str):
@@ -66,8 +77,24 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.joined = {p[k:k + 2] for i, p in enumerate(pieces) if not self.b.is_byte(i) for k in range(len(p) - 1)}
+        self.line_end = self.b.encode("\n") if not any("\n" in p for p in pieces) else []
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.memo: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.parts: dict[str, tuple[bytes, bytes, bool]] = {}  # between blanks, visible at both ends
+        self.runs: dict[tuple[str, bool, bool], tuple[bytes, bytes, bool]] = {}
+        self.word = self._word_encoder(f"{folder}/{a_file}")
+
+    def _word_encoder(self, path: str):
+        """A's tokens of one word. Where merges make entries in the order of their numbers, the lowest number that two neighbours make is the next merge."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(vocab[x + y] != 256 + k for k, (x, y) in enumerate(merges)) or model.get("ignore_merges"):
+            return lambda word: self.a.encode(word.decode(), add_special_tokens=False).ids
+        made = 256 + len(merges)
+        return tiktoken.Encoding("a", pat_str=r"[\s\S]+", mergeable_ranks={b: i for i, b in enumerate(self.bytes_a[:made])}, special_tokens={})._core_bpe.encode_single_piece
 
     @cached_property
     def numerals(self) -> list[str]:
@@ -91,21 +118,69 @@ class Tokenizers:
                 out[-1] += " " + p
         return out
 
+    def _cut(self, section: str) -> list[tuple[str, bool, bool]]:
+        """Runs of a section: text, whether it is the first, whether it is one word to A."""
+        if self.line_end and _PLAIN.fullmatch(section) and not _LINE_ENDS.search(section):
+            runs = _RUNS.findall(section)
+            if len(runs) == 1 or not any(x[-1] + y[0] in self.joined for x, y in zip(runs, runs[1:])):
+                return [(r, k == 0, True) for k, r in enumerate(runs)]
+        return [(section, True, False)]
+
+    def learn(self, sections: list[str], into: dict) -> None:
+        """Tokens of new sections: words of letters at once, others put together from their runs."""
+        plain = [s for s in sections if s.isalpha() and s.isascii()] if self.line_end else []
+        texts = [(" " + s).encode() for s in plain]
+        into.update(zip(plain, self._entries(texts, list(map(self.word, texts)), self.b.encode(plain, num_threads=1))))
+        rest = [s for s in sections if s not in into]
+        cut = list(map(self._cut, rest))
+        if len(self.runs) > RUNS:
+            self.runs.clear()
+        new = list({r for runs in cut for r in runs if r not in self.runs})
+        whole = [r for r in new if not r[2]]
+        of_whole = dict(zip(whole, [e.ids for e in self.a.encode_batch([" " + r[0] for r in whole], add_special_tokens=False)]))
+        texts = [(" " * r[1] + r[0]).encode() for r in new]
+        of_a = [self.word(t) if r[2] else of_whole[r] for r, t in zip(new, texts)]
+        # B has no beginning without a blank: a line end goes before such runs and is taken off again
+        of_b = [b if r[1] else b[len(self.line_end):] for r, b in zip(new, self.b.encode([r[0] if r[1] else "\n" + r[0] for r in new], num_threads=1))]
+        self.runs.update(zip(new, self._entries(texts, of_a, of_b)))
+        for s, runs in zip(rest, cut):
+            got = [self.runs[r] for r in runs]
+            into[s] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got]), all([g[2] for g in got]))
+
+    def _entries(self, texts: list[bytes], of_a: list[list[int]], of_b: list[list[int]]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """For each text its ids by A and B as bytes, and whether their tokens' bytes are the text."""
+        cols, same = [], np.ones(len(texts), bool)
+        want = np.fromiter(map(len, texts), np.int64, len(texts))
+        for ids, sizes, contents in ((of_a, self.len_a, self.bytes_a), (of_b, self.len_b, self.bytes_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, n.sum())
+            ends = np.concatenate([[0], np.cumsum(n)])
+            upto = np.concatenate([[0], np.cumsum(sizes[flat])])
+            if (upto[ends[1:]] - upto[ends[:-1]] != want).any() or b"".join(map(contents.__getitem__, flat.tolist())) != b"".join(texts):
+                same &= [b"".join(map(contents.__getitem__, x)) == t for x, t in zip(ids, texts)]
+            packed, at = flat.tobytes(), (4 * ends).tolist()
+            cols.append([packed[s:e] for s, e in zip(at, at[1:])])
+        return zip(*cols, same.tolist())
+
+    def tokens(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes, bool]]]:
+        """The tokens of each text in pieces."""
+        split = [t.split(" ") if t and self.cuts else [] for t in texts]
+        if len(self.parts) > PARTS:
+            self.parts.clear()
+        self.learn([p for p in set().union(*split).difference(self.parts) if p and _visible(p[0]) and _visible(p[-1])], self.parts)
+        for t, ps in zip(texts, split):
+            got = list(map(self.parts.get, ps)) if t else []
+            if t and (not got or None in got):  # parts that begin or end with other characters stay with their neighbours
+                odd: dict[str, tuple[bytes, bytes, bool]] = {}
+                sections = self.sections(t)
+                self.learn([s for s in set(sections) if s not in self.parts], odd)
+                got = [self.parts.get(s) or odd[s] for s in sections]
+            yield got
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, where each text's begin, ids of B, where each text's begin)."""
-        cut = [self.sections(t) if t else [] for t in texts]
-        if len(self.memo) > SECTIONS:
-            self.memo.clear()
-        new = list({s for ss in cut for s in ss if s not in self.memo})
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for s, a, b in zip(part, self.a.encode_batch([" " + s for s in part], add_special_tokens=False), self.b.encode(part, num_threads=1)):
-                a = a.ids
-                same = all(b"".join(map(of.__getitem__, ids)) == b" " + s.encode() for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-                self.memo[s] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
         ids_a, ids_b, n_a, n_b = [], [], [0], [0]
-        for t, ss in zip(texts, cut):
-            got = [self.memo[s] for s in ss]
+        for t, got in zip(texts, self.tokens(texts)):
             a, b = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
             if not all([g[2] for g in got]):
                 whole = b" " + t.encode()
@@ -170,8 +245,8 @@ def overlaps(place: np.ndarray, common: np.ndarray, from_short: np.ndarray, from
 class Aligned:
     """The tokens, common ends and links of a batch of texts."""
 
-    def __init__(self, tok: Tokenizers, texts: list[str | None]):
-        self.ids_a, self.from_a, self.ids_b, self.from_b = tok.encode(texts)
+    def __init__(self, tok: Tokenizers, ids_a: np.ndarray, from_a: np.ndarray, ids_b: np.ndarray, from_b: np.ndarray):
+        self.ids_a, self.from_a, self.ids_b, self.from_b = ids_a, from_a, ids_b, from_b
         ends_a, ends_b = np.cumsum(tok.len_a[self.ids_a]), np.cumsum(tok.len_b[self.ids_b])
         self.common_a, self.common_b = np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)
         n_a, n_b = np.diff(self.from_a), np.diff(self.from_b)
@@ -222,11 +297,35 @@ def _sums(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _texts(b: pa.RecordBatch, text: str) -> list[str | None]:
-    return b.column(text).to_pylist()
+def _ids(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of token ids as (all ids, where each row's begin)."""
+    c = b.column(name)
+    first = np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1].astype(np.int64)
+    data = np.frombuffer(c.buffers()[2] or b"", np.int32, count=int(first[-1]) // 4)
+    return data[first[0] // 4:].astype(np.int64), (first - first[0]) // 4
+
+
+def _tokenizer(files: tuple[str, str, str]):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _loaded(*files)
+        for b in batches(frames, 4 << 20):
+            ids_a, from_a, ids_b, from_b = tok.encode(b.column("__text").to_pylist())
+            cols = [pa.array([ids[s:e].tobytes() for s, e in zip(first, first[1:])], pa.binary()) for ids, first in ((ids_a.astype(np.int32), from_a), (ids_b.astype(np.int32), from_b))]
+            rest = [c for c in b.schema.names if c != "__text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *cols], [*rest, "__a", "__b"])
+
+    return run
+
 
+def tokenize(docs: DataFrame, text: str = "text", files: tuple[str, str, str] = (TOKENIZERS, A_FILE, B_FILE)) -> DataFrame:
+    """``docs`` with ``text`` read as the ids of both tokenizers (__a, __b: 32-bit numbers side by side)."""
+    rest = [c for c in docs.columns if c not in ADDED]
+    src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"]
+    return src.mapInArrow(_tokenizer(files), ", ".join([*fields, "__a binary, __b binary"]))
 
-def _counter(text: str, files: tuple[str, str, str]):
+
+def _counter(files: tuple[str, str, str]):
     def out(parts: list) -> pa.RecordBatch:
         pairs, n = _sums(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
@@ -234,7 +333,7 @@ def _counter(text: str, files: tuple[str, str, str]):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, parts = _loaded(*files), []
         for b in batches(frames, 4 << 20):
-            pairs = Aligned(tok, _texts(b, text)).pair
+            pairs = Aligned(tok, *_ids(b, "__a"), *_ids(b, "__b")).pair
             parts.append(_sums(pairs, np.ones(len(pairs), np.int64)))
             if sum(len(p[0]) for p in parts) > 3_000_000:
                 parts = [_sums(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))]
@@ -247,10 +346,9 @@ def _counter(text: str, files: tuple[str, str, str]):
     return run
 
 
-def count_pairs(docs: DataFrame, text: str = "text", files: tuple[str, str, str] = (TOKENIZERS, A_FILE, B_FILE)) -> DataFrame:
+def count_pairs(tokens: DataFrame, files: tuple[str, str, str] = (TOKENIZERS, A_FILE, B_FILE)) -> DataFrame:
     """(pair, n): how many links of all rows hold each pair of ids, a << SHIFT | b."""
-    src = docs.select(F.col(f"`{text}`").alias("text"))
-    return cut_lineage(src.mapInArrow(_counter("text", files), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    return cut_lineage(tokens.select("__a", "__b").mapInArrow(_counter(files), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
 
 
 def _aligner(files: tuple[str, str, str], often):
@@ -262,7 +360,7 @@ def _aligner(files: tuple[str, str, str], often):
         highest = np.zeros(tok.width, np.int64)
         highest[best[0]] = best[1]
         for b in batches(frames, 4 << 20):
-            al = Aligned(tok, _texts(b, "__text"))
+            al = Aligned(tok, *_ids(b, "__a"), *_ids(b, "__b"))
             rows = b.num_rows
             at = np.minimum(np.searchsorted(pairs, al.pair), max(0, len(pairs) - 1))
             known = pairs[at] == al.pair if len(pairs) else np.zeros(len(al.pair), bool)
@@ -280,7 +378,7 @@ def _aligner(files: tuple[str, str, str], often):
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(open_text[first], np.arange(rows + 1)), pa.int32()),
                                             pa.StructArray.from_arrays([pa.array(open_pair[first]), pa.array(m, pa.int64())], ["pair", "m"]))
             cols = [np.diff(al.from_a), np.diff(al.from_b), al.n_groups(), np.bincount(al.text, minlength=rows), wins, total]
-            rest = [c for c in b.schema.names if c != "__text"]
+            rest = [c for c in b.schema.names if c not in ("__a", "__b")]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *[pa.array(c, pa.int64()) for c in cols], pa.array(al.groups(tok), pa.string()), rare.cast(rare_type)],
                                              [*rest, *ADDED, "__rare"])
 
@@ -290,18 +388,18 @@ def _aligner(files: tuple[str, str, str], often):
 def align(docs: DataFrame, text: str = "text", files: tuple[str, str, str] = (TOKENIZERS, A_FILE, B_FILE), common: float = COMMON, groups: Column | None = None) -> DataFrame:
     """``docs`` with n_a, n_b, n_groups, n_links, n_best, count_sum and groups (``a1,a2|b1;a3|b2,b3``, or what the expression ``groups`` makes of it)."""
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in ADDED]
-    counts = count_pairs(docs, text, files)
+    tokens, place = written(tokenize(docs, text, files), "tokens")
+    counts = count_pairs(tokens, files)
     best = counts.groupBy(F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)).alias("b")).agg(F.max("n").alias("best"))
     of_b = best.toPandas()  # one number for each entry of B at most
     links = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     edge = max(1, common * links)
     often = counts.where(F.col("n") >= edge).toPandas().sort_values("pair")  # at most 1 / common rows
     sent = spark.sparkContext.broadcast((often["pair"].to_numpy(np.int64), often["n"].to_numpy(np.int64), (of_b["b"].to_numpy(np.int64), of_b["best"].to_numpy(np.int64))))
-    src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"] + [f"{c} {t}" for c, t in ADDED.items()]
-    rows = src.mapInArrow(_aligner(files, sent), ", ".join([*fields, "__rare array<struct<pair:bigint,m:bigint>>"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name not in ("__a", "__b")] + [f"{c} {t}" for c, t in ADDED.items()]
+    rows = tokens.mapInArrow(_aligner(files, sent), ", ".join([*fields, "__rare array<struct<pair:bigint,m:bigint>>"]))
     rows = cut_lineage(rows.withColumns({"groups": F.col("groups") if groups is None else groups, "__row": F.monotonically_increasing_id()}))
+    remove(spark, place)
     rare = rows.select("__row", F.inline("__rare")).join(counts.where(F.col("n") < edge), "pair")
     top = F.broadcast(best)  # as above
     rare = rare.join(top, F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)) == F.col("b"))

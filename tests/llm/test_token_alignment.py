@@ -95,5 +95,5 @@ def test_rows_keep_their_columns_and_empty_table(spark):
 def test_very_long_text():
     tok = ta._loaded(*FILES)
     t = "antidisestablishment of the reeves " * 30_000
-    al = ta.Aligned(tok, [t, "x"])
+    al = ta.Aligned(tok, *tok.encode([t, "x"]))
     assert al.n_groups().tolist()[1] == 1 and np.bincount(al.text)[0] >= al.from_a[1]
