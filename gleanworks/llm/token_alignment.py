@@ -31,7 +31,8 @@ from .common import batches, query, read, remove, written
 TOKENIZERS = "/opt/tokenizers"  # the same folder on every machine
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 COMMON = 1e-6
-PARTS, RUNS = 400_000, 100_000  # pieces of text whose tokens a task remembers
+TASK_BYTES = 2 << 20  # of texts or ids worked on at once
+PARTS, RUNS = 200_000, 60_000  # pieces of text whose tokens a task remembers
 LEADERS = 32
 SHIFT = 24  # a pair of ids as one number
 ADDED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "n_best": "long", "count_sum": "long", "groups": "string"}
@@ -102,6 +103,10 @@ class Tokenizers:
         n = self.width
         return [f"{i}{c}" for c in ",|;" for i in range(n)]
 
+    @property
+    def kind(self):
+        return np.uint16 if self.width <= 1 << 16 else np.uint32
+
     @property
     def width(self) -> int:
         return max(len(self.bytes_a), len(self.bytes_b))
@@ -297,28 +302,30 @@ def _sums(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _ids(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+def _ids(b: pa.RecordBatch, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
     """A column of token ids as (all ids, where each row's begin)."""
     c = b.column(name)
     first = np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1].astype(np.int64)
-    data = np.frombuffer(c.buffers()[2] or b"", np.int32, count=int(first[-1]) // 4)
-    return data[first[0] // 4:].astype(np.int64), (first - first[0]) // 4
+    data = np.frombuffer(c.buffers()[2] or b"", np.uint8)[first[0]:first[-1]]
+    return data.view(kind).astype(np.int64), (first - first[0]) // kind().nbytes
 
 
 def _tokenizer(files: tuple[str, str, str]):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _loaded(*files)
-        for b in batches(frames, 4 << 20):
+        for b in batches(frames, TASK_BYTES):
             ids_a, from_a, ids_b, from_b = tok.encode(b.column("__text").to_pylist())
-            cols = [pa.array([ids[s:e].tobytes() for s, e in zip(first, first[1:])], pa.binary()) for ids, first in ((ids_a.astype(np.int32), from_a), (ids_b.astype(np.int32), from_b))]
+            cols = [pa.array([ids[s:e].tobytes() for s, e in zip(first, first[1:])], pa.binary()) for ids, first in ((ids_a.astype(tok.kind), from_a), (ids_b.astype(tok.kind), from_b))]
             rest = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *cols], [*rest, "__a", "__b"])
+        tok.parts.clear()
+        tok.runs.clear()
 
     return run
 
 
 def tokenize(docs: DataFrame, text: str = "text", files: tuple[str, str, str] = (TOKENIZERS, A_FILE, B_FILE)) -> DataFrame:
-    """``docs`` with ``text`` read as the ids of both tokenizers (__a, __b: 32-bit numbers side by side)."""
+    """``docs`` with ``text`` read as the ids of both tokenizers (__a, __b: numbers side by side, of 16 bits where they suffice)."""
     rest = [c for c in docs.columns if c not in ADDED]
     src = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"]
@@ -332,8 +339,8 @@ def _counter(files: tuple[str, str, str]):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, parts = _loaded(*files), []
-        for b in batches(frames, 4 << 20):
-            pairs = Aligned(tok, *_ids(b, "__a"), *_ids(b, "__b")).pair
+        for b in batches(frames, TASK_BYTES):
+            pairs = Aligned(tok, *_ids(b, "__a", tok.kind), *_ids(b, "__b", tok.kind)).pair
             parts.append(_sums(pairs, np.ones(len(pairs), np.int64)))
             if sum(len(p[0]) for p in parts) > 3_000_000:
                 parts = [_sums(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))]
@@ -359,8 +366,8 @@ def _aligner(files: tuple[str, str, str], often):
         pairs, counts, best = often.value
         highest = np.zeros(tok.width, np.int64)
         highest[best[0]] = best[1]
-        for b in batches(frames, 4 << 20):
-            al = Aligned(tok, *_ids(b, "__a"), *_ids(b, "__b"))
+        for b in batches(frames, TASK_BYTES):
+            al = Aligned(tok, *_ids(b, "__a", tok.kind), *_ids(b, "__b", tok.kind))
             rows = b.num_rows
             at = np.minimum(np.searchsorted(pairs, al.pair), max(0, len(pairs) - 1))
             known = pairs[at] == al.pair if len(pairs) else np.zeros(len(al.pair), bool)
