@@ -1,15 +1,16 @@
 """URL filter: host word segmentation and multinomial naive Bayes.
 
-Host names and path parts are cut at characters that are no letters and no digits; what is left of a name is split into
-words by a Viterbi search under a unigram model. The model counts the words of the pages' own texts (those that make up
-at least ``WORD_SHARE`` of all words, so at most 1 / WORD_SHARE of them) and the seed words. A naive Bayes model over the
-words of host and path is learnt from all pages: pages whose host holds a word of ``BLOCK_WORDS`` teach the block class,
-all others the allow class. Word counts per class are combined before the shuffle, so a host that fills a third of the
-rows is a few counts. All counts are used: those of frequent words are sent to the tasks, rare words meet theirs in a join. Rules of the operator of the list are tried first.
-
-Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the class
-shares alone; a null html adds no words; an empty table gives an empty result; repeated rows are judged each. Other
-columns are not read.
+Host names and path parts are cut at characters that are no letters and no digits; each run of letters, a name, is split into words by a Viterbi search under a
+unigram model: the words of the pages' own texts with all their counts, and the seed words. Words that make up at least ``WORD_SHARE`` of all (at most 1 / WORD_SHARE of them) go to
+the tasks as an automaton that finds every word in a name in one walk; all other words are met by the substrings of the distinct names, of the lengths that such words have, in a join on
+a 64-bit key. Letters of no word form pieces of any length. So a split does not depend on how large the table is, and takes time in proportion to a name's letters and the words found in it.
+
+A naive Bayes model over the words of host and path is learnt from all pages: pages whose host holds a word of ``BLOCK_WORDS`` teach the block class, all others the allow class. Both classes
+are smoothed by the same prior, ``PRIOR`` pseudo-counts in proportion to a word's share of all counts, so a name seen once in the larger class speaks for that class. Without block pages nothing is
+blocked but by rules. Pages, words and counts meet in joins and aggregations on distinct words. Rules of the operator of the list are tried first.
+
+Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the class shares alone; a null html adds no words; an empty table gives an
+empty result; repeated rows are judged each; a very long url is a name of many letters, split in linear time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
@@ -32,50 +36,51 @@ BLOCK_WORDS = ("ads", "adult", "bets", "betting", "bingo", "casino", "clickbait"
 # Fixed words that often stand beside them.
 NEAR_WORDS = ("cheap", "farm", "free", "win", "best", "online", "shop", "news", "blog", "example", "html", "page", "www", "com", "net", "org")
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-WORD_SHARE, SEED_SHARE, SMOOTH = 1e-5, 1e-4, 1.0
+WORD_SHARE, SEED_SHARE, PRIOR = 1e-5, 1e-4, 1.0
 _PART = re.compile(r"[0-9]+|[^\W\d_]+")
+PIECE, LETTER = 12.0, 4.0  # cost of a piece that is no word, and of each of its letters: below any word of the model
 
 
 class Segmenter:
     """Splits a run of letters into the most probable words of a unigram model."""
 
     def __init__(self, shares: dict[str, float]):
-        self.logp = {w: math.log(p) for w, p in shares.items()}
-        self.longest = max(map(len, self.logp), default=1)
-        self.memo: dict[str, list[str]] = {}
-
-    def _unknown(self, n: int) -> float:
-        return -12.0 - 4.0 * n  # below any word of the model, and worse with every letter
-
-    def run(self, letters: str) -> list[str]:
+        self.walk = ahocorasick.Automaton()
+        for w, p in shares.items():
+            self.walk.add_word(w, (len(w), math.log(p)))
+        self.walk.make_automaton() if len(shares) else None
+
+    def run(self, letters: str, more: tuple = ()) -> list[str]:
+        """``more``: (start, length, share) of further words in ``letters``. Of equal splits the one whose last word is longest."""
+        found: dict[int, list[tuple[int, float]]] = {}
+        if len(self.walk):
+            for end, (n, logp) in self.walk.iter(letters):
+                found.setdefault(end + 1, []).append((n, logp))
+        for start, n, share in more:
+            found.setdefault(start + n, []).append((n, math.log(share)))
         best, back = [0.0], [0]
+        open_at, open_value = 0, -PIECE  # where a piece that is no word had best begin: value + LETTER * begin is greatest
         for end in range(1, len(letters) + 1):
-            at, top = end - 1, -math.inf
-            for start in range(max(0, end - self.longest), end):
-                p = best[start] + self.logp.get(letters[start:end], self._unknown(end - start))
-                if p > top:
-                    at, top = start, p
+            at, top = open_at, open_value - LETTER * end
+            if end in found:
+                for n, logp in found[end]:
+                    p = best[end - n] + logp
+                    if p > top or (p == top and end - n < at):
+                        at, top = end - n, p
             best.append(top)
             back.append(at)
+            if top - PIECE + LETTER * end > open_value:
+                open_at, open_value = end, top - PIECE + LETTER * end
         out, end = [], len(letters)
         while end:
             out.append(letters[back[end]:end])
             end = back[end]
         return out[::-1]
 
-    def words(self, name: str) -> list[str]:
-        """Words of a host or path; digits count as one word ``0``."""
-        out = []
-        for part in _PART.findall(name.lower()):
-            if part[0].isdigit():
-                out.append("0")
-                continue
-            if part not in self.memo:
-                if len(self.memo) > 200_000:
-                    self.memo.clear()
-                self.memo[part] = self.run(part)
-            out += self.memo[part]
-        return out
+
+def parts(name: str) -> list[str]:
+    """Runs of letters of a host or path; a run of digits counts as one word ``0``."""
+    return ["0" if p[0].isdigit() else p for p in _PART.findall(name.lower())]
 
 
 def host(url: Column) -> Column:
@@ -110,100 +115,129 @@ def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "replace") for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
-def word_shares(pages: DataFrame, least: float = WORD_SHARE) -> dict[str, float]:
-    """The unigram model: words of the pages' texts and the seed words."""
-    counts = cut_lineage(pages.select("html").mapInArrow(_text_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = counts.where(F.col("n") >= max(1, least * total)).collect()  # at most 1 / least rows
-    shares = {r.word: r.n / total for r in often if r.word.isalpha()}
-    for w in (*BLOCK_WORDS, *NEAR_WORDS):
-        shares[w] = max(shares.get(w, 0.0), SEED_SHARE)
-    return shares
+def unigrams(pages: DataFrame) -> DataFrame:
+    """(word, n) of the pages' texts, words of letters only."""
+    counts = pages.select("html").mapInArrow(_text_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut_lineage(counts.where(F.col("word").rlike(r"^\p{L}+$")))
 
 
-def _classed(shares):
-    def out(seen: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(c, w, n) for c, counts in seen.items() for w, n in counts.items()]
-        for counts in seen.values():
-            counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["class", "word", "n"])
+def _key(word: str) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(word.encode())).view(np.int64))
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seeds = Segmenter(shares.value), frozenset(BLOCK_WORDS)
-        seen = {"block": Counter(), "allow": Counter()}
-        for b in batches(frames):
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
-                ws = cut.words(h)
-                counts = seen["block" if seeds & set(ws) else "allow"]
-                counts.update(ws)
-                counts.update(cut.words(p))
-                counts[""] += 1  # pages of the class
-            if len(seen["block"]) + len(seen["allow"]) > 300_000:
-                yield out(seen)
-        yield out(seen)
 
-    return run
+def _keyed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in frames:
+        ws = b.column("word").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([_key(w) for w in ws], pa.int64()), pa.array([len(w) for w in ws], pa.int32()), b.column("word"), b.column("n")],
+                                         ["key", "length", "word", "n"])
+
 
+def _names(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's runs of letters and digits in order, those of the host first."""
+    for b in frames:
+        for row, h, p in zip(*[b.column(c).to_pylist() for c in ("_row", "host", "path")]):
+            hs, ps = parts(h), parts(p)
+            n = len(hs) + len(ps)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([k < len(hs) for k in range(n)], pa.bool_()), pa.array(range(n), pa.int32()),
+                                                  pa.array(hs + ps, pa.string())], ["_row", "of_host", "at", "name"])
 
-def _odds(block, allow, total: tuple[float, float], smooth: float, log=math.log):
-    """Log odds of a word that the classes hold ``block`` and ``allow`` times."""
-    return log((block + smooth) / total[0]) - log((allow + smooth) / total[1])
 
+def _substrings(lengths: list[int], common):
+    """Keys of the substrings of names that may be words the tasks do not hold."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = common.value
+        for b in frames:
+            ids, starts, sizes, keys = [], [], [], []
+
+            def out() -> pa.RecordBatch:
+                got = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((ids, pa.int64()), (starts, pa.int32()), (sizes, pa.int32()), (keys, pa.int64()))], ["id", "start", "length", "key"])
+                for x in (ids, starts, sizes, keys):
+                    x.clear()
+                return got
+
+            for i, name in zip(b.column("id").to_pylist(), b.column("name").to_pylist()):
+                for n in lengths:
+                    for start in range(len(name) - n + 1):
+                        if (w := name[start:start + n]) not in held:
+                            ids.append(i)
+                            starts.append(start)
+                            sizes.append(n)
+                            keys.append(_key(w))
+                    if len(ids) > 100_000:
+                        yield out()
+            yield out()
 
-def bayes(counts: dict[tuple[str, str], int], smooth: float = SMOOTH) -> tuple[float, dict[str, float], float]:
-    """Log odds of block over allow: of the classes, of each word, of an unknown word."""
-    vocab = {w for _, w in counts if w}
-    total = tuple(sum(n for (k, w), n in counts.items() if k == c and w) + smooth * (len(vocab) + 1) for c in ("block", "allow"))
-    prior = math.log((counts.get(("block", ""), 0) + smooth) / (counts.get(("allow", ""), 0) + smooth))
-    odds = {w: _odds(counts.get(("block", w), 0), counts.get(("allow", w), 0), total, smooth) for w in vocab}
-    return prior, odds, math.log(total[1] / total[0])
+    return run
 
 
-def _judge(shares, model):
+def _split(shares, total: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Segmenter(shares.value)
-        prior, odds = model.value
-        for b in batches(frames):
-            score, words, rare = [], [], []
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
-                ws = cut.words(h)
-                words.append(" ".join(ws))
-                ws = [*ws, *cut.words(p)]
-                score.append(prior + math.fsum(odds[w] for w in ws if w in odds))
-                rare.append([w for w in ws if w not in odds])
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(words, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array(rare, pa.list_(pa.string()))],
-                                             ["page_id", "host", "path", "host_words", "log_odds", "rare"])
+        for b in frames:
+            ws = [cut.run(name, [(m["start"], m["length"], m["n"] / total) for m in more or ()]) if name != "0" else ["0"]
+                  for name, more in zip(b.column("name").to_pylist(), b.column("more").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(ws, pa.list_(pa.string()))], ["name", "words"])
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def segment(names: DataFrame, counts: DataFrame, share: float = WORD_SHARE) -> DataFrame:
+    """(name, words) for distinct ``names(name)`` under the unigram model ``counts(word, n)`` and the seed words."""
+    spark = names.sparkSession
+    total = max(1, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    common = F.col("n") >= share * total
+    shares = {r.word: r.n / total for r in counts.where(common).collect()}  # at most 1 / share words
+    seeds = (*BLOCK_WORDS, *NEAR_WORDS)
+    for w in seeds:
+        shares[w] = max(shares.get(w, 0.0), SEED_SHARE)
+    held = spark.sparkContext.broadcast(shares)
+    names = cut_lineage(names.withColumn("id", F.monotonically_increasing_id()))
+    rare = counts.where(~common & ~F.col("word").isin(*seeds)).mapInArrow(_keyed, "key long, length int, word string, n long")
+    rare = cut_lineage(rare)
+    lengths = sorted(r[0] for r in rare.select("length").distinct().collect())  # numbers of letters in a word
+    asked = names.mapInArrow(_substrings(lengths, held), "id long, start int, length int, key long")
+    found = asked.join(rare.select("key", "length", "word", "n"), ["key", "length"])
+    # a 64-bit key may stand for another word: the letters decide
+    found = found.join(names, "id").where(F.substring("name", F.col("start") + 1, F.col("length")) == F.col("word"))
+    more = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "n"))).alias("more"))  # words within one name
+    rows = names.join(more, "id", "left").select("name", "more")
+    return cut_lineage(rows.mapInArrow(_split(held, total), "name string, words array<string>"))
+
+
+def log_odds(block: Column, allow: Column, total_block: float, total_allow: float, prior: float = PRIOR) -> Column:
+    """Log odds of a word that the classes hold ``block`` and ``allow`` times, both smoothed towards its share of all counts."""
+    pseudo = prior * (block + allow) / F.lit(float(max(1, total_block + total_allow)))
+    return F.log((block + pseudo) / (total_block + prior)) - F.log((allow + pseudo) / (total_allow + prior))
+
+
+def filter_urls(pages: DataFrame, rules=RULES, prior: float = PRIOR) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, host_words, log_odds."""
-    bc = pages.sparkSession.sparkContext.broadcast
-    shares = bc(word_shares(pages))
     cut = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    # Words of hosts and paths by class: all of them, a word of one page too.
-    n_of = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(F.lit(0))).alias(c) for c in ("block", "allow")]
-    counts = cut_lineage(cut.mapInArrow(_classed(shares), "class string, word string, n long").groupBy("word").agg(*n_of))
-    words = counts.where("word <> ''")
-    seen = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("block", "allow")], F.count(F.lit(1))).first()
-    of_class = counts.where("word = ''").first() or {"block": 0, "allow": 0}
-    prior = math.log((of_class["block"] + SMOOTH) / (of_class["allow"] + SMOOTH))
-    total = tuple(n + SMOOTH * (seen[2] + 1) for n in seen[:2])
-    # Words that make up WORD_SHARE of all go to the tasks (at most 1 / WORD_SHARE of them), the others meet their pages in a join.
-    often = F.col("block") + F.col("allow") >= WORD_SHARE * (seen[0] + seen[1])
-    common = {r.word: _odds(r.block, r.allow, total, SMOOTH) for r in words.where(often).collect()}
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, host_words string, log_odds double, rare array<string>"
-    judged = cut_lineage(cut.mapInArrow(_judge(shares, bc((prior, common))), schema).withColumn("_row", F.monotonically_increasing_id()))
-    odds = words.where(~often).select("word", _odds(F.col("block"), F.col("allow"), total, SMOOTH, F.log).alias("_odds"))
-    rest = judged.select("_row", F.explode("rare").alias("word")).join(odds, "word").groupBy("_row").agg(F.collect_list("_odds").alias("_rest"))
+    cut = cut_lineage(cut.withColumn("_row", F.monotonically_increasing_id()))
+    named = cut_lineage(cut.select("_row", "host", "path").mapInArrow(_names, "_row long, of_host boolean, at int, name string"))
+    split = segment(named.select("name").distinct(), unigrams(pages))
+    words = cut_lineage(named.join(split, "name").select("_row", "of_host", "at", "words"))
+    # the class that a page teaches, then words by class
+    seeds = F.array(*map(F.lit, BLOCK_WORDS))
+    blocked = F.coalesce(F.max(F.col("of_host") & F.arrays_overlap("words", seeds)), F.lit(False)).alias("blocked")
+    hosts = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("of_host"), F.struct("at", "words")))), lambda x: x["words"])), " ")
+    of_page = cut_lineage(words.groupBy("_row").agg(blocked, hosts.alias("host_words")))
+    each = words.join(of_page.select("_row", "blocked"), "_row").select("_row", "blocked", F.explode("words").alias("word"))
+    counts = cut_lineage(each.groupBy("word").agg(F.sum(F.col("blocked").cast("long")).alias("block"), F.sum((~F.col("blocked")).cast("long")).alias("allow")))
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("block", "allow")]).first()
+    n_pages = cut.count()
+    n_block = of_page.where("blocked").count()
+    shares = math.log((n_block + prior) / (n_pages - n_block + prior))
+    odds = counts.select("word", log_odds(F.col("block"), F.col("allow"), *total, prior).alias("_odds"))
+    sums = words.select("_row", F.explode("words").alias("word")).join(odds, "word").groupBy("_row").agg(F.collect_list("_odds").alias("_odds"))
     # summed in order of size, so that equal urls have equal odds
-    rest = rest.select("_row", F.aggregate(F.array_sort("_rest"), F.lit(0.0), lambda x, y: x + y).alias("_rest"))
-    judged = (judged.drop("rare").join(rest, "_row", "left").withColumn("log_odds", F.col("log_odds") + F.coalesce("_rest", F.lit(0.0)))
-              .withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)))
-    return judged.select("page_id", "host", "path", F.col("_r.rule").alias("rule"),
-                         F.coalesce("_r.action", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "log_odds")
+    sums = sums.select("_row", F.aggregate(F.array_sort("_odds"), F.lit(0.0), lambda x, y: x + y).alias("_sum"))
+    judged = cut.join(of_page, "_row", "left").join(sums, "_row", "left").withColumns({
+        "log_odds": F.lit(shares) + F.coalesce("_sum", F.lit(0.0)), "_r": rule_of(F.col("host"), F.col("path"), rules)})
+    bad = (F.col("log_odds") > 0) if n_block else F.lit(False)
+    return judged.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.action", F.when(bad, "block").otherwise("allow")).alias("verdict"),
+                         F.coalesce("host_words", F.lit("")).alias("host_words"), "log_odds")
 
 
 @query("op6_url_filter")

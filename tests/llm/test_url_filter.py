@@ -1,24 +1,45 @@
 import itertools
 import math
 import re
+import time
 from collections import Counter
 
 from gleanworks.llm import url_filter as uf
 
 
+def best_split(name, shares):
+    """All splits scored; of equal ones the one whose last word is longest, and so on to the front."""
+    best = None
+    for cuts in itertools.product((0, 1), repeat=max(0, len(name) - 1)):
+        at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
+        ws = [name[a:b] for a, b in zip(at, at[1:])] if name else []
+        p = sum(math.log(shares[w]) if w in shares else -uf.PIECE - uf.LETTER * len(w) for w in ws)
+        best = max(best or (-math.inf, (), []), (round(p, 9), tuple(len(w) for w in reversed(ws)), ws))
+    return best[2]
+
+
 def test_viterbi_is_the_best_of_all_splits():
     shares = {"casino": 0.1, "win": 0.1, "cas": 0.2, "in": 0.2, "o": 0.05, "owin": 0.01}
     s = uf.Segmenter(shares)
-    for name in ("casinowin", "winwin", "qcasino", "inowin", "x", ""):
-        best = None
-        for cuts in itertools.product((0, 1), repeat=max(0, len(name) - 1)):
-            at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
-            ws = [name[a:b] for a, b in zip(at, at[1:])] if name else []
-            if all(len(w) <= s.longest for w in ws):
-                p = sum(s.logp.get(w, s._unknown(len(w))) for w in ws)
-                best = max(best or (-math.inf, []), (p, ws))
-        assert s.run(name) == best[1]
-    assert s.words("CasinoWin42.in") == ["casino", "win", "0", "in"]
+    for name in ("casinowin", "winwin", "qcasino", "inowin", "x", "", "qxzwinqx"):
+        assert s.run(name) == best_split(name, shares)
+    part = uf.Segmenter({"cas": 0.2, "win": 0.1})  # the rest given with the name
+    more = [(0, 6, 0.1), (4, 2, 0.2), (5, 1, 0.05), (5, 4, 0.01), (7, 2, 0.2)]
+    assert part.run("casinowin", more) == s.run("casinowin")
+    assert uf.parts("CasinoWin42.in/a_b") == ["casinowin", "0", "in", "a", "b"]
+
+
+def test_very_long_names_take_linear_time():
+    s = uf.Segmenter({"a" * 4000: 1e-5, "win": 1e-3, "best": 1e-3})
+
+    def seconds(name):
+        start = time.perf_counter()
+        assert "".join(s.run(name)) == name
+        return time.perf_counter() - start
+
+    for unit in ("a", "winbest", "q"):
+        few, many = (min(seconds(unit * (n // len(unit))) for _ in range(3)) for n in (10_000, 100_000))
+        assert many < 40 * max(few, 0.01)
 
 
 def cut(url):
@@ -51,26 +72,51 @@ def test_queries_of_all_kinds(spark):
     assert uf.filter_urls(pages.limit(0)).collect() == []
 
 
-def test_bayes_by_hand():
-    prior, odds, other = uf.bayes({("block", ""): 1, ("allow", ""): 3, ("block", "spam"): 2, ("allow", "spam"): 1, ("allow", "tea"): 5})
-    assert math.isclose(prior, math.log(2 / 4)) and math.isclose(odds["spam"], math.log(3 / 5) - math.log(2 / 9)) and math.isclose(odds["tea"], math.log(1 / 5) - math.log(6 / 9))
-    assert math.isclose(other, math.log(1 / 5) - math.log(1 / 9))
-
-
-def test_rare_words_keep_their_counts(spark):
-    # enough counts that a share of 1e-5 is more than one hit
-    urls = [f"http://quiet.example/{'abcdefgh'[i % 8]}/pages/news/{i}" for i in range(40_000)] + ["http://casino.example/win"] * 30
-    urls += ["http://poker.example/zq", "http://quiet.example/kx/jw", "http://quiet.example/kx"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("page_id", "url", "cast(null as string) html", "'x' host")
-    s = uf.Segmenter(uf.word_shares(pages))
-    words = [(s.words(h), s.words(p)) for h, p in map(cut, urls)]
-    counts = Counter()
-    for h, p in words:
-        c = "block" if set(h) & set(uf.BLOCK_WORDS) else "allow"
-        counts.update([(c, ""), *[(c, w) for w in h + p]])
-    assert min(counts.values()) == 1 < uf.WORD_SHARE * sum(counts.values())
-    prior, odds, _ = uf.bayes(counts)
-    for r in uf.filter_urls(pages).collect():
-        h, p = words[r.page_id]
-        want = prior + math.fsum(odds[w] for w in h + p)
-        assert math.isclose(r.log_odds, want, abs_tol=1e-9) and r.verdict == ("block" if want > 0 else "allow")
+def page_table(spark, urls, html=None):
+    return spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+
+
+def test_model_by_hand(spark):
+    """Splits and odds of a small table, counted in plain Python."""
+    html = "zebra farmhouse zebra farm house kestrel"
+    urls = ["http://zebrafarmhouse.test/kestrelhouse"] * 2 + ["http://casino.test/zebra"] * 3 + ["http://quiet.test/q/7", "http://quiet.test/q/7"]
+    total, seen = 6 * len(urls), Counter(html.split() * len(urls))
+    shares = {w: n / total for w, n in seen.items()}
+    for w in (*uf.BLOCK_WORDS, *uf.NEAR_WORDS):
+        shares[w] = max(shares.get(w, 0), uf.SEED_SHARE)
+    split = [[w for p in uf.parts(x) for w in (best_split(p, shares) if p != "0" else ["0"])] for u in urls for x in cut(u)]
+    pages = list(zip(split[::2], split[1::2]))
+    counts = {"block": Counter(), "allow": Counter()}
+    for h, p in pages:
+        counts["block" if set(h) & set(uf.BLOCK_WORDS) else "allow"].update(h + p)
+    n = {c: sum(x.values()) for c, x in counts.items()}
+
+    def odds(w):
+        b, a = counts["block"][w], counts["allow"][w]
+        s = uf.PRIOR * (a + b) / sum(n.values())
+        return math.log((b + s) / (n["block"] + uf.PRIOR)) - math.log((a + s) / (n["allow"] + uf.PRIOR))
+
+    for r in uf.filter_urls(page_table(spark, urls, html)).collect():
+        h, p = pages[r.page_id]
+        want = math.log((3 + uf.PRIOR) / (4 + uf.PRIOR)) + math.fsum(map(odds, h + p))
+        assert r.host_words == " ".join(h) and math.isclose(r.log_odds, want, abs_tol=1e-9) and r.verdict == ("block" if want > 0 else "allow")
+
+
+def test_rare_clean_names_are_allowed(spark):
+    urls = [f"http://quiet.example/{'abcdefgh'[i % 8]}/pages/news/{i}" for i in range(5000)] + ["http://casino.example/win"] * 50 + ["http://kestrel.test/harrier/merlin/osprey"]
+    got = {r.page_id: r for r in uf.filter_urls(page_table(spark, urls)).collect()}
+    assert got[5050].verdict == "allow" and {got[i].verdict for i in range(5000)} == {"allow"} and {got[i].verdict for i in range(5000, 5050)} == {"block"}
+    clean = uf.filter_urls(page_table(spark, ["http://kestrel.test/a", "http://b.test/c", None])).collect()
+    assert {r.verdict for r in clean} == {"allow"}  # no block page, no block verdict
+
+
+def test_splits_do_not_depend_on_the_size_of_the_table(spark):
+    few = [("http://zebrafarmhouse.test/", "zebra farmhouse on a hill")] * 4
+    filler = [(f"http://host{i}.test/", " ".join(f"{a}{b}{c}" for a in "klmnopr" for b in "aeiou" for c in "stvwxzbd") + " filler" * 3000) for i in range(150)]
+    words = []
+    for rows in (few, few + filler):
+        pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+        counts = uf.unigrams(pages)
+        words.append({r.host_words for r in uf.filter_urls(pages).where("page_id < 4").collect()})
+    assert counts.where("word = 'zebra'").first().n < uf.WORD_SHARE * counts.agg({"n": "sum"}).first()[0]  # met in the join
+    assert words[0] == words[1] == {"zebra farmhouse test"}
