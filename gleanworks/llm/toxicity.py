@@ -6,8 +6,9 @@ earlier ones are on texts they have not seen; when scoring, the models of all ro
 
 The labels table says whether a text is toxic, which is the last category; the categories before it are told apart among
 toxic texts by seed words (``SEEDS``). Models are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, those with
-the smallest seeded hash of doc_id). Words enter if, over the sample, they occur in ``MIN_DOCS`` rows and differ between
-the classes by ``MIN_Z`` standard errors in some category; the ``FEATURES`` strongest make up the models. Scoring is one pass over all texts, nothing exchanged.
+the smallest seeded hash of doc_id). All words enter that, over the sample, occur in ``MIN_DOCS`` rows and differ between
+the classes by ``MIN_Z`` standard errors in some category. The fit keeps rows as lists of their words, so its memory follows the words found, not rows times words. Scoring is one pass over
+all texts, nothing exchanged.
 
 Defined cases: a null or empty text has no words and gets the chain's base probabilities; labels that are null or whose
 doc_id is not found are not used; if several labels stand for one doc_id the largest counts; without labelled rows of
@@ -36,9 +37,8 @@ SEEDS = {
     "contempt": ("disgusting", "pathetic", "despicable", "hateful", "repulsive", "shameful"),
 }
 CATEGORIES = (*SEEDS, "toxic")
-SAMPLE_ROWS, FOLDS, MIN_DOCS, MIN_Z, THRESHOLD = 10_000, 5, 5, 4.0, 0.5
-FEATURES = 500  # words and beginnings of words in the models
-RIDGE, STEPS = 0.1, 30
+SAMPLE_ROWS, FOLDS, MIN_DOCS, MIN_Z, THRESHOLD = 20_000, 5, 5, 4.0, 0.5
+RIDGE, STEPS, INNER = 0.1, 30, 60
 PREFIXES = (4, 5, 6, 7)  # bytes
 
 
@@ -73,50 +73,71 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; the intercept is free."""
-    n, k = x.shape
+class Rows:
+    """Rows as the words in them (row and word numbers, side by side) and some dense columns."""
+
+    def __init__(self, row: np.ndarray, word: np.ndarray, words: int, dense: np.ndarray):
+        self.row, self.word, self.words, self.dense = row, word, words, dense
+
+    def times(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, theta[self.word], len(self.dense)) + self.dense @ theta[self.words:-1] + theta[-1]
+
+    def back(self, value: np.ndarray, square: bool = False) -> np.ndarray:
+        dense = self.dense**2 if square else self.dense
+        return np.concatenate([np.bincount(self.word, value[self.row], self.words), dense.T @ value, [value.sum()]])
+
+    def subset(self, keep: np.ndarray) -> Rows:
+        number = np.cumsum(keep) - 1
+        mine = keep[self.row]
+        return Rows(number[self.row[mine]], self.word[mine], self.words, self.dense[keep])
+
+
+def fit_logistic(x: Rows, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps, each solved by conjugate gradients; the intercept is free."""
+    n, k = len(y), x.words + x.dense.shape[1]
     share = np.clip(y.mean() if n else 0.0, 1e-9, 1 - 1e-9)
-    w, b = np.zeros(k), float(np.log(share / (1 - share)))
+    theta = np.append(np.zeros(k), float(np.log(share / (1 - share))))
     if y.min(initial=1) == y.max(initial=0):
-        return w, b
-    theta, penalty = np.append(w, b), np.append(np.full(k, ridge), 1e-6)
+        return theta[:-1], theta[-1]
+    penalty = np.append(np.full(k, ridge), 1e-6)
     for _ in range(steps):
-        p = _sigmoid(x @ theta[:-1].astype(x.dtype) + theta[-1])
-        miss, spread = p - y, p * (1 - p)
-        grad = np.append(x.T @ miss.astype(x.dtype), miss.sum()) + penalty * theta
-        hess = np.diag(penalty)
-        for at in range(0, n, 1000):  # in blocks: one weighted copy of the rows at a time
-            part, v = x[at:at + 1000], spread[at:at + 1000].astype(x.dtype)
-            weighted = part * v[:, None]
-            hess[:k, :k] += weighted.T @ part
-            edge = weighted.sum(axis=0)
-            hess[:k, k] += edge
-            hess[k, :k] += edge
-            hess[k, k] += v.sum()
-        move = np.linalg.solve(hess, grad)
-        theta -= move * min(1.0, 5 / max(1e-12, np.abs(move).max()))
-        if np.abs(move).max() < 1e-5:
+        p = _sigmoid(x.times(theta))
+        spread = p * (1 - p)
+        left = -(x.back(p - y) + penalty * theta)
+        scale = 1 / (x.back(spread, square=True) + penalty)
+        move, target = np.zeros(k + 1), 1e-8 * np.linalg.norm(left)
+        z = scale * left
+        d, size = z.copy(), left @ z
+        for _ in range(INNER):
+            if np.linalg.norm(left) <= target:
+                break
+            hd = x.back(spread * x.times(d)) + penalty * d
+            a = size / (d @ hd)
+            move += a * d
+            left = left - a * hd
+            z = scale * left
+            size, before = left @ z, size
+            d = z + size / before * d
+        theta += move * min(1.0, 5 / max(1e-12, np.abs(move).max()))
+        if np.abs(move).max() < 1e-6:
             break
     return theta[:-1], float(theta[-1])
 
 
-def fit_chain(names: list[bytes], x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
-    """The chain for features ``x`` and category labels ``y`` (rows x categories)."""
+def fit_chain(names: list[bytes], row: np.ndarray, word: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
+    """The chain for rows that hold words (side by side in ``row`` and ``word``) and category labels ``y`` (rows x categories)."""
     n, cats = y.shape
     chain = Chain(names, np.zeros((cats, len(names))), np.zeros((cats, cats)), np.zeros(cats))
     oof = np.zeros((n, cats))
-    seen = np.zeros((n, len(names) + cats), np.float32)
-    seen[:, :len(names)] = x
     for j in range(cats):
-        wide = len(names) + j
+        # later models see what earlier ones say of texts that those have not seen
+        x = Rows(row, word, len(names), oof[:, :j].copy())
         for f in range(folds):
             rest = fold != f
             if rest.any() and not rest.all():
-                w, b = fit_logistic(seen[rest, :wide], y[rest, j])
-                oof[~rest, j] = _sigmoid(seen[~rest, :wide] @ w + b)
-        w, b = fit_logistic(seen[:, :wide], y[:, j])
-        seen[:, wide] = oof[:, j]  # later models see what the model says of texts that it has not seen
+                w, b = fit_logistic(x.subset(rest), y[rest, j])
+                oof[~rest, j] = _sigmoid(x.subset(~rest).times(np.append(w, b)))
+        w, b = fit_logistic(x, y[:, j])
         chain.weights[j], chain.earlier[j, :j], chain.bias[j] = w[:len(names)], w[len(names):], b
     return chain
 
@@ -181,14 +202,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
     # standard errors between the share of a category's rows among those with the word, and the share of toxic rows among all
     share = F.lit(positive[0] / rows)
     strength = F.greatest(*[(F.col(f"c{k}") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)) for k in range(len(CATEGORIES))])
-    best = counts.select("word", strength.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "word").limit(FEATURES)
-    names = sorted(bytes(r[0]) for r in best.collect())
+    best = counts.select("word", strength.alias("z")).where(F.col("z") >= MIN_Z)
+    names = sorted(bytes(r[0]) for r in best.collect())  # of MIN_DOCS of the sampled rows each
     data = sample.mapInArrow(_vectors(names), "fold int, y array<int>, x array<int>").toPandas()
-    x = np.zeros((len(data), len(names)), np.float32)
-    for i, at in enumerate(data["x"]):
-        x[i, at] = 1.0
-    order = np.lexsort((*x.T[:3], data["fold"]))  # the fit must not depend on the order in which rows arrive
-    return fit_chain(names, x[order], np.stack(data["y"])[order], data["fold"].to_numpy()[order], folds)
+    rows = sorted(zip(data["fold"].tolist(), map(tuple, data["y"]), map(tuple, data["x"])))  # whole rows: the fit must not depend on their order of arrival
+    row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    word = np.fromiter((k for r in rows for k in r[2]), np.int64, len(row))
+    return fit_chain(names, row, word, np.array([r[1] for r in rows]), np.array([r[0] for r in rows]), folds)
 
 
 def _scorer(chain: Chain, extra: bool, threshold: float):

@@ -43,13 +43,36 @@ def test_chain_on_words(spark):
     assert tx.drop_toxic(d.limit(0), lab).count() == 0
 
 
+def test_fit_is_the_ridge_optimum():
+    """Against plain gradient steps on the dense matrix."""
+    rng = np.random.default_rng(3)
+    x, dense = (rng.random((300, 40)) < 0.1).astype(float), rng.random((300, 2))
+    y = (x[:, 0] + x[:, 1] + dense[:, 0] + 0.3 * rng.normal(size=300) > 0.8).astype(float)
+    w, b = tx.fit_logistic(tx.Rows(*np.nonzero(x), 40, dense), y)
+    wide = np.hstack([x, dense, np.ones((300, 1))])
+    theta, penalty = np.zeros(43), np.append(np.full(42, tx.RIDGE), 1e-6)
+    for _ in range(60_000):
+        theta -= 0.01 * (wide.T @ (1 / (1 + np.exp(-wide @ theta)) - y) + penalty * theta)
+    assert np.append(w, b) == pytest.approx(theta, abs=1e-4)
+
+
+def test_all_significant_words_enter(spark):
+    rng = random.Random(1)
+    docs = [(i, " ".join([rng.choice(["calm", "plain"]), f"id{i}", *([f"slur{rng.randint(0, 599)}"] * (i % 3 == 0)), "x" * 2000 if i % 50 == 0 else ""])) for i in range(24_000)]
+    labels = [(i, int(i % 3 == 0)) for i in range(24_000)]
+    chain = tx.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), sample_rows=24_000)
+    assert sum(w.startswith(b"slur") and not w.endswith(b" ") for w in chain.words) > 500
+    p = chain.predict([[i] for i, w in enumerate(chain.words) if w.startswith(b"slur")])
+    assert (p[:, -1] > 0.5).all()
+
+
 def test_later_models_see_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (600, 3)).astype(float)
     y = np.stack([x[:, 0], np.maximum(x[:, 0], x[:, 1])], axis=1)
     flip = rng.random(600) < 0.05
     y[flip, 0] = 1 - y[flip, 0]
-    c = tx.fit_chain([b"a", b"b", b"c"], x, y, np.arange(600) % 5)
+    c = tx.fit_chain([b"a", b"b", b"c"], *np.nonzero(x), y, np.arange(600) % 5)
     assert c.earlier[1, 0] != 0 and c.earlier[0].sum() == 0
     p = c.predict([[], [0], [1], [0, 1, 2]])
     assert (p[:, 1] > 0.5).tolist() == [False, True, True, True] and (p[:, 0] > 0.5).tolist() == [False, True, False, True]
