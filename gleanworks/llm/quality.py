@@ -174,9 +174,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray,
     counts = docs.select("text").mapInArrow(_voter, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
     share, p, post = expectation_maximisation(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.float64), len(LABELLERS))
     accuracy = pd.DataFrame({"labeller": LABELLERS, "accuracy": share * p[:, 1] + (1 - share) * (1 - p[:, 0])})
-    # the rows with the smallest hashes: ids first, so that only chosen texts move
+    # the distinct texts with the smallest hashes: hashes first, so that only chosen texts move
     h = F.xxhash64("text", F.lit(2))
-    edge = docs.where("text is not null").select(h.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    edge = docs.where("text is not null").select(h.alias("h")).distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     sample = docs.where((h <= edge) if edge is not None else F.lit(False)).select("text").distinct().orderBy(h).limit(sample_rows)
     data = cut_lineage(sample).mapInArrow(_sampled, "pattern int, at binary, x binary").toPandas().sort_values(["pattern", "x", "at"])
     of = dict(zip(counts["pattern"], post))
