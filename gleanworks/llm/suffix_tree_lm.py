@@ -36,7 +36,7 @@ from .common import batches, query, read, utf8, words
 DEPTH, LEAST, GAIN, PRIOR = 5, 16, 15.0, 8.0  # a context and its next byte make up a 64-bit key: DEPTH is 7 at most
 COMMON = 1e-6
 START, END = b"\n", b"\xff"  # neither occurs in a word
-CHUNK_BITS = 14  # a chunk is at most so many rows of one partition, as a power of 2
+CHUNK_BYTES = 12 << 20  # texts of a chunk: rows of one partition that lie together, as many as have this size on average
 _END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64).view(np.int64)[0].item()
 
 
@@ -186,18 +186,48 @@ def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+_EMPTY = np.uint64(2**64 - 1)  # no gram: END occurs once in a stream
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class _Table:
-    """log10 probabilities of the grams of one chunk."""
+    """log10 probabilities of the grams of one chunk, found by hash: a gram's place is the first of the slots from its own on that holds it."""
 
     def __init__(self, depth: int):
         self.depth, self.parts, self.keys, self.logp = depth, [], None, None
 
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (grams * _SPREAD >> self.shift).astype(np.int64)
+
+    def _fill(self) -> None:
+        keys = np.frombuffer(b"".join(k for k, _ in self.parts), np.uint64)
+        logp = np.frombuffer(b"".join(p for _, p in self.parts), np.float64)
+        self.parts = []
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.logp = np.full(1 << bits, _EMPTY), np.zeros(1 << bits)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] == _EMPTY
+            self.keys[at[free]] = keys[free]  # of several for one slot the last one stays
+            self.logp[at[free]] = logp[free]
+            again = self.keys[at] != keys
+            keys, logp, at = keys[again], logp[again], (at[again] + 1) & self.last
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        at = self._slot(grams)
+        open_at = np.flatnonzero(self.keys[at] != grams)
+        while len(open_at):
+            if (self.keys[at[open_at]] == _EMPTY).any():
+                raise RuntimeError("the rows changed between two passes: a gram without a probability")
+            at[open_at] = (at[open_at] + 1) & self.last
+            open_at = open_at[self.keys[at[open_at]] != grams[open_at]]
+        return self.logp[at]
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.keys is None:
-            keys = np.frombuffer(b"".join(k for k, _ in self.parts), np.uint64)
-            order = np.argsort(keys)
-            self.keys, self.logp = keys[order], np.frombuffer(b"".join(p for _, p in self.parts), np.float64)[order]
-            self.parts = []
+            self._fill()
         out = np.zeros(len(texts))
         row, waiting, size = [], [], 0
         for i, t in enumerate(texts):
@@ -205,7 +235,7 @@ class _Table:
                 waiting.append((START * self.depth + t)[at:at + (1 << 20) + self.depth] if len(t) > 1 << 20 else START * self.depth + t)
                 row.append(i)
                 size += len(waiting[-1])
-                if size > 1 << 20:
+                if size > 1 << 18:  # numbers of that many places stay in the processor's cache
                     self._add(out, row, waiting)
                     row, waiting, size = [], [], 0
         if waiting:
@@ -213,12 +243,9 @@ class _Table:
         return out
 
     def _add(self, out: np.ndarray, row: list[int], pieces: list[bytes]) -> None:
-        g = grams_of(pieces, self.depth)
-        at = np.searchsorted(self.keys, g)
-        if at.max() >= len(self.keys) or (self.keys[at] != g).any():
-            raise RuntimeError("the rows changed between two passes: a gram without a probability")
+        logp = self.find(grams_of(pieces, self.depth))
         first = np.cumsum([0] + [len(x) - self.depth for x in pieces[:-1]])
-        np.add.at(out, row, np.add.reduceat(self.logp[at], first))
+        np.add.at(out, row, np.add.reduceat(logp, first))
 
 
 def _scorer(depth: int, common, n_all: int, n_words: int):
@@ -302,7 +329,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: f
     key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.crc32(key.cast("binary")) % 10 == 0).alias("held_out"),
                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    src = src.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
+    size, rows = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    # a partition's rows are numbered from 0 on; its number stands above the 33rd bit
+    in_chunk = max(1, int(CHUNK_BYTES * rows / max(1, size)))
+    number = F.monotonically_increasing_id()
+    src = src.withColumn("chunk", F.shiftright(number, 33) * (1 << 33) + F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / in_chunk))
     logps, counts = train(src, depth, **how)
     n_all, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     spark = docs.sparkSession

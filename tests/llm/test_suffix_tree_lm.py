@@ -3,9 +3,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from gleanworks.llm.suffix_tree_lm import score
+from gleanworks.llm.suffix_tree_lm import _Table, score
 
 
 def split(t):
@@ -86,3 +87,24 @@ def test_longest_contexts(spark):
     got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in score(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect())
     for g, w in zip(got, brute(rows, **how), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_texts_over_two_megabytes(spark):
+    how = dict(depth=2, least=1e-4, gain=1.0, prior=8.0)
+    rng = random.Random(6)
+    rows = [(1, "".join(rng.choice(["an ", "bé ", "çing", "x"]) for _ in range(900_000))), (2, "an an"), (30, None)]
+    got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in score(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect())
+    for g, w in zip(got, brute(rows, **how), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_table_finds_every_gram_and_no_other():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64))
+    table = _Table(5)
+    table.parts = [(keys[:20_000].tobytes(), np.arange(20_000.0).tobytes()), (keys[20_000:].tobytes(), np.arange(20_000.0, len(keys)).tobytes())]
+    table._fill()
+    pick = rng.integers(0, len(keys), 100_000)
+    assert table.find(keys[pick]).tolist() == pick.astype(float).tolist()
+    with pytest.raises(RuntimeError):
+        table.find(np.array([2**63 + 5], np.uint64))
