@@ -62,8 +62,9 @@ def test_all_significant_words_enter(spark):
     labels = [(i, int(i % 3 == 0)) for i in range(24_000)]
     chain = tx.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), sample_rows=24_000)
     assert sum(w.startswith(b"slur") and not w.endswith(b" ") for w in chain.words) > 500
-    p = chain.predict([[i] for i, w in enumerate(chain.words) if w.startswith(b"slur")])
-    assert (p[:, -1] > 0.5).all()
+    at = {w: i for i, w in enumerate(chain.words)}
+    p = chain.predict([[at[w] for w in sorted(at.keys() & tx.features(t))] for t in [b"calm idx " + w for w in chain.words if w.startswith(b"slur") and w[-1:] != b" "] + [b"calm plain"]])
+    assert (p[:-1, -1] > 0.5).mean() > 0.99 and p[-1, -1] < 0.5
 
 
 def test_later_models_see_out_of_fold_probabilities():
