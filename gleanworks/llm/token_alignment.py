@@ -32,7 +32,7 @@ TOKENIZERS = "/opt/tokenizers"  # the same folder on every machine
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 COMMON = 1e-6
 TASK_BYTES = 2 << 20  # of texts or ids worked on at once
-PARTS, RUNS = 200_000, 60_000  # pieces of text whose tokens a task remembers
+PARTS, RUNS = 300_000, 60_000  # pieces of text whose tokens a task remembers
 LEADERS = 32
 SHIFT = 24  # a pair of ids as one number
 ADDED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "n_best": "long", "count_sum": "long", "groups": "string"}
@@ -46,11 +46,17 @@ def _byte_of() -> dict[str, int]:
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(rf"[{_LETTERS}]+")
 _RUNS = re.compile(rf"[{_LETTERS}]+|\n|[^{_LETTERS}\n]+")
 _PLAIN = re.compile(rf"[{_LETTERS}!-&(-/:-@\[-`{{-~\n]+")  # letters, visible ASCII but digits and the apostrophe, line ends
 _LINE_ENDS = re.compile(r"\n\n|\n\Z|\A\n")
 
 
+def _latin(s: str) -> bool:
+    """Whether letters are all of those that _LETTERS lists."""
+    return s.isascii() or _WORD.fullmatch(s) is not None
+
+
 def _visible(c: str) -> bool:
     return "!" <= c <= "~" or c.isalnum()
 
@@ -84,6 +90,11 @@ class Tokenizers:
         self.parts: dict[str, tuple[bytes, bytes, bool]] = {}  # between blanks, visible at both ends
         self.runs: dict[tuple[str, bool, bool], tuple[bytes, bytes, bool]] = {}
         self.word = self._word_encoder(f"{folder}/{a_file}")
+        self.tails: dict[str, tuple[bytes, bytes]] = {}  # signs that no tokenizer joins to a letter before them
+        for c in ".,;:!?)*%&#$" if self.line_end else "":
+            a, b = self.word(c.encode()), self.b.encode("\n" + c)[len(self.line_end):]
+            if c not in {x[1] for x in self.joined if x[0].isalpha() and _latin(x[0])} and self.bytes_a[a[0]] == self.bytes_b[b[0]] == c.encode():
+                self.tails[c] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
 
     def _word_encoder(self, path: str):
         """A's tokens of one word. Where merges make entries in the order of their numbers, the lowest number that two neighbours make is the next merge."""
@@ -132,11 +143,23 @@ class Tokenizers:
         return [(section, True, False)]
 
     def learn(self, sections: list[str], into: dict) -> None:
-        """Tokens of new sections: words of letters at once, others put together from their runs."""
-        plain = [s for s in sections if s.isalpha() and s.isascii()] if self.line_end else []
+        """Tokens of new sections: words of letters, alone or with a sign behind them, at once, others put together from their runs."""
+        plain, tailed, rest = [], [], []
+        for s in sections:
+            if s.isalpha() and _latin(s):
+                plain.append(s)
+            elif s[-1:] in self.tails and (stem := s[:-1]).isalpha() and _latin(stem):
+                tailed.append((s, stem))
+            else:
+                rest.append(s)
+        if not self.line_end:
+            plain, rest = [], sections
+        plain += {stem for _, stem in tailed}.difference(into, plain)
         texts = [(" " + s).encode() for s in plain]
         into.update(zip(plain, self._entries(texts, list(map(self.word, texts)), self.b.encode(plain, num_threads=1))))
-        rest = [s for s in sections if s not in into]
+        for s, stem in tailed:
+            (a, b, same), (tail_a, tail_b) = into[stem], self.tails[s[-1]]
+            into[s] = a + tail_a, b + tail_b, same
         cut = list(map(self._cut, rest))
         if len(self.runs) > RUNS:
             self.runs.clear()
@@ -275,6 +298,9 @@ class Aligned:
             text_of.append(np.repeat(mine, sizes)[own])
         at_a, at_b = (np.concatenate([x[k] for x in links]) if links else np.empty(0, np.int64) for k in (0, 1))
         self.text = np.concatenate(text_of) if links else np.empty(0, np.int64)
+        if len(links) > 1:  # text by text again
+            order = np.argsort(self.text, kind="stable")
+            at_a, at_b, self.text = at_a[order], at_b[order], self.text[order]
         self.pair = self.ids_a[at_a] << SHIFT | self.ids_b[at_b]
         self.b_id = self.ids_b[at_b]
 
@@ -295,13 +321,49 @@ class Aligned:
         return ["".join(map(said.__getitem__, out[s:e].tolist()))[:-1] for s, e in zip(ends, ends[1:])]
 
 
-def _sums(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))[:len(pairs)]
+    return pairs[first], np.diff(np.concatenate([first, [len(pairs)]]))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     order = np.argsort(pairs, kind="stable")
     pairs, n = pairs[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))[:len(pairs)]
     return pairs[first], np.add.reduceat(n, first) if len(first) else n
 
 
+class Places:
+    """Where each of some distinct numbers stands: found in the first slots from its own on."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.last, self.keys, self.at = np.uint64(64 - bits), (1 << bits) - 1, np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        number, slot = np.arange(len(keys)), self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last one stays
+            self.at[slot[free]] = number[free]
+            again = self.keys[slot] != keys
+            keys, number, slot = keys[again], number[again], (slot[again] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 if it is none of the keys."""
+        slot = self._slot(values)
+        going = np.flatnonzero((self.keys[slot] != values) & (self.keys[slot] >= 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & self.last
+            going = going[(self.keys[slot[going]] != values[going]) & (self.keys[slot[going]] >= 0)]
+        return np.where(self.keys[slot] == values, self.at[slot], -1)
+
+
 def _ids(b: pa.RecordBatch, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
     """A column of token ids as (all ids, where each row's begin)."""
     c = b.column(name)
@@ -334,16 +396,15 @@ def tokenize(docs: DataFrame, text: str = "text", files: tuple[str, str, str] =
 
 def _counter(files: tuple[str, str, str]):
     def out(parts: list) -> pa.RecordBatch:
-        pairs, n = _sums(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+        pairs, n = _merged(parts)
         return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, parts = _loaded(*files), []
         for b in batches(frames, TASK_BYTES):
-            pairs = Aligned(tok, *_ids(b, "__a", tok.kind), *_ids(b, "__b", tok.kind)).pair
-            parts.append(_sums(pairs, np.ones(len(pairs), np.int64)))
+            parts.append(_counted(Aligned(tok, *_ids(b, "__a", tok.kind), *_ids(b, "__b", tok.kind)).pair))
             if sum(len(p[0]) for p in parts) > 3_000_000:
-                parts = [_sums(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))]
+                parts = [_merged(parts)]
                 if len(parts[0][0]) > 1_500_000:
                     yield out(parts)
                     parts = []
@@ -364,17 +425,17 @@ def _aligner(files: tuple[str, str, str], often):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _loaded(*files)
         pairs, counts, best = often.value
+        places_of, counts = Places(pairs), np.append(counts, 0)
         highest = np.zeros(tok.width, np.int64)
         highest[best[0]] = best[1]
         for b in batches(frames, TASK_BYTES):
             al = Aligned(tok, *_ids(b, "__a", tok.kind), *_ids(b, "__b", tok.kind))
             rows = b.num_rows
-            at = np.minimum(np.searchsorted(pairs, al.pair), max(0, len(pairs) - 1))
-            known = pairs[at] == al.pair if len(pairs) else np.zeros(len(al.pair), bool)
-            count = np.where(known, counts[at], 0) if len(pairs) else np.zeros(len(al.pair), np.int64)
-            total, wins = np.zeros((2, rows), np.int64)
-            np.add.at(total, al.text, count)
-            np.add.at(wins, al.text[known], (count == highest[al.b_id])[known])
+            at = places_of.find(al.pair)
+            known, count = at >= 0, counts[at]
+            edge = np.searchsorted(al.text, np.arange(rows + 1))  # links stand text by text
+            upto = [np.concatenate([[0], np.cumsum(x)]) for x in (known & (count == highest[al.b_id]), count)]
+            wins, total = (u[edge[1:]] - u[edge[:-1]] for u in upto)
             # pairs whose counts the tasks have not, once for each text
             open_text, open_pair = al.text[~known], al.pair[~known]
             order = np.lexsort([open_pair, open_text])
