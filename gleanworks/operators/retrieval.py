@@ -1,4 +1,4 @@
-"""Vector retrieval: exact top-k by blocks, inverted lists, hybrid results, re-ranking hook, pluggable encoders."""
+"""Vector retrieval: exact and approximate top-k, hybrid results, re-ranking hook, pluggable encoders."""
 
 from __future__ import annotations
 
@@ -11,30 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..ordering import top_per_group
 from ..session import cut_lineage
+from . import vectors
 
 QUERY_BLOCK = 2048  # queries held by one task
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    m = m.astype(np.float64)
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
-
-
-def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query the k best rows of one block; equal scores go to the lower id, so block boundaries do not matter."""
-    by_id = np.argsort(ids, kind="stable")
-    ids = ids[by_id]
-    scores = np.round(q @ _unit(vecs[by_id]).T, 12)
-    kk = min(k, len(ids))
-    kth = np.partition(scores, len(ids) - kk, axis=1)[:, len(ids) - kk]
-    picks = []
-    for row, edge in zip(scores, kth):
-        above = np.flatnonzero(row > edge)
-        picks.append(np.concatenate([above, np.flatnonzero(row == edge)[:kk - len(above)]]))
-    order = np.array(picks)
-    return pd.DataFrame({"qid": np.repeat(qids, kk), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-
 _OUT = "qid long, id long, score double"
 
 
@@ -43,9 +24,8 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool =
     """(qid, id, score, rank): cosine top-k of every query over the whole index.
 
     ``queries``: qid, vec[, category]; ``index``: id, vec[, category]. Up to ``block`` queries (a bounded matrix) travel to the
-    index partitions; more queries are cut into blocks, and every (query block, index block) pair is one task. Either way a
-    task emits k rows per query and the final rank runs on those. A category filter is applied before the cut, so a query
-    always gets its k best of that category.
+    index partitions, which are scanned once; more queries are joined by cells, with far cells skipped (``vectors.nearest``). The rows are the
+    same. A category filter is applied before the cut, so a query always gets its k best of that category.
     """
     qcols = ["qid", "vec"] + (["category"] if category else [])
     icols = ["id", "vec"] + (["category"] if category else [])
@@ -57,7 +37,9 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool =
         groups = [(None, qp, ip)] if not category else [(c, g, ip[ip["category"] == c]) for c, g in qp.groupby("category")]
         for _, qg, ig in groups:
             if len(qg) and len(ig):
-                yield _best(qg["qid"].to_numpy(), _unit(np.stack(qg["vec"].to_list())), ig["id"].to_numpy(), np.stack(ig["vec"].to_list()), kk)
+                ig = ig.sort_values("id")
+                q = vectors.unit(np.stack(qg["vec"].to_list()))
+                yield vectors.best_of(q, qg["qid"].to_numpy(), ig["id"].to_numpy(), q @ vectors.unit(np.stack(ig["vec"].to_list())).T, kk)
 
     if head <= block:
         held = queries.toPandas()  # at most ``block`` rows, checked above
@@ -68,16 +50,8 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool =
 
         local = index.mapInPandas(scan, _OUT)
     else:
-        n_q = max(1, -(-queries.count() // block))
-        n_i = max(1, -(-index.count() // 50_000))
-        q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
-        i = index.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(n_i)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-
-        def block_pair(qp: pd.DataFrame, ip: pd.DataFrame) -> pd.DataFrame:
-            out = list(search(qp, ip))
-            return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "score": []})
-
-        local = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(block_pair, _OUT)
+        cat = F.col("category") if category else F.lit(0)
+        local = vectors.nearest(queries.select("qid", cat.alias("cat"), "vec"), index.select("id", cat.alias("cat"), "vec"), kk).drop("rank")
     if exclude_self:
         local = local.filter("qid <> id")
     ranked = top_per_group(local, ["qid"], [F.col("score").desc(), F.col("id")], k, "rank")
@@ -93,44 +67,14 @@ def hybrid_search(queries: DataFrame, images: DataFrame, texts: DataFrame, k: in
     return a.unionByName(b)
 
 
-def ann_topk(queries: DataFrame, index: DataFrame, k: int, lists: int = 100, probe: int = 8, seed: int = 42) -> DataFrame:
-    """Approximate top-k: the index is cut into ``lists`` cells by k-means and a query only looks into its ``probe`` nearest.
+def ann_topk(queries: DataFrame, index: DataFrame, k: int, lists: int | None = None, refine: int = 8, sample: int = vectors.SAMPLE) -> DataFrame:
+    """Approximate top-k: cells by k-means, residuals as one byte for four dimensions, exact scores for the ``refine`` * k best of a query.
 
-    Cell centres (``lists`` vectors) are the only data held by every task; queries meet index rows by an equi-join on the cell,
-    salted because one cell may be large.
+    A query goes on to further cells while their radius lets them reach its k-th score, so it always gets k rows if the index has them. ``lists`` follows from
+    the number of rows; cells and code books are fitted on ``sample`` rows at most, every row is indexed.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = index.count()
-    unit = _unit_udf()
-    idx = index.select("id", unit("vec").alias("vec"))
-    sample = idx.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 200_000))) == 0).select(array_to_vector("vec").alias("features"))
-    centres = np.array(KMeans(k=min(lists, max(1, n // 2)), seed=seed, maxIter=10).fit(sample).clusterCenters())
-
-    def nearest(count: int):
-        @F.pandas_udf("array<int>")
-        def cells(v: pd.Series) -> pd.Series:
-            s = np.stack(v.to_list()) @ centres.T - 0.5 * (centres**2).sum(axis=1)
-            return pd.Series(list(np.argsort(-s, axis=1)[:, :count].astype(np.int32)), index=v.index)
-
-        return cells
-
-    salts = 8
-    i = idx.withColumn("cell", F.get(nearest(1)("vec"), F.lit(0))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    q = queries.select("qid", unit("vec").alias("qvec")).withColumn("cell", F.explode(nearest(probe)("qvec")))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = q.join(i, ["cell", "salt"]).select("qid", "id", dot.alias("score"))
-    return top_per_group(scored, ["qid"], [F.col("score").desc(), F.col("id")], k, "rank")
-
-
-def _unit_udf():
-    @F.pandas_udf("array<double>")
-    def unit(v: pd.Series) -> pd.Series:
-        return pd.Series(list(_unit(np.stack(v.to_list()))), index=v.index) if len(v) else v
-
-    return unit
+    q = queries.select("qid", F.lit(0).alias("cat"), "vec")
+    return vectors.nearest(q, index.select("id", F.lit(0).alias("cat"), "vec"), k, lists, codes=True, refine=refine, sample=sample)
 
 
 def rerank(candidates: DataFrame, picks: DataFrame, k: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as rt
+from ..session import cut_lineage, one_row
 from .registry import query, table
 
 _V = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) + 1e-9 AS n FROM v)"""
@@ -66,8 +67,23 @@ def rerank(spark, folder):
 
 @query("ann_topk", "J17")
 def ann_topk(spark, folder):
+    """Every row whose id divides by 100 against all rows."""
     q, i = _vectors(spark, folder)
-    return _rank(rt.ann_topk(q.select("qid", "vec"), i.select("id", "vec"), 10, lists=16, probe=4))
+    return _rank(rt.ann_topk(q.filter("qid % 100 = 0").select("qid", "vec"), i.select("id", "vec"), 10))
+
+
+@query("ann_recall", "J17", f"""WITH {_V}, s AS (SELECT a.vec_id AS qid, b.vec_id AS id FROM u a JOIN u b ON true WHERE a.vec_id % 100 = 0),
+ n AS (SELECT qid, least(10, count(*)) AS k FROM s GROUP BY qid) SELECT qid, CAST(k AS BIGINT) AS n_rows, true AS enough, true AS recall_reached FROM n""")
+def ann_recall(spark, folder):
+    """Rows given to each query, and whether recall over all queries against the exact search reaches 0.9."""
+    q, i = _vectors(spark, folder)
+    q, i = q.filter("qid % 100 = 0").select("qid", "vec"), i.select("id", "vec")
+    found, true = cut_lineage(rt.ann_topk(q, i, 10)), cut_lineage(rt.topk_similar(q, i, 10))
+    n = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rows"))
+    want = true.groupBy("qid").agg(F.count(F.lit(1)).alias("_want"))
+    share = one_row(found.join(true.select("qid", "id"), ["qid", "id"]).agg(F.count(F.lit(1)).alias("_hit")), true.agg(F.count(F.lit(1)).alias("_all")))
+    return (want.join(n, "qid", "left").withColumn("enough", F.coalesce("n_rows", F.lit(0)) == F.col("_want"))
+            .select("qid", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "enough", F.lit(share.select(F.col("_hit") >= 0.9 * F.col("_all")).first()[0]).alias("recall_reached")))
 
 
 @query("index_stats", "A33", """WITH p AS (SELECT p_size % 7 AS s, count(*) AS n FROM part GROUP BY 1), v AS (SELECT label, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY label)
