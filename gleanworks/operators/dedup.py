@@ -254,9 +254,7 @@ def _notes(out, kept, texts, cand, distance, keep_same_image):
 def image_groups(hashes: DataFrame, threshold: int = 5, id_col: str = "id") -> DataFrame:
     """(id, component) for groups of at least two images that are chained by distances below ``threshold``."""
     h = cut_lineage(hashes.filter("h is not null").select(F.col(id_col).alias("id"), "h"))
-    pairs = simjoin.hamming_pairs(h.select("h"), None, threshold - 1)
-    comp = graph.components(pairs)
-    comp = cut_lineage(comp)
+    comp = cut_lineage(simjoin.hamming_groups(h.select("h"), threshold - 1))
     labelled = h.join(comp.select(F.col("node").alias("h"), F.col("component").alias("c")), "h", "left")
     labelled = labelled.withColumn("c", F.coalesce("c", "h"))
     heads = labelled.groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")

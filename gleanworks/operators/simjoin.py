@@ -1,8 +1,8 @@
 """Exact similarity joins without comparing every pair.
 
 * ``hamming_pairs``: two 64-bit values that differ in at most k bits agree on some of a set of bit masks, so an
-  equi-join on (mask, masked value) finds all of them. Masks that turn out to be shared by too many values are replaced by
-  longer ones for the values concerned.
+  equi-join on (mask, masked value) finds all of them. Mask length follows the number of values; masks that turn out to be shared by too many values are replaced by
+  longer ones for the values concerned. ``hamming_groups`` chains near values without listing the pairs of a group.
 * ``set_signatures`` / ``near_pairs``: two n-gram sets with Jaccard >= t have a symmetric difference of at most D
   elements. The token space is split into more than D parts; at least one part holds identical tokens in both sets. A key
   is the hash of a whole part (several tokens), which is far more selective than a single shared token.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.vision import gram_hashes
 from ..session import cut_lineage, spread
+from . import graph
 
 HOT_PRODUCT = 4_000_000  # pairs one bucket may generate before it is split further
 
@@ -42,23 +43,18 @@ def _mask_keys(h: Column, masks: list[int]) -> Column:
                      for i, m in enumerate(masks)])
 
 
-def _flip_keys(h: Column, masks: list[int]) -> Column:
-    """Masked value and all values one bit away, for every mask."""
-    out = []
-    for i, m in enumerate(masks):
-        base = h.bitwiseAND(F.lit(_signed(m)))
-        flips = [0] + [1 << b for b in range(64) if m >> b & 1]
-        out += [F.struct(F.lit(i).alias("i"), base.bitwiseXOR(F.lit(_signed(f))).alias("v")) for f in flips]
-    return F.array(*out)
+def hamming_levels(k: int, left: int, right: int) -> list[list[int]]:
+    """Masks per level. With k + j bands, any two values within k bits agree on some j of them.
 
+    More bands make more masks and longer ones, shared by fewer values by chance: the first level is the one with the least work, keys plus expected pairs,
+    for tables of ``left`` and ``right`` values, so mask length follows the logarithm of their number. Later levels have longer masks, for buckets that are not due to chance.
+    """
+    def work(j: int) -> float:
+        n, bits = math.comb(k + j, j), 64 * j / (k + j)
+        return n * (left + right) + n * left * right / 2.0**bits
 
-def hamming_levels(k: int) -> list[tuple[list[int], bool]]:
-    """(masks, flip one bit on the left side) per level; longer keys at later levels."""
-    if k <= 4:
-        return [(_band_masks(k + j, j), False) for j in (1, 2, 3)]
-    # k <= 7: four bands, one of which differs in at most one bit
-    first = (_band_masks(4, 1), True) if k <= 7 else (_band_masks(k + 1, 1), False)
-    return [first, (_band_masks(k + 3, 3), False)]
+    first = min(range(1, 6), key=work)
+    return [_band_masks(k + j, j) for j in range(first, max(4, first + 2))]
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, hot: int = HOT_PRODUCT) -> DataFrame:
@@ -70,14 +66,15 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, hot: int = H
     own = right is None
     lt = cut_lineage(left.select("h").filter("h is not null").distinct())
     rt = lt if own else cut_lineage(right.select("h").filter("h is not null").distinct())
-    may_be_hot = lt.count() * rt.count() > hot
+    n_left = lt.count()
+    n_right = n_left if own else rt.count()
+    may_be_hot = n_left * n_right > hot
     dist = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")
     keep = (dist <= k) & ((F.col("a") < F.col("b")) if own else F.lit(True))
     found = None
-    levels = hamming_levels(k)
-    for n, (masks, flip) in enumerate(levels):
-        lkeys = (_flip_keys if flip else _mask_keys)(F.col("h"), masks)
-        lk = lt.select(F.col("h").alias("a"), F.explode(lkeys).alias("key")).select("a", "key.i", "key.v")
+    levels = hamming_levels(k, n_left, n_right)
+    for n, masks in enumerate(levels):
+        lk = lt.select(F.col("h").alias("a"), F.explode(_mask_keys(F.col("h"), masks)).alias("key")).select("a", "key.i", "key.v")
         rk = rt.select(F.col("h").alias("b"), F.explode(_mask_keys(F.col("h"), masks)).alias("key")).select(
             "b", "key.i", "key.v")
         hot_keys = None
@@ -107,6 +104,39 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, hot: int = H
     return found.distinct().withColumn("distance", dist)
 
 
+def hamming_groups(values: DataFrame, k: int, stars: int = 2) -> DataFrame:
+    """(node, component): distinct values of column ``h`` chained by distances of at most k; values without partner are left out.
+
+    Members of a bucket meet its representative only, first the least value, then one by hash. Buckets whose values are in one component by then need no more; in the others only
+    pairs across components are compared. So a large group of near values costs a linear number of comparisons, and no link between components is lost.
+    """
+    vals = cut_lineage(values.select("h").filter("h is not null").distinct())
+    n = vals.count()
+    masks = hamming_levels(k, n, n)[0]
+    keys = cut_lineage(vals.select("h", F.explode(_mask_keys(F.col("h"), masks)).alias("key")).select("h", "key.i", "key.v"))
+    shared = keys.groupBy("i", "v").agg(F.count(F.lit(1)).alias("_n"), F.min("h").alias("lead0"), F.min_by("h", F.xxhash64("h")).alias("lead1")).where("_n > 1")
+    keys = cut_lineage(keys.join(shared.drop("_n"), ["i", "v"]))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
+    edges = None
+    for s in range(stars):
+        star = keys.where((F.col("h") != F.col(f"lead{s}")) & near("h", f"lead{s}")).select(F.least("h", f"lead{s}").alias("a"), F.greatest("h", f"lead{s}").alias("b")).distinct()
+        edges = star if edges is None else edges.unionByName(star)
+    edges = cut_lineage(edges.distinct())
+    comp = cut_lineage(graph.components(edges))
+    tagged = keys.select("i", "v", "h").join(comp.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("c", F.coalesce("component", "h"))
+    divided = tagged.groupBy("i", "v").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("i", "v")
+    left = cut_lineage(tagged.join(divided, ["i", "v"], "left_semi").select("i", "v", "h", "c"))
+    x, y = left.alias("x"), left.alias("y")
+    across = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")))
+    across = cut_lineage(across.where(near("x.h", "y.h")).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
+    if across.isEmpty():
+        return comp
+    # components by their labels, joined once more
+    top = cut_lineage(graph.components(across).select(F.col("node").alias("c"), F.col("component").alias("t")))
+    both = comp.select("node", F.col("component").alias("c")).unionByName(top.select(F.col("c").alias("node"), "c")).distinct()
+    return both.join(top, "c", "left").select("node", F.coalesce("t", "c").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
+
+
 # ---------------------------------------------------------------- set similarity
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicons as lx
 from ..ordering import first_wins, rank_in_groups, running_sums
 from ..session import cut_lineage
 
+PARALLEL_ROUNDS = 2
+
 
 def usage_minute_key(shop: Column, amount: Column, description: Column, ts: Column) -> Column:
     """Default key of a report without one: the same charge within one minute counts once."""
@@ -23,15 +26,30 @@ def _plan_value(plan: Column, i: int, plans: Mapping[str, tuple]) -> Column:
     return F.coalesce(F.try_element_at(m, plan), F.lit(plans["free"][i]))
 
 
+def _fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each amount fits what is left of its shop's cap; rows come shop by shop in order, the balance goes on from batch to batch."""
+    at, left = None, 0
+    for b in frames:
+        fits = []
+        for shop, period, amount, cap in zip(*[b.column(c).to_pylist() for c in ("shop", "period", "amount", "left")]):
+            if (shop, period) != at:
+                at, left = (shop, period), cap
+            fits.append(amount <= left)
+            if fits[-1]:
+                left -= amount
+        keep = ["seq", "key", "shop", "period", "amount"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fits, pa.bool_())], [*keep, "fits"])
+
+
 def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple] = lx.PLANS) -> DataFrame:
     """(seq, key, shop, period, outcome, charged) for every reported event.
 
     ``events``: seq, key, shop, period, amount (decimal), ts; ``subs``: shop, plan, subscription_id, capped_amount (decimal).
     A key stands for one charge, so repeated reports of a key carry the same amount.
     Order of decisions per shop and period: duplicate key, cap, quota, subscription. A rejected charge does not use up cap, so
-    the outcome depends on order: all shops are advanced together, one crossing of the cap per round. After a crossing every
-    later amount above the remaining cap is rejected at once (the rest of the cap only shrinks), which ends equal-price shops in
-    one round, and every round is a chunked running sum instead of a fold over one shop in one task.
+    the outcome depends on order. ``PARALLEL_ROUNDS`` rounds of chunked running sums settle all shops together up to their next crossing of the cap; after a crossing every
+    later amount above the remaining cap is rejected at once (the rest of the cap only shrinks), which ends equal-price shops. What is left, later amounts that
+    still fit, is sorted by shop, period and time and streamed through ``_fold``: one pass for any number of crossings, holding one balance at a time.
     """
     order = [F.col("ts"), F.col("seq")]
     day = F.to_date("ts")
@@ -54,7 +72,9 @@ def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple]
     rest = fits.filter((F.col("r") > F.col("included")) & has_sub).select("seq", "key", "shop", "period", "ts", "amount", "cap")
     done.append(rest.filter("cap = 0").select("seq", "key", "shop", "period", F.lit("charged").alias("outcome"), F.col("amount").cast("decimal(12,4)").alias("charged")))
     todo = cut_lineage(rest.filter("cap > 0"))
-    while not todo.isEmpty():  # every round settles at least one event of every open shop; "cap" is what is left of it
+    for _ in range(PARALLEL_ROUNDS):  # every round settles at least one event of every open shop; "cap" is what is left of it
+        if todo.isEmpty():
+            break
         run = cut_lineage(running_sums(todo, ["shop", "period"], order, day, {"total": F.col("amount")}))
         cross = run.filter("total > cap").groupBy("shop", "period").agg(F.min(F.struct("ts", "seq")).alias("x"))
         seen = run.join(cross, ["shop", "period"], "left")
@@ -67,6 +87,13 @@ def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple]
         out = (at == F.col("x")) | (F.col("amount") > F.col("left"))
         done.append(later.filter(out).select("seq", "key", "shop", "period", F.lit("capped").alias("outcome"), zero.alias("charged")))
         todo = cut_lineage(later.filter(~out).select("seq", "key", "shop", "period", "ts", "amount", F.col("left").alias("cap")))
+    if not todo.isEmpty():
+        cents = todo.select("seq", "key", "shop", "period", "ts", (F.col("amount") * 10_000).cast("long").alias("amount"), (F.col("cap") * 10_000).cast("long").alias("left"))
+        sorted_rows = cents.repartition("shop", "period").sortWithinPartitions("shop", "period", "ts", "seq").drop("ts")
+        period = events.schema["period"].dataType.simpleString()
+        fits_at = sorted_rows.mapInArrow(_fold, f"seq long, key string, shop string, period {period}, amount long, fits boolean")
+        done.append(fits_at.select("seq", "key", "shop", "period", F.when(F.col("fits"), "charged").otherwise("capped").alias("outcome"),
+                                   F.when(F.col("fits"), (F.col("amount") / F.lit(10_000).cast("decimal(10,0)")).cast("decimal(12,4)")).otherwise(zero).alias("charged")))
     settled = cut_lineage(reduce(DataFrame.unionByName, done))
     # repeats: of an accepted key they are duplicates, of a rejected key they meet the same rejection
     first = settled.select("shop", "period", "key", F.col("seq").alias("first_seq"), "outcome", "charged")
