@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -217,10 +217,17 @@ def request_limits(images: Column, max_images: int = 3, max_bytes: int = 8 * 102
             .when(F.when(bad_url, before).otherwise(total) > max_bytes, F.lit("too_large")))
 
 
-def image_issue_flags(width: Column, height: Column) -> Column:
+def image_issue_flags(width: Column, height: Column, orientation: Column | None = None, mode: Column | None = None, max_aspect: float = 5.0, min_side: int = 56) -> Column:
+    """Flags from an image's metadata: size, EXIF ``orientation`` (1 or NULL: upright; 2 to 8: to be turned) and pixel ``mode``.
+
+    An image with transparency (RGBA, LA, or a palette with a transparent entry, mode PA) must be laid on a ground before it loses its alpha; CMYK must be converted.
+    """
     aspect = F.greatest(width, height) / F.greatest(F.least(width, height), F.lit(1))
-    return F.struct(aspect.alias("aspect"), (aspect > 5).alias("extreme_aspect"),
-                    (F.least(width, height) < 56).alias("too_small"))
+    none = F.lit(None).cast("string")
+    turned = F.lit(False) if orientation is None else F.coalesce(orientation.between(2, 8), F.lit(False))
+    mode = F.upper(F.coalesce(none if mode is None else mode, F.lit("RGB")))
+    return F.struct(aspect.alias("aspect"), (aspect > max_aspect).alias("extreme_aspect"), (F.least(width, height) < min_side).alias("too_small"),
+                    turned.alias("needs_rotation"), mode.isin("RGBA", "LA", "PA").alias("has_alpha"), (mode == "CMYK").alias("is_cmyk"))
 
 
 SHOP_PATTERN = r"^[a-zA-Z0-9][a-zA-Z0-9\-]*\.myshopify\.com$"
@@ -259,21 +266,28 @@ def is_failure(error: Column, passed: Column, judge: Column, threshold: float =
     return (has_error(error) | ~F.coalesce(passed, F.lit(True)) | F.coalesce(judge < threshold, F.lit(False)))
 
 
-def error_types(record: Mapping[str, Column]) -> Column:
-    """All matching error labels in fixed order; ``record`` needs difficulty, checks, error, model_answer, judge_accuracy."""
-    checks = record["checks"]
+def failed_check(record: Mapping[str, Column], name: str) -> Column:
+    return F.coalesce(~F.try_element_at(record["checks"], F.lit(name))["passed"], F.lit(False))
+
+
+def _answer_length(record: Mapping[str, Column]) -> Column:
+    return F.length(F.coalesce(record["model_answer"], F.lit("")))
+
+
+# Ordered (label, predicate over a record's columns); callers may pass a list of their own.
+ERROR_RULES: Sequence[tuple[str, Callable[[Mapping[str, Column]], Column]]] = (
+    (lx.ERROR_TYPES["refusal"], lambda r: (r["difficulty"] == "L4") & failed_check(r, "refusal")),
+    *[(lx.ERROR_TYPES[k], lambda r, k=k: failed_check(r, k)) for k in ("must_contain", "must_not_contain", "over_promise", "pii", "intent")],
+    (lx.ERROR_TYPES["error"], lambda r: has_error(r["error"])),
+    (lx.ERROR_TYPES["short"], lambda r: _answer_length(r) < 15),
+    (lx.ERROR_TYPES["long"], lambda r: _answer_length(r) > 500),
+    (lx.ERROR_TYPES["judge"], lambda r: F.coalesce(r["judge_accuracy"], F.lit(5.0)) <= 2),
+)
 
-    def failed(name: str) -> Column:
-        return F.coalesce(~F.try_element_at(checks, F.lit(name))["passed"], F.lit(False))
 
-    n, e = F.length(F.coalesce(record["model_answer"], F.lit(""))), lx.ERROR_TYPES
-    rules = [
-        (e["refusal"], (record["difficulty"] == "L4") & failed("refusal")),
-        *[(e[k], failed(k)) for k in ("must_contain", "must_not_contain", "over_promise", "pii", "intent")],
-        (e["error"], has_error(record["error"])), (e["short"], n < 15), (e["long"], n > 500),
-        (e["judge"], F.coalesce(record["judge_accuracy"], F.lit(5.0)) <= 2),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.lit(name)) for name, p in rules]))
+def error_types(record: Mapping[str, Column], rules: Sequence[tuple[str, Callable[[Mapping[str, Column]], Column]]] = ERROR_RULES) -> Column:
+    """All matching error labels in the order of ``rules``; the default ones need difficulty, checks, error, model_answer, judge_accuracy."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(holds(record), F.lit(False)), F.lit(name)) for name, holds in rules]))
 
 
 def failure_label(types: Column, error: Column, score: Column) -> Column:

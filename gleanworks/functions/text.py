@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -61,11 +61,13 @@ def half_repeat(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 2) -> Column:
-    """Set of character n-grams of a short text. For whole documents use ``fingerprint.gram_hashes``."""
+    """Set of character n-grams, in linear time: characters are cut once and neighbours put together."""
     t = strip(text)
-    return F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))),
-                                     lambda i: F.substr(t, i, F.lit(n)))))
+    chars, count = F.split(t, ""), F.length(t) - n + 1
+    grams = F.slice(chars, F.lit(1), count)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), count), lambda x, y: F.concat(x, y))
+    return F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
 def ngram_jaccard(a: Column, b: Column, n: int = 2) -> Column:
@@ -85,17 +87,18 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.levenshtein(a, b) / longest)
 
 
-def score_answer(answer: Column, golds: Column, kind: str) -> Column:
-    """Best score over the gold answers: normalised containment for choice/yesno, edit similarity for ocr."""
-    a = norm_text(answer)
+def contained(answer: Column, gold: Column) -> Column:
+    return F.when((F.length(gold) > 0) & answer.contains(gold), F.lit(1.0)).otherwise(F.lit(0.0))
+
 
-    def one(g: Column) -> Column:
-        g = norm_text(g)
-        if kind in ("choice", "yesno"):
-            return F.when((F.length(g) > 0) & a.contains(g), F.lit(1.0)).otherwise(F.lit(0.0))
-        return edit_similarity(a, g)
+# How an answer is scored against one gold answer, both normalised, by kind of suite; callers may add or replace kinds.
+SCORERS: Mapping[str, Callable[[Column, Column], Column]] = {"choice": contained, "yesno": contained, "ocr": edit_similarity}
 
-    return F.coalesce(F.array_max(F.transform(golds, one)), F.lit(0.0))
+
+def score_answer(answer: Column, golds: Column, kind: str, scorers: Mapping[str, Callable[[Column, Column], Column]] = SCORERS) -> Column:
+    """Best score over the gold answers by the scorer of the kind."""
+    a = norm_text(answer)
+    return F.coalesce(F.array_max(F.transform(golds, lambda g: scorers[kind](a, norm_text(g)))), F.lit(0.0))
 
 
 def strip_markers(text: Column, markers: Sequence[str]) -> Column:

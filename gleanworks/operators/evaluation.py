@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import lexicons as lx
 from ..functions import rules as ru, text as tx
-from ..session import compute_once
+from ..session import compute_once, cut_lineage
 from ..ordering import exact_quantiles, hash_bucket, rank_in_groups, seeded_key, top_per_group
 
 
@@ -114,11 +114,11 @@ def record_columns() -> dict[str, Column]:
             "model_answer": F.col("model_answer"), "judge_accuracy": F.try_element_at("judge", F.lit("accuracy"))}
 
 
-def failures(records: DataFrame, groups: Mapping[str, Sequence[str]] = lx.KEYWORD_GROUPS) -> DataFrame:
-    """Failed records with error_types, label and semantic group. Errors in the run count as failures too."""
+def failures(records: DataFrame, groups: Mapping[str, Sequence[str]] = lx.KEYWORD_GROUPS, rules=ru.ERROR_RULES) -> DataFrame:
+    """Failed records with error_types (by the ordered ``rules``), label and semantic group. Errors in the run count as failures too."""
     j = ru.judge_number(F.col("judge"))
     bad = records.filter(ru.is_failure(F.col("error"), F.col("rule.passed"), j))
-    typed = bad.withColumn("error_types", ru.error_types(record_columns()))
+    typed = bad.withColumn("error_types", ru.error_types(record_columns(), rules))
     both = F.concat(F.coalesce("query", F.lit("")), F.coalesce("model_answer", F.lit("")))
     return (typed.withColumn("label", ru.failure_label(F.col("error_types"), F.col("error"), F.col("rule.score")))
             .withColumn("semantic_group", ru.semantic_group(both, groups)))
@@ -314,20 +314,26 @@ def calibration_sheet(eval_set: DataFrame, n: int = 50, seed: int = 42) -> DataF
 
 # ---- suites, agreement, judges ----
 
-def suite_accuracy(df: DataFrame, suites: Mapping[str, tuple[str, int]] = lx.SUITES) -> DataFrame:
-    """suite, n, official_n, accuracy. ``df``: suite, answer, golds."""
-    score = F.coalesce(*[F.when(F.col("suite") == s, tx.score_answer(F.col("answer"), F.col("golds"), kind)) for s, (kind, _) in suites.items()])
+def suite_accuracy(df: DataFrame, suites: Mapping[str, tuple[str, int]] = lx.SUITES, scorers=tx.SCORERS) -> DataFrame:
+    """suite, n, official_n, accuracy. ``df``: suite, answer, golds; ``suites``: (kind, official size) by name; ``scorers``: scoring expression by kind."""
+    score = F.coalesce(*[F.when(F.col("suite") == s, tx.score_answer(F.col("answer"), F.col("golds"), kind, scorers)) for s, (kind, _) in suites.items()])
     official = F.create_map(*[x for s, (_, n) in suites.items() for x in (F.lit(s), F.lit(n))])
     return df.withColumn("s", score).groupBy("suite").agg(F.count("s").alias("n"), F.avg("s").alias("accuracy")).select(
         "suite", "n", official[F.col("suite")].alias("official_n"), "accuracy")
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, rank) with ties sharing the mean rank, from counts per distinct value: no row is ranked individually."""
+    """(value, rank) with ties sharing the mean rank.
+
+    Distinct values with their counts are sorted by range; each range is summed up from its own beginning and shifted by the rows of the ranges before it, so no task
+    sees more than a range, however many distinct values there are.
+    """
     per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # judge scores have few distinct values, so the cumulative count is a window over that many rows
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("_v", (F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).alias(name))
+    ranged = cut_lineage(per.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = ranged.groupBy("_part").agg(F.sum("_c").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.withColumn("_upto", F.sum("_c").over(w)).join(shift, "_part").select("_v", (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, threshold: float = 0.7) -> DataFrame:

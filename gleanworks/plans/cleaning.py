@@ -139,15 +139,18 @@ def first_wins_query(spark, folder):
     return first_wins(d, ["text_key"], "doc_id")
 
 
-_PIECES = "WITH {d}, p AS (SELECT conv_id, trim(user_text) AS a, trim(split_part(user_text, '.', 1)) AS b FROM dialogues WHERE user_text IS NOT NULL), g AS (SELECT *, " \
-          "list_distinct(list_transform(range(1, greatest(length(a), 1)), lambda i: substr(a, i, 2))) AS ga, list_distinct(list_transform(range(1, greatest(length(b), 1)), lambda i: substr(b, i, 2))) AS gb FROM p) "
+# all that the user says against all that the assistant says, whole texts in turn order
+_PIECES = """WITH p AS (SELECT conv_id, trim(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '')) AS a, trim(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS b
+   FROM conversations GROUP BY conv_id),
+ g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(a), 1)), lambda i: substr(a, i, 2))) AS ga, list_distinct(list_transform(range(1, greatest(length(b), 1)), lambda i: substr(b, i, 2))) AS gb FROM p) """
 
 
-@query("ngram_jaccard", "X1 X2", _PIECES.format(d=si.DIALOGUES) + """SELECT conv_id, len(ga)::INTEGER AS n_grams, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0
+@query("ngram_jaccard", "X1 X2", _PIECES + """SELECT conv_id, len(ga)::INTEGER AS n_grams, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0
   WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) END, 6) AS sim FROM g""")
 def ngram_jaccard(spark, folder):
-    d = si.dialogues(spark, folder).filter("user_text is not null")
-    a, b = F.col("user_text"), F.substring_index("user_text", ".", 1)
+    said = lambda role: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), " ")).alias(role)
+    d = table(spark, folder, "conversations").groupBy("conv_id").agg(said("user"), said("assistant"))
+    a, b = F.col("user"), F.col("assistant")
     return d.select("conv_id", F.size(tx.char_ngrams(a)).alias("n_grams"), F.round(tx.ngram_jaccard(a, b), 6).alias("sim"))
 
 
@@ -172,26 +175,29 @@ def nearest_label_distance(spark, folder):
     return e.join(anchor, "label").select("vec_id", vi.hamming(F.col("fp"), F.col("a")).cast("int").alias("distance"))
 
 
-_SIZE = "(SELECT page_id, length(html) % 3000 + 20 AS w, length(url) * 37 % 2000 + 20 AS h FROM pages)"
+# stand-in metadata of a page's image: size, orientation and pixel mode from lengths of its html and url
+_SIZE = """(SELECT page_id, length(html) % 3000 + 20 AS w, length(url) * 37 % 2000 + 20 AS h, CASE WHEN length(html) % 4 = 0 THEN length(url) % 10 END AS orientation,
+   ['RGB', 'RGBA', 'CMYK', 'LA', 'L', 'P', 'pa'][length(html) % 9 + 1] AS mode FROM pages)"""
+_IMAGE_FLAGS = """greatest(w, h) / greatest(least(w, h), 1) AS aspect, greatest(w, h) / greatest(least(w, h), 1) > 5 AS extreme_aspect, least(w, h) < 56 AS too_small,
+   coalesce(orientation BETWEEN 2 AND 8, false) AS needs_rotation, coalesce(upper(mode) IN ('RGBA', 'LA', 'PA'), false) AS has_alpha, coalesce(mode = 'CMYK', false) AS is_cmyk"""
 
 
-@query("image_issue_flags", "F22 A37", f"""SELECT page_id, round(greatest(w, h) / greatest(least(w, h), 1), 6) AS aspect, greatest(w, h) / greatest(least(w, h), 1) > 5 AS extreme_aspect,
-  least(w, h) < 56 AS too_small FROM {_SIZE}""")
+@query("image_issue_flags", "F22 A37", f"SELECT page_id, round(aspect, 6) AS aspect, * EXCLUDE (page_id, aspect) FROM (SELECT page_id, {_IMAGE_FLAGS} FROM {_SIZE})")
 def image_issue_flags(spark, folder):
-    p = _page_sizes(spark, folder).withColumn("f", ru.image_issue_flags(F.col("w"), F.col("h")))
-    return p.select("page_id", F.round("f.aspect", 6).alias("aspect"), "f.extreme_aspect", "f.too_small")
+    return _page_flags(spark, folder).select("page_id", F.round("f.aspect", 6).alias("aspect"), "f.extreme_aspect", "f.too_small", "f.needs_rotation", "f.has_alpha", "f.is_cmyk")
 
 
-def _page_sizes(spark, folder):
-    return table(spark, folder, "pages").select("page_id", (F.length("html") % 3000 + 20).alias("w"), (F.length("url") * 37 % 2000 + 20).alias("h"))
+def _page_flags(spark, folder):
+    html, url = F.length("html"), F.length("url")
+    modes = F.array(*map(F.lit, ("RGB", "RGBA", "CMYK", "LA", "L", "P", "pa")))
+    return table(spark, folder, "pages").select("page_id", ru.image_issue_flags(html % 3000 + 20, url * 37 % 2000 + 20, F.when(html % 4 == 0, url % 10), F.get(modes, html % 9)).alias("f"))
 
 
-@query("image_audit", "A37 F22", f"""SELECT count(*) AS n, count(*) FILTER (WHERE greatest(w, h) / greatest(least(w, h), 1) > 5) AS n_extreme,
-  count(*) FILTER (WHERE least(w, h) < 56) AS n_small, count(*) FILTER (WHERE page_id % 11 = 0) AS n_alpha FROM {_SIZE}""")
+@query("image_audit", "A37 F22", f"""SELECT count(*) AS n, count(*) FILTER (WHERE extreme_aspect) AS n_extreme, count(*) FILTER (WHERE too_small) AS n_small,
+  count(*) FILTER (WHERE needs_rotation) AS n_rotated, count(*) FILTER (WHERE has_alpha) AS n_alpha, count(*) FILTER (WHERE is_cmyk) AS n_cmyk FROM (SELECT {_IMAGE_FLAGS} FROM {_SIZE})""")
 def image_audit(spark, folder):
-    p = _page_sizes(spark, folder).withColumn("f", ru.image_issue_flags(F.col("w"), F.col("h")))
-    return p.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("f.extreme_aspect"), 1)).alias("n_extreme"), F.count(F.when(F.col("f.too_small"), 1)).alias("n_small"),
-                 F.count(F.when(F.col("page_id") % 11 == 0, 1)).alias("n_alpha"))
+    flags = {"n_extreme": "extreme_aspect", "n_small": "too_small", "n_rotated": "needs_rotation", "n_alpha": "has_alpha", "n_cmyk": "is_cmyk"}
+    return _page_flags(spark, folder).agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(f"f.{c}"), 1)).alias(n) for n, c in flags.items()])
 
 
 @query("reconcile", "J21 S14", f"""WITH {si.STAGED}, lab AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS kind,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as lx
 from ..functions import jsonx, rewards as rw, rules as ru, text as tx
 from ..operators import dedup, evaluation as ev, preferences as pr
+from ..ordering import rank_in_groups
 from ..session import cut_lineage
 from . import standins as si
 from .registry import query, table
@@ -199,19 +200,20 @@ def eval_card(spark, folder):
     return _round(ev.eval_card(e, dedup.leakage_report(*_leak_sides(spark, folder))), "share")
 
 
-_SET = f"""SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'x' ELSE split_part(text, ' ', 1) END AS query, [split_part(text, ' ', 1), split_part(text, ' ', 2)] AS must,
-   [CASE WHEN doc_id % 11 = 0 THEN split_part(text, ' ', 1) ELSE 'zzz' END] AS forbid, doc_id % 7 = 0 AS refuse FROM documents"""
+# a sample asks with a whole text; all its distinct words must be in the answer, and of every eleventh text the first word must not
+_SET = """SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'x' ELSE text END AS query, list_distinct(string_split(text, ' ')) AS must,
+   [CASE WHEN doc_id % 11 = 0 THEN string_split(text, ' ')[1] ELSE 'zzz' END] AS forbid, doc_id % 7 = 0 AS refuse FROM documents"""
 
 
 def _template_set(spark, folder):
-    d = table(spark, folder, "documents")
-    i, w = F.col("doc_id"), lambda k: F.split_part("text", F.lit(" "), F.lit(k))
-    return d.select(i.alias("id"), F.when(i % 97 == 0, F.lit("x")).otherwise(w(1)).alias("query"), F.array(w(1), w(2)).alias("must_contain"),
-                    F.array(F.when(i % 11 == 0, w(1)).otherwise(F.lit("zzz"))).alias("must_not_contain"), (i % 7 == 0).alias("should_refuse"), F.lit(None).cast("string").alias("expected_intent"))
+    d = table(spark, folder, "documents").withColumn("words", F.split("text", " "))
+    i = F.col("doc_id")
+    return d.select(i.alias("id"), F.when(i % 97 == 0, F.lit("x")).otherwise(F.col("text")).alias("query"), F.array_distinct("words").alias("must_contain"),
+                    F.array(F.when(i % 11 == 0, F.get("words", F.lit(0))).otherwise(F.lit("zzz"))).alias("must_not_contain"), (i % 7 == 0).alias("should_refuse"), F.lit(None).cast("string").alias("expected_intent"))
 
 
-@query("lint_templates", "F28", f"""WITH s AS ({_SET}) SELECT doc_id AS id, 'short_query' AS problem FROM s WHERE length(query) < 3 UNION ALL SELECT doc_id, 'meta_word' FROM s WHERE contains(must[1], '###') OR contains(must[2], '###')
-UNION ALL SELECT doc_id, 'blank_word' FROM s WHERE trim(must[1]) = '' OR trim(must[2]) = '' UNION ALL SELECT doc_id, 'contradiction' FROM s WHERE list_has_any(must, forbid)""")
+@query("lint_templates", "F28", f"""WITH s AS ({_SET}) SELECT doc_id AS id, 'short_query' AS problem FROM s WHERE length(query) < 3 UNION ALL SELECT doc_id, 'meta_word' FROM s WHERE len(list_filter(must, lambda k: contains(k, '###'))) > 0
+UNION ALL SELECT doc_id, 'blank_word' FROM s WHERE len(list_filter(must, lambda k: regexp_full_match(k, '\\s*'))) > 0 UNION ALL SELECT doc_id, 'contradiction' FROM s WHERE list_has_any(must, forbid)""")
 def lint_templates(spark, folder):
     return ev.lint_templates(_template_set(spark, folder), ("###",))
 
@@ -222,9 +224,9 @@ def lint_texts(spark, folder):
     return ev.lint_texts(table(spark, folder, "documents"), ("that was", "les que", "und der"), "doc_id")
 
 
-@query("oracle_failures", "F32", f"""WITH s AS ({_SET}), a AS (SELECT *, CASE WHEN refuse THEN 'que la info' ELSE array_to_string(list_distinct(list_filter(must, lambda k: NOT list_contains(forbid, k))), '、') END AS ans FROM s),
- c AS (SELECT doc_id, contains(ans, must[1]) OR contains(ans, must[2]) AS mc, NOT contains(ans, forbid[1]) AS mn, contains(ans, 'que la') = refuse AS rf,
-   NOT {si.sql_any('ans', si.PROMISES)} AS op FROM a) SELECT doc_id AS id FROM c WHERE NOT (mc AND mn AND rf AND op)""")
+@query("oracle_failures", "F32", f"""WITH s AS ({_SET}), a AS (SELECT *, CASE WHEN refuse THEN 'que la info' ELSE array_to_string(list_filter(must, lambda k: NOT list_contains(forbid, k)), '、') END AS ans FROM s),
+ c AS (SELECT doc_id, len(list_filter(must, lambda k: contains(ans, k))) > 0 AS mc, NOT contains(ans, forbid[1]) AS mn, contains(ans, 'que la') = refuse AS rf,
+   NOT {si.sql_any('ans', si.PROMISES)} AS op, NOT {si._PII_SQL.replace('text', 'ans')} AS pii FROM a) SELECT doc_id AS id FROM c WHERE NOT (mc AND mn AND rf AND op AND pii)""")
 def oracle_failures(spark, folder):
     return ev.oracle_failures(_template_set(spark, folder), "que la info", refusals=("que la",), promises=si.PROMISES).select("id")
 
@@ -242,31 +244,39 @@ def first_eval_rows(spark, folder):
 
 # ---- suites, agreement ----
 
-_SUITE = "SELECT item_id, ['ocrbench', 'mmbench', 'pope', 'docvqa'][item_id % 4 + 1] AS suite, text AS answer, [split_part(text, '.', 1), split_part(text, ',', 1)] AS golds FROM (SELECT item_id, regexp_replace(text, '[^a-zA-Z ,.]', '', 'g') AS text FROM benchmark)"
+# an item's gold answers are the whole texts of the two items before it; every other item of a containment suite repeats a gold inside its answer
+_SUITE = """SELECT item_id, ['ocrbench', 'mmbench', 'pope', 'docvqa'][item_id % 4 + 1] AS suite, CASE WHEN item_id % 3 = 0 THEN text || ' ' || coalesce(lag(text, 2) OVER w, '') ELSE text END AS answer,
+   [coalesce(lag(text, 1) OVER w, ''), coalesce(lag(text, 2) OVER w, '')] AS golds FROM benchmark WINDOW w AS (ORDER BY item_id)"""
 _NORM = "regexp_replace(lower({x}), '\\s+', '', 'g')"
+# DuckDB counts the bytes of an edit; letters beyond ASCII stand for capitals there, which lower() has left unused
+_ONE_BYTE = f"translate({_NORM}, 'ßäçèéêíñóöüàâîôûùëïáúæœ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
 _OCR = "greatest(0.0, 1.0 - levenshtein({a}, {g}) / greatest(length({a}), length({g}), 1))"
 
 
-@query("suite_accuracy", "A23 X8 X9 X10 U1", f"""WITH s AS ({_SUITE}), n AS (SELECT suite, {_NORM.format(x='answer')} AS a, {_NORM.format(x='golds[1]')} AS g1, {_NORM.format(x='golds[2]')} AS g2 FROM s),
+@query("suite_accuracy", "A23 X8 X9 X10 U1", f"""WITH s AS ({_SUITE}), n AS (SELECT suite, {_ONE_BYTE.format(x='answer')} AS a, {_ONE_BYTE.format(x='golds[1]')} AS g1, {_ONE_BYTE.format(x='golds[2]')} AS g2 FROM s),
  v AS (SELECT suite, CASE WHEN suite IN ('mmbench', 'pope') THEN greatest((g1 <> '' AND contains(a, g1))::INT, (g2 <> '' AND contains(a, g2))::INT)::DOUBLE ELSE greatest({_OCR.format(a='a', g='g1')}, {_OCR.format(a='a', g='g2')}) END AS s FROM n)
 SELECT suite, count(*) AS n, CASE suite WHEN 'ocrbench' THEN 1000 WHEN 'docvqa' THEN 5000 ELSE 3000 END::INTEGER AS official_n, round(avg(s), 6) AS accuracy FROM v GROUP BY suite""")
 def suite_accuracy(spark, folder):
-    b = _ascii_items(spark, folder)
     suites = F.array(*[F.lit(s) for s in ("ocrbench", "mmbench", "pope", "docvqa")])
-    s = b.select(F.get(suites, (F.col("item_id") % 4).cast("int")).alias("suite"), F.col("text").alias("answer"),
-                 F.array(F.substring_index("text", ".", 1), F.substring_index("text", ",", 1)).alias("golds"))
+    b = _with_golds(spark, folder)
+    two = F.concat("text", F.lit(" "), F.get("golds", F.lit(1)))
+    s = b.select(F.get(suites, (F.col("item_id") % 4).cast("int")).alias("suite"), F.when(F.col("item_id") % 3 == 0, two).otherwise(F.col("text")).alias("answer"), "golds")
     return _round(ev.suite_accuracy(s), "accuracy")
 
 
-def _ascii_items(spark, folder):
-    """Letters only: the twin's edit distance counts bytes, so both sides drop what is longer than one byte."""
-    return table(spark, folder, "benchmark").withColumn("text", F.regexp_replace("text", "[^a-zA-Z ,.]", ""))
+def _with_golds(spark, folder):
+    """Items with the whole texts of the two items before them as gold answers."""
+    b = table(spark, folder, "benchmark").select("item_id", "text")
+    ranked = rank_in_groups(b.withColumn("_g", F.lit(0)), ["_g"], [F.col("item_id")], F.floor(F.col("item_id") / 1000), "_at").drop("_g")
+    one, two = (ranked.select((F.col("_at") + k).alias("_at"), F.col("text").alias(f"_g{k}")) for k in (1, 2))
+    return ranked.join(one, "_at", "left").join(two, "_at", "left").select("item_id", "text", F.array(F.coalesce("_g1", F.lit("")), F.coalesce("_g2", F.lit(""))).alias("golds"))
 
 
-@query("edit_similarity", "X8 X9", f"WITH n AS (SELECT item_id, {_NORM.format(x='text')} AS a, {_NORM.format(x='split_part(text, chr(46), 1)')} AS g FROM (SELECT item_id, regexp_replace(text, '[^a-zA-Z ,.]', '', 'g') AS text FROM benchmark)) SELECT item_id, a AS norm, round({_OCR.format(a='a', g='g')}, 6) AS sim FROM n")
+@query("edit_similarity", "X8 X9", f"""WITH n AS (SELECT item_id, {_NORM.format(x='text')} AS norm, {_ONE_BYTE.format(x='text')} AS a, {_ONE_BYTE.format(x="coalesce(before, '')")} AS g
+   FROM (SELECT *, lag(text) OVER (ORDER BY item_id) AS before FROM benchmark)) SELECT item_id, norm, round({_OCR.format(a='a', g='g')}, 6) AS sim FROM n""")
 def edit_similarity(spark, folder):
-    a, g = tx.norm_text(F.col("text")), tx.norm_text(F.substring_index("text", ".", 1))
-    return _ascii_items(spark, folder).select("item_id", a.alias("norm"), F.round(tx.edit_similarity(a, g), 6).alias("sim"))
+    a, g = tx.norm_text(F.col("text")), tx.norm_text(F.get("golds", F.lit(0)))
+    return _with_golds(spark, folder).select("item_id", a.alias("norm"), F.round(tx.edit_similarity(a, g), 6).alias("sim"))
 
 
 @query("spearman", "A20", """WITH b AS (SELECT l_quantity AS x, l_discount * 100 + l_linenumber AS y FROM lineitem), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM b)

@@ -9,7 +9,7 @@ from ..operators import evaluation as ev
 from .registry import table
 
 # The given texts are invented prose in four European languages: same rules, other lists and bounds.
-CONFIG = ru.CleanConfig(user=(4, 200), reply=(20, 4000), script="a-zA-Z", min_script=0.6,
+CONFIG = ru.CleanConfig(user=(4, 6000), reply=(20, 4000), script="a-zA-Z", min_script=0.6,
                         banned=("Licensed under", "Released under", "All rights reserved", "token ="))
 REFUSALS = ("erin that", "les que", "ung die", "los que", "that was")
 PROMISES = ("the was", "et qui", "von das", "por los", "with this")
@@ -48,7 +48,7 @@ def dialogues(spark: SparkSession, folder: str) -> DataFrame:
 # ---- samples: one (image, question, reply) row per document ----
 
 SAMPLES = """samples AS (
-  SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, text, split_part(text, '.', 1) AS user_text,
+  SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id, text, text AS user_text,
          CASE WHEN doc_id % 37 = 0 THEN NULL ELSE text END AS reply_text, lang AS intent, source AS image_type,
          CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN '__no_image__'
               ELSE 'img/' || CAST(doc_id // 3 AS VARCHAR) || '.jpg' END AS image_path,
@@ -60,7 +60,7 @@ def samples(spark: SparkSession, folder: str, messages: bool = True) -> DataFram
     i = F.col("doc_id")
     path = (F.when(i % 41 == 0, F.lit(None)).when(i % 10 == 0, F.lit("__no_image__"))
             .otherwise(F.concat(F.lit("img/"), F.floor(i / 3).cast("string"), F.lit(".jpg"))))
-    df = d.select(i.alias("seq"), i.cast("string").alias("id"), "text", F.substring_index("text", ".", 1).alias("user_text"),
+    df = d.select(i.alias("seq"), i.cast("string").alias("id"), "text", F.col("text").alias("user_text"),
                   F.when(i % 37 != 0, F.col("text")).alias("reply_text"), F.col("lang").alias("intent"), F.col("source").alias("image_type"),
                   path.alias("image_path"), (i % 5 + 1).cast("int").alias("difficulty"), "n_chars")
     if not messages:
@@ -76,7 +76,7 @@ CONTACT_SQL = r"""(regexp_matches({t}, '\d{{11}}') OR regexp_matches({t}, '[a-zA
    OR regexp_matches({t}, '(微信|QQ|vx|VX|wx)\s*[:：]?\s*[\p{{L}}\p{{M}}\p{{Nd}}_]+') OR regexp_matches({t}, 'https?://'))"""
 HALF_SQL = "(length({t}) > 40 AND substr({t}, 1, length({t}) // 2) = substr({t}, length({t}) // 2 + 1, length({t}) // 2))"
 RULE_REASON_SQL = f"""CASE WHEN user_text IS NULL OR reply_text IS NULL THEN '结构异常'
-  WHEN length(user_text) NOT BETWEEN 4 AND 200 THEN '用户提问长度越界(' || length(user_text) || ')'
+  WHEN length(user_text) NOT BETWEEN 4 AND 6000 THEN '用户提问长度越界(' || length(user_text) || ')'
   WHEN length(reply_text) NOT BETWEEN 20 AND 4000 THEN '回复长度越界(' || length(reply_text) || ')'
   WHEN length(regexp_replace(user_text || reply_text, '[^a-zA-Z]', '', 'g')) / greatest(length(user_text || reply_text), 1) < 0.6 THEN '中文占比过低'
   WHEN {CONTACT_SQL.format(t="(user_text || reply_text)")} THEN '含联系方式'
@@ -84,7 +84,7 @@ RULE_REASON_SQL = f"""CASE WHEN user_text IS NULL OR reply_text IS NULL THEN '
   WHEN {HALF_SQL.format(t="reply_text")} THEN '回复自我重复' END"""
 FORMAT_REASON_SQL = """CASE WHEN reply_text IS NULL THEN '结构异常' WHEN image_path IS NULL OR image_path = '' THEN '缺少图片路径' END"""
 
-# rows with format and rule reasons, then literal duplicates of the question on what is left (text decides: no hashes)
+# rows with format and rule reasons, then literal duplicates of the whole question on what is left (text decides: no hashes)
 STAGED = f"""{SAMPLES},
 checked AS (SELECT *, {FORMAT_REASON_SQL} AS f_reason, {RULE_REASON_SQL} AS r_reason FROM samples),
 staged AS (SELECT *, CASE WHEN f_reason IS NOT NULL THEN 'format' WHEN r_reason IS NOT NULL THEN 'rules'
