@@ -36,7 +36,7 @@ from .common import batches, query, read, utf8, words
 DEPTH, LEAST, GAIN, PRIOR = 5, 16, 15.0, 8.0  # a context and its next byte make up a 64-bit key: DEPTH is 7 at most
 COMMON = 1e-6
 START, END = b"\n", b"\xff"  # neither occurs in a word
-CHUNK_BYTES = 12 << 20  # texts of a chunk: rows of one partition that lie together, as many as have this size on average
+CHUNK_BYTES = 16 << 20  # texts of a chunk: rows of one partition that lie together, as many as have this size on average
 _END_KEY = np.array([xxhash.xxh3_64_intdigest(END)], np.uint64).view(np.int64)[0].item()
 
 
