@@ -60,7 +60,7 @@ def _step_stream(spark, folder):
 SELECT session_id, arg_min(turn, (ts, seq)) AS turn, arg_min(seq, (ts, seq)) AS seq, arg_min(gate, (ts, seq)) AS gate FROM g WHERE gate IS NOT NULL GROUP BY session_id""")
 def guardrail_monitor(spark, folder):
     spark.conf.set(*stf.ROCKSDB)
-    return _run(stf.guardrail_monitor(_step_stream(spark, folder), LIMITS, idle_ms=90 * 86_400_000))
+    return _run(stf.guardrail_monitor(_step_stream(spark, folder), LIMITS, late="0 seconds", idle_ms=90 * 86_400_000))
 
 
 @query("usage_meter", "T7 W11", f"WITH RECURSIVE {_LEDGER} SELECT seq, shop, key, outcome, charged FROM ledger")
@@ -73,7 +73,7 @@ def usage_meter(spark, folder):
     included = F.coalesce(*[F.when(plan == p, F.lit(v[1])) for p, v in si.PLANS.items()])
     j = e.join(si.subscriptions(spark, folder), "shop", "left").select("seq", "key", "shop", "period", "amount", "ts", included.alias("included"), F.coalesce("subscription_id", F.lit("")).alias("subscription_id"),
                                                                        F.coalesce("capped_amount", F.lit(0)).cast("decimal(10,4)").alias("cap"))
-    return _run(stf.usage_meter(j, ttl_ms=None)).withColumn("charged", F.col("charged").cast("double"))
+    return _run(stf.usage_meter(j, late="0 seconds", idle_ms=None)).withColumn("charged", F.col("charged").cast("double"))
 
 
 _WEB = "SELECT CASE WHEN event_id % 17 = 0 THEN '' ELSE CAST(event_id // 3 AS VARCHAR) END AS webhook_id, event_id FROM events"

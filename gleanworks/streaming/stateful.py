@@ -1,7 +1,7 @@
 """Live counterparts of the guard replay and the usage ledger: per-key state with timers, one small Python step per event.
 
-Only running totals and the last few action keys are kept per key. The rows of one key in one micro-batch are put in time order
-first; the source limits the size of a micro-batch.
+Rows wait in a list state until the watermark has passed them and are then taken in time order, so rows that come late, or over several micro-batches out of order, are judged where they
+belong, as long as they are no later than the watermark's delay; Spark leaves out those that are. Besides the waiting rows only running totals, seen keys and the last few action keys are kept per key.
 """
 
 from __future__ import annotations
@@ -22,66 +22,125 @@ def _schema(*cols: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in cols])
 
 
+class InOrder(StatefulProcessor):
+    """Buffers rows (``columns`` of the input, with ts and seq) and hands them to ``take`` in the order of (ts, seq) once the watermark has passed them.
+
+    ``idle_ms`` after a key's last row its state is dropped; None keeps it.
+    """
+
+    columns: T.StructType
+    output: T.StructType
+    idle_ms: int | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), *self.columns.fields]))
+        self.last = handle.getValueState("last", _schema(("ms", T.LongType())))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for f in rows:
+            if not len(f):
+                continue
+            us = f["ts"].to_numpy("datetime64[us]").astype("int64")
+            values = [[None if v is None else self.plain(c, v) for v in f[c].tolist()] for c in self.columns.names]
+            self.waiting.appendList([tuple(r) for r in zip(us.tolist(), *values)])
+            first = min(us) if first is None else min(first, us.min())
+        if first is not None:
+            self.handle.registerTimer(int(first // 1000))
+        yield pd.DataFrame([], columns=self.output.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in held if r[0] // 1000 <= passed), key=lambda r: (r[0], r[1]))
+        rest = [r for r in held if r[0] // 1000 > passed]
+        out: list[tuple] = []
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            out = self.take(key, [dict(zip(("us", *self.columns.names), r)) for r in due])
+            self.last.update((due[-1][0] // 1000,))
+        if rest:
+            self.handle.registerTimer(int(min(r[0] for r in rest) // 1000))
+        elif self.idle_ms is not None and self.last.exists():
+            over = int(self.last.get()[0]) + self.idle_ms
+            if over <= passed:
+                self.forget()
+                self.last.clear()
+            else:
+                self.handle.registerTimer(over)
+        yield pd.DataFrame(out, columns=self.output.names)
+
+    def plain(self, column: str, value):
+        """A value as the buffer keeps it."""
+        kind = self.columns[column].dataType
+        return str(value) if isinstance(kind, T.StringType) else bool(value) if isinstance(kind, T.BooleanType) else float(value) if isinstance(kind, T.DoubleType) else int(value)
+
+    def take(self, key, rows: list[dict]) -> list[tuple]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
 GUARD_OUT = _schema(("session_id", T.LongType()), ("turn", T.LongType()), ("seq", T.LongType()), ("gate", T.StringType()))
 
 
-class GuardMonitor(StatefulProcessor):
+class GuardMonitor(InOrder):
     """Emits the first gate a session trips, once; sessions idle for ``idle_ms`` are forgotten."""
 
-    def __init__(self, limits: dict, idle_ms: int, window: int = 6):
+    columns = _schema(("seq", T.LongType()), ("turn", T.LongType()), ("is_tool", T.BooleanType()), ("cost", T.DoubleType()), ("tokens", T.LongType()), ("action_key", T.StringType()))
+    output = GUARD_OUT
+
+    def __init__(self, limits: dict, idle_ms: int | None, window: int = 6):
         self.limits, self.idle_ms, self.window = dict(limits), idle_ms, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState("totals", _schema(
             ("turn", T.LongType()), ("steps", T.LongType()), ("tools", T.LongType()), ("start", T.DoubleType()), ("cost", T.DoubleType()),
             ("tokens", T.LongType()), ("turns", T.LongType()), ("tripped", T.BooleanType())))
         self.recent = handle.getListState("recent", _schema(("key", T.StringType())))
 
-    def _gate(self, s: dict, row, recent: list[str]) -> str | None:
+    def _gate(self, s: dict, row: dict, recent: list[str]) -> str | None:
         lim = self.limits
-        checks = (("steps", s["steps"], lim["steps"]), ("tools", s["tools"], lim["tools"]), ("wall_clock", row.ts.timestamp() - s["start"], lim["wall_s"]),
+        checks = (("steps", s["steps"], lim["steps"]), ("tools", s["tools"], lim["tools"]), ("wall_clock", row["us"] / 1e6 - s["start"], lim["wall_s"]),
                   ("cost", s["cost"], lim["cost"]), ("tokens", s["tokens"], lim["tokens"]), ("turns", s["turns"], lim["turns"]))
         for name, value, limit in checks:
             if value > limit:
                 return name
-        if row.is_tool and recent.count(row.action_key) >= lim["repeat"] - 1:
+        if row["is_tool"] and recent.count(row["action_key"]) >= lim["repeat"] - 1:
             return "repeat"
         return None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
+    def take(self, key, rows: list[dict]) -> list[tuple]:
         names = ("turn", "steps", "tools", "start", "cost", "tokens", "turns", "tripped")
         s = dict(zip(names, self.state.get())) if self.state.exists() else dict(zip(names, (None, 0, 0, 0.0, 0.0, 0, 0, False)))
         recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
         out = []
-        for row in pdf.itertuples(index=False):
-            if s["turn"] != row.turn:
-                s.update(turn=int(row.turn), steps=0, tools=0, start=row.ts.timestamp(), turns=s["turns"] + 1)
+        for row in rows:
+            if s["turn"] != row["turn"]:
+                s.update(turn=row["turn"], steps=0, tools=0, start=row["us"] / 1e6, turns=s["turns"] + 1)
             s["steps"] += 1
             gate = self._gate(s, row, recent)
             if gate and not s["tripped"]:
                 s["tripped"] = True
-                out.append((int(key[0]), int(row.turn), int(row.seq), gate))
-            s["cost"] += float(row.cost)
-            s["tokens"] += int(row.tokens)
-            if row.is_tool:
+                out.append((int(key[0]), row["turn"], row["seq"], gate))
+            s["cost"] += row["cost"]
+            s["tokens"] += row["tokens"]
+            if row["is_tool"]:
                 s["tools"] += 1
-                recent = (recent + [row.action_key])[-self.window:]
+                recent = (recent + [row["action_key"]])[-self.window:]
         self.state.update(tuple(s[n] for n in names))
         self.recent.put([(k,) for k in recent]) if recent else self.recent.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int(pdf["ts"].max().timestamp() * 1000) + self.idle_ms)
-        yield pd.DataFrame(out, columns=GUARD_OUT.names)
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def forget(self) -> None:
         self.state.clear()
         self.recent.clear()
-        yield pd.DataFrame([], columns=GUARD_OUT.names)
-
-    def close(self) -> None:
-        pass
 
 
 def guardrail_monitor(steps: DataFrame, limits: dict = lx.GUARD_LIMITS, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
@@ -93,49 +152,50 @@ def guardrail_monitor(steps: DataFrame, limits: dict = lx.GUARD_LIMITS, late: st
 USAGE_OUT = _schema(("seq", T.LongType()), ("shop", T.StringType()), ("key", T.StringType()), ("outcome", T.StringType()), ("charged", T.DecimalType(12, 4)))
 
 
-class UsageMeter(StatefulProcessor):
-    """Quota, cap and seen keys of one shop and period. Keys expire after ``ttl_ms`` if it is given."""
+class UsageMeter(InOrder):
+    """Quota, cap and seen keys of one shop and period; dropped ``idle_ms`` after the period's last event if that is given."""
+
+    columns = _schema(("seq", T.LongType()), ("key", T.StringType()), ("amount", T.StringType()), ("included", T.LongType()), ("subscription_id", T.StringType()), ("cap", T.StringType()))
+    output = USAGE_OUT
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("account", _schema(("sessions", T.LongType()), ("usage", T.StringType())))
-        self.keys = handle.getMapState("keys", _schema(("key", T.StringType())), _schema(("at", T.LongType())), *([self.ttl_ms] if self.ttl_ms else []))
+        self.keys = handle.getMapState("keys", _schema(("key", T.StringType())), _schema(("seq", T.LongType())))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
+    def take(self, key, rows: list[dict]) -> list[tuple]:
         sessions, usage = (0, Decimal(0))
         if self.state.exists():
             got = self.state.get()
             sessions, usage = int(got[0]), Decimal(got[1])
         out = []
-        for row in pdf.itertuples(index=False):
-            amount, cap, charged = Decimal(row.amount), Decimal(row.cap), Decimal(0)
-            if self.keys.containsKey((row.key,)):
+        for row in rows:
+            amount, cap, charged = Decimal(row["amount"]), Decimal(row["cap"]), Decimal(0)
+            if self.keys.containsKey((row["key"],)):
                 outcome = "duplicate"
             elif cap and usage + amount > cap:
                 outcome = "capped"
-            elif sessions < row.included:
+            elif sessions < row["included"]:
                 outcome, sessions = "included", sessions + 1
-            elif not row.subscription_id:
+            elif not row["subscription_id"]:
                 outcome = "no_subscription"
             else:
                 outcome, charged, sessions, usage = "charged", amount, sessions + 1, usage + amount
             if outcome in ("included", "charged"):
-                self.keys.updateValue((row.key,), (int(row.seq),))
-            out.append((int(row.seq), str(key[0]), row.key, outcome, charged))
+                self.keys.updateValue((row["key"],), (row["seq"],))
+            out.append((row["seq"], str(key[0]), row["key"], outcome, charged))
         self.state.update((sessions, str(usage)))
-        yield pd.DataFrame(out, columns=USAGE_OUT.names)
-
-    def close(self) -> None:
-        pass
+        return out
 
+    def forget(self) -> None:
+        self.state.clear()
+        self.keys.clear()
 
-def usage_meter(events: DataFrame, ttl_ms: int | None = 40 * 86_400_000) -> DataFrame:
-    """``events``: seq, key, shop, period, amount decimal, ts, included, subscription_id, cap (plan columns joined before).
 
-    State with a time to live keeps the stream's clock running, so a bounded run over existing data passes ``ttl_ms=None``.
-    """
-    return events.groupBy("shop", "period").transformWithStateInPandas(
-        statefulProcessor=UsageMeter(ttl_ms), outputStructType=USAGE_OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
+def usage_meter(events: DataFrame, late: str = "10 minutes", idle_ms: int | None = 40 * 86_400_000) -> DataFrame:
+    """``events``: seq, key, shop, period, amount decimal, ts, included, subscription_id, cap (plan columns joined before)."""
+    return events.withWatermark("ts", late).groupBy("shop", "period").transformWithStateInPandas(
+        statefulProcessor=UsageMeter(idle_ms), outputStructType=USAGE_OUT, outputMode="Append", timeMode="EventTime")
