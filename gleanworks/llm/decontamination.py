@@ -4,6 +4,8 @@ The automaton holds every run of words of every item. A document's words are str
 knows the longest run that ends there and occurs in some item, so no window of the corpus is ever hashed, joined or
 shuffled: one pass over the text, nothing exchanged.
 
+A document with a larger share of hit words is contaminated; others lose the spans (``decontaminate``). Very long texts are walked like others, word by word.
+
 Defined cases: a null or wordless document has no words, no hits and stays; a null or wordless item has no window; items
 with one id count once, items without an id hit but are not listed; an empty benchmark hits nothing. Columns of the
 input other than the text are carried through unread; the added columns are named in ``ADDED``.
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import batches, query, read, utf8
@@ -162,9 +165,11 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def match_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                window: int = WINDOW, item_words_limit: int = ITEM_WORDS) -> DataFrame:
+                window: int = WINDOW, item_words_limit: int = ITEM_WORDS, cut_below: int | None = None) -> DataFrame:
     """``docs`` with n_words, hit_spans (word ranges inside occurring windows) and hit_items (sorted ids).
 
+    With ``cut_below`` rows whose words are hit to less than that many percent lose the hit words and what stands between them from their text.
+
     Test items are a fixed set beside the corpus; they are packed into automata of at most ``item_words_limit`` words
     each (about 200 bytes a word in a task), one pass over the rows for each, and the hits are united. Existing columns of
     the added names are replaced.
@@ -184,17 +189,18 @@ def match_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     out = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumns({
         "n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<struct<start:int,end:int>>"),
         "hit_items": F.array().cast("array<string>")})
-    for part in parts:
+    for k, part in enumerate(parts):
         # Handed to tasks once per executor; built there into links and states.
-        out = out.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(part), text, window), out.schema)
+        last = cut_below if k == len(parts) - 1 else None
+        out = out.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(part), text, window, last), out.schema)
     return out
 
 
-def _matcher(part, text: str, window: int):
+def _matcher(part, text: str, window: int, cut_below: int | None):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = SuffixAutomaton(part.value, window)
         for b in batches(frames):
-            n, spans, items = [], [], []
+            n, spans, items, texts = [], [], [], []
             for t, old, ids in zip(utf8(b, text), b.column("hit_spans").to_pylist(), b.column("hit_items").to_pylist()):
                 ws = item_words(t)
                 got, found = auto.match(ws)
@@ -202,8 +208,13 @@ def _matcher(part, text: str, window: int):
                 spans.append([{"start": x, "end": y} for x, y in
                               (_merge(got + [(s["start"], s["end"]) for s in old]) if old else got)])
                 items.append(sorted(found.union(ids)))
+                if cut_below is not None:
+                    hit = sum(x["end"] - x["start"] for x in spans[-1])
+                    texts.append(cut_spans(t, [(x["start"], x["end"]) for x in spans[-1]]) if hit and 100 * hit < cut_below * len(ws) else t)
             cols = {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(spans, b.schema.field("hit_spans").type),
                     "hit_items": pa.array(items, b.schema.field("hit_items").type)}
+            if cut_below is not None:
+                cols[text] = pc.cast(pa.array(texts, pa.binary()), options=pc.CastOptions.unsafe(pa.string()))
             yield pa.RecordBatch.from_arrays([cols.get(f.name, b.column(k)) for k, f in enumerate(b.schema)], schema=b.schema)
 
     return run
@@ -230,10 +241,10 @@ def without_spans(matched: DataFrame, text: str = "text", least: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 5, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, with their own columns."""
+    """Rows of ``docs`` that are not contaminated, with their own columns; windows that they hold nevertheless are cut out of their texts."""
     own = {c: f"{c}_of_input" if c in ADDED else c for c in docs.columns}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    return match_items(renamed, items, window=window).where(~contaminated(percent)).select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
+    return match_items(renamed, items, window=window, cut_below=percent).where(~contaminated(percent)).select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

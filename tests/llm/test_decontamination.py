@@ -41,3 +41,23 @@ def test_contaminated_rows_go_and_spans_are_cut(spark):
     assert kept.columns == docs.columns and {(r.doc_id, r.n_words) for r in kept.collect()} == {(2, "own"), (3, "own")}
     cut = {r.doc_id: r.text for r in d.without_spans(d.match_items(docs, items)).collect()}
     assert cut[1].split() == ["a", "b"] and cut[2].endswith("end") and "w3" not in cut[2] and cut[3] is None
+
+
+def test_rows_that_stay_lose_windows_over_several_automata(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(15)) for c in "vw")
+    docs = spark.createDataFrame([(1, "q " * 600 + one.upper() + " mid, " + two + " end", 3, "own"), (2, "plain é text", 4, "own"), (3, two, 5, None)], "doc_id long, text string, shard int, hit_items string")
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    renamed = docs.drop("hit_items")
+    for limit in (10, 1000):
+        m = d.match_items(renamed, items, item_words_limit=limit, cut_below=5)
+        got = {r.doc_id: r.text for r in m.collect()}
+        assert got[1].split() == ["q"] * 600 + ["mid,", "end"] and got[2] == "plain é text" and got[3] == two
+    kept = {r.doc_id: tuple(r)[2:] for r in d.decontaminate(docs, items).collect()}
+    assert kept == {1: (3, "own"), 2: (4, "own")}
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, "q " * 500_000 + item)], "doc_id long, text string")
+    r = d.match_items(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert r.n_words == 500_015 and [tuple(s) for s in r.hit_spans] == [(500_000, 500_015)]
