@@ -1,7 +1,10 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again as the next one's input.
 
-Stages take (spark, docs, sf_dir) and keep the columns of ``documents``; the last adds shard and slot. Between stages the rows lie in the
-folder that all machines share (spark.checkpoint.dir), so a lost executor costs the tasks of one stage only.
+Toxic documents go; of near copies (80 % of their five-word shingles) the one with the smallest doc_id stays; contaminated documents go and what is left loses the windows of test items that it
+holds; sources are mixed; documents are dealt to shards. Stages take (spark, docs, sf_dir) and keep the columns of ``documents``, with other columns of any name; the last adds shard and slot. Between stages the rows lie in the
+folder that all machines share (spark.checkpoint.dir), so a lost executor costs the tasks of one stage only;
+a stage's input is removed once its output is written. Defined cases are those of the operators: null and empty texts stay, rows without doc_id stay, repeated rows are one document to
+near-dedup, empty tables pass through.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanworks.llm import decontamination, mixing, near_dedup, sharding, toxicity
-from gleanworks.llm.common import read
+from gleanworks.llm.common import read, remove
 from gleanworks.session import checkpoint_dir
 
+NEAR_PERCENT = 80  # similarity of word shingles from which one of two documents goes
 MIX_SHARE, MIX_EPOCHS = 0.8, 1  # tokens kept of those that came, and how often a row may be given
 
 
@@ -22,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
