@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import shop as sh, vision as vi
 from ..operators import agent as ag, evaluation as ev
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, one_row
 from ..sources import io
 from ..streaming import ingest as ing, stateful as stf
 from . import standins as si
@@ -96,6 +97,39 @@ def ingest_events(spark, folder):
     return out.groupBy(F.when(F.col("status") == 401, F.lit("bad_signature")).otherwise(F.lit("passed")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ingest_sinks", "T1 T2 S15", """WITH w AS (SELECT CASE WHEN event_id % 17 = 0 THEN '' ELSE CAST(event_id // 3 AS VARCHAR) END AS wid, (event_id // 3) % 13 = 0 AS broken, event_id % 19 = 0 AS forged FROM events),
+ g AS (SELECT wid, bool_or(broken) AS broken FROM w WHERE NOT forged AND wid <> '' GROUP BY wid UNION ALL SELECT wid, broken FROM w WHERE NOT forged AND wid = '')
+SELECT 200 AS status, count(*) FILTER (WHERE NOT broken) AS n FROM g UNION ALL SELECT 400, count(*) FILTER (WHERE broken) FROM g UNION ALL SELECT 401, count(*) FROM w WHERE forged""")
+def ingest_sinks(spark, folder):
+    """The two-sink job in several micro-batches: one fails between both sinks and is run again, and one is replayed after its commit. Readers see every batch once."""
+    base = _scratch(spark)
+    body = F.when(F.floor(F.col("event_id") / 3) % 13 == 0, F.lit("not json {")).otherwise(F.col("props"))
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        F.when(F.col("event_id") % 17 == 0, F.lit("")).otherwise(F.floor(F.col("event_id") / 3).cast("string")).alias("webhook_id"), F.lit("ORDERS_CREATE").alias("topic"),
+        F.col("user_id").cast("string").alias("shop"), F.encode(body, "utf-8").alias("body"),
+        F.when(F.col("event_id") % 19 == 0, F.lit("forged")).otherwise(sh.body_signature(F.encode(body, "utf-8"), "secret")).alias("signature"), "ts")
+    events.repartition(3, "webhook_id").write.json(f"{base}/in")
+    stream = lambda: ing.event_source(spark, f"{base}/in", per_trigger=1)
+    failed = []
+
+    def once(batch_id):
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("lost between both sinks")
+
+    try:
+        ing.ingest_events(stream(), "secret", f"{base}/out", f"{base}/checkpoint", ttl="4000 days", between=once).awaitTermination()
+    except StreamingQueryException:
+        pass
+    ing.ingest_events(stream(), "secret", f"{base}/out", f"{base}/checkpoint", ttl="4000 days", between=once).awaitTermination()
+    # batch 0 once more, as after a crash before the stream's own checkpoint: its new attempt takes the place of the old one
+    for sink in ing.SINKS:
+        spark.read.parquet(f"{base}/out/{sink}/batch=0").drop("attempt").write.parquet(f"{base}/out/{sink}/batch=0/attempt=again")
+    ing.commit_batch(spark, f"{base}/out", 0, "again")
+    seen = ing.committed(spark, f"{base}/out", "accepted").select("status").unionByName(ing.committed(spark, f"{base}/out", "quarantine").select("status"))
+    return seen.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("trace_rollup_stream", "T9", _S + """ SELECT date_trunc('hour', ts) AS window_start, count(*) AS n_steps, round(sum(ms), 6) AS total_ms, CAST(sum(out_tokens) AS BIGINT) AS out_tokens, count(*) FILTER (WHERE NOT ok) AS n_failures,
   coalesce(bool_or(action IN ('abort', 'escalate')), false) AS aborted FROM steps GROUP BY 1""")
 def trace_rollup_stream(spark, folder):
@@ -112,6 +146,7 @@ def product_index_sync(spark, folder):
                                             F.col("ts").alias("updated_at"), (F.col("event_type") == "error").alias("deleted"))
     base = _scratch(spark)
     ing.product_index_sync(c, f"{base}/index", f"{base}/checkpoint").awaitTermination()
+    ing.compact_index(spark, f"{base}/index")
     return ing.current_index(spark, f"{base}/index").select("shop", "id", "seq")
 
 
@@ -226,10 +261,22 @@ def traces_round_trip(spark, folder):
     s = si.steps(spark, folder).withColumn("session_id", F.col("session_id").cast("string")).withColumn("idx", F.col("idx").cast("int"))
     base = _scratch(spark)
     io.write_traces(s, f"{base}/traces")
-    back = ag.trace_summary(io.read_traces(spark, f"{base}/traces/*/*.json"))
+    back = ag.trace_summary(io.read_traces(spark, f"{base}/traces"))
     return back.select("session_id", "n_steps", F.round("total_ms", 6).alias("total_ms"), "in_tokens")
 
 
+@query("trace_files", "S9", f"""{_S} SELECT CAST(count(DISTINCT (session_id, date_trunc('day', ts))) AS BIGINT) AS n_sessions, count(*) AS n_steps, 8 AS n_files FROM steps""")
+def trace_files(spark, folder):
+    """Traces of as many sessions as there are users and days, in eight files."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    s = si.steps(spark, folder).withColumns({"session_id": F.concat_ws("/", F.col("session_id").cast("string"), day), "idx": F.col("idx").cast("int")})
+    base = _scratch(spark)
+    io.write_traces(s, f"{base}/traces", files=8)
+    back = io.read_traces(spark, f"{base}/traces").agg(F.countDistinct("session_id").alias("n_sessions"), F.count(F.lit(1)).alias("n_steps"))
+    files = spark.read.text(f"{base}/traces").select(F.col("_metadata.file_path").alias("f")).agg(F.countDistinct("f").cast("int").alias("n_files"))
+    return one_row(back, files)
+
+
 @query("sft_round_trip", "S5 W4", f"""WITH {si.SAMPLES}, r AS (SELECT id, intent, row_number() OVER (PARTITION BY intent, image_type ORDER BY md5('42|' || id), id) AS rn, count(*) OVER (PARTITION BY intent, image_type) AS n FROM samples),
  c AS (SELECT *, CASE WHEN n >= 5 THEN greatest(1, n // 10) ELSE 0 END AS k FROM r) SELECT CASE WHEN rn <= k THEN 'test' WHEN rn <= 2 * k THEN 'val' ELSE 'train' END AS split, intent, count(*) AS n FROM c GROUP BY ALL""")
 def sft_round_trip(spark, folder):

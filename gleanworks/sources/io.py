@@ -89,25 +89,37 @@ def read_train_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Step rows with the session id of their file's header. Footers are ignored; totals are always recomputed."""
+    """Step rows with their session id: the line's own, else that of their file's header. Footers are ignored; totals are always recomputed."""
     raw = spark.read.schema(sc.TRACE_LINE).json(path).withColumn("_file", F.col("_metadata.file_path"))
-    head = raw.filter("type = 'header'").groupBy("_file").agg(F.first("session_id").alias("session_id"), F.first("meta").alias("meta"))
-    steps = raw.filter("type = 'step'").select("_file", F.col("index").alias("idx"), "kind", "name", "ms", "ok", "in_tokens", "out_tokens", "cost",
+    head = raw.filter("type = 'header'")
+    alone = head.groupBy("_file").agg(F.min("session_id").alias("_sid"), F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_file", "_sid")  # files of one session
+    meta = head.groupBy("session_id").agg(F.first("meta").alias("meta"))
+    steps = raw.filter("type = 'step'").select("_file", "session_id", F.col("index").alias("idx"), "kind", "name", "ms", "ok", "in_tokens", "out_tokens", "cost",
                                                F.coalesce("detail", F.create_map().cast("map<string,string>")).alias("detail"), "started_at")
-    return steps.join(head, "_file", "left").withColumn("session_id", F.coalesce("session_id", F.lit("unknown"))).drop("_file")
+    named = steps.join(alone, "_file", "left").withColumn("session_id", F.coalesce("session_id", "_sid")).drop("_file", "_sid")
+    return named.join(meta, "session_id", "left").withColumn("session_id", F.coalesce("session_id", F.lit("unknown")))
 
 
-def write_traces(steps: DataFrame, path: str) -> None:
-    """header, step and footer lines, one directory per session. ``steps``: session_id, idx, kind, name, ms, ok, tokens, cost, detail."""
+TRACE_STEPS = 100_000  # steps of one session that lie in one file
+
+
+def write_traces(steps: DataFrame, path: str, files: int | None = None) -> None:
+    """header, step and footer lines of many sessions a file. ``steps``: session_id, idx, kind, name, ms, ok, tokens, cost, detail.
+
+    Sessions are dealt to ``files`` files (by default as many as a shuffle has) by hash, so the number of files does not follow the number of sessions; a session of more than ``TRACE_STEPS`` steps
+    goes on in others. Every line names its session.
+    """
     none = lambda t: F.lit(None).cast(t)
-    step = steps.select("session_id", F.lit(1).alias("_o"), "idx", F.lit("step").alias("type"), F.col("idx").alias("index"), "kind", "name", "ms", "ok",
+    part = F.floor(F.col("idx") / TRACE_STEPS)
+    step = steps.select("session_id", F.lit(1).alias("_o"), part.alias("_part"), "idx", F.lit("step").alias("type"), F.col("idx").alias("index"), "kind", "name", "ms", "ok",
                         "in_tokens", "out_tokens", "cost", "detail", none("int").alias("n_steps"), none("double").alias("total_ms"), none("double").alias("total_cost"))
-    foot = steps.groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("n_steps"), F.sum("ms").alias("total_ms"), F.sum("cost").cast("double").alias("total_cost"),
-                                           F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens")).withColumn("_o", F.lit(2)).withColumn("type", F.lit("footer"))
-    head = steps.select("session_id").distinct().withColumn("_o", F.lit(0)).withColumn("type", F.lit("header"))
+    foot = steps.groupBy("session_id").agg(F.max(part).alias("_part"), F.count(F.lit(1)).cast("int").alias("n_steps"), F.sum("ms").alias("total_ms"), F.sum("cost").cast("double").alias("total_cost"),
+                                           F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens")).withColumns({"_o": F.lit(2), "type": F.lit("footer")})
+    head = steps.groupBy("session_id").agg(F.min(part).alias("_part")).withColumns({"_o": F.lit(0), "type": F.lit("header")})
     rows = step.unionByName(foot, allowMissingColumns=True).unionByName(head, allowMissingColumns=True)
-    out = rows.repartition("session_id").sortWithinPartitions("session_id", "_o", "idx").withColumn("session", F.col("session_id"))
-    out.drop("_o", "idx").write.mode("overwrite").partitionBy("session").json(path)
+    keys = [F.col("session_id"), F.col("_part")]
+    dealt = rows.repartition(files, *keys) if files else rows.repartition(*keys)
+    dealt.sortWithinPartitions("session_id", "_part", "_o", "idx").drop("_o", "_part", "idx").write.mode("overwrite").json(path)
 
 
 def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict[str, str] | None = None) -> DataFrame:

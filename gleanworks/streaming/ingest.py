@@ -1,11 +1,12 @@
 """Webhook ingestion, routing, index maintenance, redaction and roll-ups as Structured Streaming jobs.
 
-Sinks write one folder per micro-batch in overwrite mode, so a replayed batch replaces itself: together with the checkpoint
+Sinks write one folder per micro-batch, so a replayed batch replaces itself; where a batch has several sinks, a manifest entry written last says which attempt counts. Together with the checkpoint
 every delivery takes effect once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -48,12 +49,35 @@ def classify(events: DataFrame, secret: str, ttl: str = "2 days") -> DataFrame:
     return out.withColumn("topic", sh.normalize_topic(F.col("topic"))).drop("_ok", "body", "signature")
 
 
-def ingest_events(events: DataFrame, secret: str, out: str, checkpoint: str, ttl: str = "2 days", trigger: dict | None = None) -> StreamingQuery:
-    """Accepted events to ``out/accepted``, the rest with its status to ``out/quarantine``."""
+SINKS = ("accepted", "quarantine")
+
+
+def commit_batch(spark: SparkSession, out: str, batch_id: int, attempt: str) -> None:
+    """The manifest entry of a batch: which attempt's files count. Written last; a replay replaces it."""
+    entry = spark.range(1, numPartitions=1).select(F.lit(attempt).alias("attempt"))
+    entry.write.mode("overwrite").parquet(f"{out}/commits/batch={batch_id}")
+
+
+def committed(spark: SparkSession, out: str, sink: str) -> DataFrame:
+    """Rows of a sink whose batch has been committed, of the attempt that was: what an interrupted or replayed batch left behind is not seen."""
+    commits = spark.read.schema("attempt string, batch long").parquet(f"{out}/commits")
+    return spark.read.parquet(f"{out}/{sink}").join(commits, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
+
+
+def ingest_events(events: DataFrame, secret: str, out: str, checkpoint: str, ttl: str = "2 days", trigger: dict | None = None,
+                  between: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Accepted events to ``out/accepted``, the rest with its status to ``out/quarantine``; ``committed`` reads either.
+
+    Both sinks of a batch are written to folders of this attempt, then one manifest entry makes them visible together. ``between`` is called with the batch's number after the first sink.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
+        attempt = uuid.uuid4().hex
         batch = cut_lineage(batch)
-        batch.filter("status = 200").write.mode("overwrite").parquet(f"{out}/accepted/batch={batch_id}")
-        batch.filter("status <> 200").write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        batch.filter("status = 200").write.parquet(f"{out}/accepted/batch={batch_id}/attempt={attempt}")
+        if between:
+            between(batch_id)
+        batch.filter("status <> 200").write.parquet(f"{out}/quarantine/batch={batch_id}/attempt={attempt}")
+        commit_batch(batch.sparkSession, out, batch_id, attempt)
 
     return (classify(events, secret, ttl).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -120,13 +144,42 @@ def product_index_sync(changes: DataFrame, out: str, checkpoint: str, encode: Ca
     return changes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _index_rows(spark: SparkSession, out: str, last: int | None = None) -> DataFrame:
+    """The compacted table that the pointer names, if there is one, and the deltas after it (up to batch ``last``)."""
+    base, upto = index_pointer(spark, out)
+    deltas = spark.read.option("mergeSchema", "true").option("basePath", out).parquet(f"{out}/batch=*").filter(F.col("batch") > upto)
+    if last is not None:
+        deltas = deltas.filter(F.col("batch") <= last)
+    deltas = deltas.drop("batch")
+    return deltas if base is None else spark.read.parquet(f"{out}/{base}").unionByName(deltas, allowMissingColumns=True)
+
+
 def current_index(spark: SparkSession, out: str) -> DataFrame:
-    return latest_products(spark.read.option("mergeSchema", "true").parquet(out)).drop("batch")
+    """Newest state of every product."""
+    return latest_products(_index_rows(spark, out))
+
 
+def index_pointer(spark: SparkSession, out: str) -> tuple[str | None, int]:
+    """(folder of the compacted table, last batch in it): the pointer with the highest number that was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/pointers")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None, -1
+    top = spark.read.schema("base string, upto long").parquet(f"{out}/pointers").orderBy(F.col("upto").desc()).first()
+    return (top["base"], top["upto"]) if top else (None, -1)
 
-def compact_index(spark: SparkSession, out: str, target: str) -> None:
-    """Fold all deltas into one table; run it now and then and switch readers to the result."""
-    current_index(spark, out).withColumn("deleted", F.lit(False)).write.mode("overwrite").partitionBy("shop").parquet(target)
+
+def compact_index(spark: SparkSession, out: str) -> None:
+    """Fold all deltas so far into one table under a new name, then switch the pointer: readers see the old tables or the new one, never a half of it.
+
+    Deleted products stay as tombstones, so that an older change that comes late does not bring them back.
+    """
+    last = spark.read.option("basePath", out).parquet(f"{out}/batch=*").agg(F.max("batch")).first()[0]
+    if last is None or last <= index_pointer(spark, out)[1]:
+        return
+    name = f"base-{last}-{uuid.uuid4().hex}"
+    index_delta(_index_rows(spark, out, last)).write.partitionBy("shop").parquet(f"{out}/{name}")
+    pointer = spark.range(1, numPartitions=1).select(F.lit(name).alias("base"), F.lit(last).cast("long").alias("upto"))
+    pointer.write.mode("append").parquet(f"{out}/pointers")
 
 
 # ---- privacy requests ----
