@@ -7,9 +7,9 @@ import uuid
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from .. import lexicons as lx
+from .. import lexicons as lx, schemas as sc
 from ..functions import shop as sh, vision as vi
-from ..operators import agent as ag, evaluation as ev
+from ..operators import agent as ag, evaluation as ev, preferences as pr
 from ..session import checkpoint_dir, cut_lineage, one_row
 from ..sources import io
 from ..streaming import ingest as ing, stateful as stf
@@ -265,6 +265,64 @@ def traces_round_trip(spark, folder):
     return back.select("session_id", "n_steps", F.round("total_ms", 6).alias("total_ms"), "in_tokens")
 
 
+@query("samples_malformed", "S1 S2", f"WITH {si.SAMPLES} SELECT count(*) FILTER (WHERE seq % 7 <> 0) AS n_ok, count(*) FILTER (WHERE seq % 7 = 0) AS n_malformed FROM samples")
+def samples_malformed(spark, folder):
+    """Lines of which every seventh is cut off, blank lines between them."""
+    line = F.to_json(F.struct("id", "image_path", "image_type", "intent", "difficulty", "messages"))
+    s = si.samples(spark, folder)
+    torn = F.when(s.seq % 7 == 0, F.substring(line, 1, 25)).otherwise(line)
+    base = _scratch(spark)
+    s.select(F.explode(F.array(torn, F.lit("  "))).alias("value")).write.text(f"{base}/samples")
+    return io.count_malformed(io.require_nonempty(io.read_samples(spark, f"{base}/samples")))
+
+
+@query("suite_sources", "S7", "SELECT item_id, text, 'data' AS suite_source FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, text, 'fixture' FROM benchmark WHERE item_id % 2 = 1")
+def suite_sources(spark, folder):
+    """One suite that lies in a folder and one that does not, with the given items as its tagged fallback."""
+    b = table(spark, folder, "benchmark").select("item_id", "text")
+    base = _scratch(spark)
+    b.filter("item_id % 2 = 0").write.json(f"{base}/here")
+    nothing = b.filter("item_id % 2 = 1")
+    return io.read_suite(spark, f"{base}/here", b.limit(0)).unionByName(io.read_suite(spark, f"{base}/not_here", nothing))
+
+
+@query("pair_files", "S10", f"""WITH {si.DIALOGUES}, p AS (SELECT trim(user_text) AS r, trim(reply_text) AS c FROM dialogues)
+SELECT 'dialogue' AS file, count(*) FILTER (WHERE r <> '' AND c <> '' AND r <> c) AS n, false AS missing FROM p UNION ALL SELECT 'nowhere', 0, true""")
+def pair_files(spark, folder):
+    """Pairs from a file with broken lines and from one that does not exist, which is skipped and counted."""
+    d = si.dialogues(spark, folder)
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("user_text").alias("rejected"), F.col("reply_text").alias("chosen")))
+    base = _scratch(spark)
+    d.select(F.explode(F.array(line, F.lit("{broken"))).alias("value")).write.text(f"{base}/pairs")
+    parts, missing = io.read_pairs(spark, {"dialogue": f"{base}/pairs", "nowhere": f"{base}/nowhere"})
+    n = pr.pair_counts(pr.union_pairs(parts)).groupBy("file").agg(F.sum("n").alias("n")).withColumn("missing", F.lit(False))
+    gone = spark.createDataFrame([(m, 0, True) for m in missing], "file string, n long, missing boolean")
+    return n.unionByName(gone)
+
+
+@query("warehouse_tables", "S16", """SELECT 'audit_log' AS name, count(*) AS n, count(DISTINCT user_id % 9) AS n_shops FROM events UNION ALL
+SELECT 'tickets', count(*), count(DISTINCT conv_id % 4) FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def warehouse_tables(spark, folder):
+    """Operational tables written and read back by their declared schemas."""
+    base = _scratch(spark)
+    none = lambda t: F.lit(None).cast(t)
+    e, c = table(spark, folder, "events"), table(spark, folder, "conversations").select("conv_id").distinct()
+    made = {
+        "audit_log": e.select(F.col("event_id").cast("bigint").alias("id"), (F.col("user_id") % 9).cast("int").alias("shop_id"), F.lit("system").alias("actor"), F.col("event_type").alias("action"),
+                              F.col("props").alias("details"), F.col("ts").cast("timestamp").alias("created_at")),
+        "tickets": c.select(F.col("conv_id").cast("bigint").alias("id"), (F.col("conv_id") % 4).cast("int").alias("shop_id"), F.col("conv_id").cast("string").alias("session_id"), F.lit("handover").alias("reason"),
+                            F.lit("open").alias("status"), none("string").alias("assigned_to"), none("timestamp").alias("created_at"), none("timestamp").alias("resolved_at")),
+    }
+    counts = []
+    for name, df in made.items():
+        df.write.parquet(f"{base}/{name}")
+        back = io.read_table(spark, name, f"{base}/{name}")
+        if back.schema != sc.warehouse_schemas()[name]:
+            raise ValueError(f"{name} has not its declared schema")
+        counts.append(back.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.countDistinct("shop_id").alias("n_shops")))
+    return counts[0].unionByName(counts[1])
+
+
 @query("trace_files", "S9", f"""{_S} SELECT CAST(count(DISTINCT (session_id, date_trunc('day', ts))) AS BIGINT) AS n_sessions, count(*) AS n_steps, 8 AS n_files FROM steps""")
 def trace_files(spark, folder):
     """Traces of as many sessions as there are users and days, in eight files."""

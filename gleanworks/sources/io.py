@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -51,6 +53,22 @@ def require_nonempty(df: DataFrame, what: str = "input") -> DataFrame:
     return df
 
 
+def read_suite(spark: SparkSession, path: str, fallback: DataFrame) -> DataFrame:
+    """A benchmark suite from ``path`` (JSON Lines), or the small built-in ``fallback`` where there is none; ``suite_source`` says which, so that nobody takes the latter's score for a result."""
+    if exists(spark, path):
+        return spark.read.schema(fallback.schema).json(path).withColumn("suite_source", F.lit("data"))
+    return fallback.withColumn("suite_source", F.lit("fixture"))
+
+
+PAIR = "id string, prompt string, query string, chosen string, rejected string, images array<string>, image string, source string, error_type string"
+
+
+def read_pairs(spark: SparkSession, paths: Mapping[str, str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """Preference pairs (JSON Lines) by name, and the names whose path does not exist: those are left out, not an error. Lines that are no JSON have no chosen answer and fall out later."""
+    missing = [name for name, path in paths.items() if not exists(spark, path)]
+    return {name: spark.read.schema(PAIR).json(path) for name, path in paths.items() if name not in missing}, missing
+
+
 def scan_images(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """path, length, modificationTime of image files below ``root``; file contents are only read when asked for."""
     glob = "*.{" + ",".join(s for x in IMAGE_SUFFIXES for s in (x, x.upper())) + "}"
