@@ -203,16 +203,27 @@ def priority_plan(spark, folder):
     return pk.priority_plan(n, sc.intents(spark), sc.image_types(spark))
 
 
-@query("expand_plan", "J9 W6", f"""WITH {_DEALT}, n AS (SELECT intent, image_type, count(*) AS c FROM dealt GROUP BY ALL)
-SELECT intent, image_type, kind, CAST(CASE kind WHEN 'clarify' THEN floor(c * 0.06) WHEN 'escalate' THEN floor(c * 0.04) ELSE c - floor(c * 0.06) - floor(c * 0.04) END AS BIGINT) AS n FROM n, (VALUES ('clarify'), ('escalate'), ('normal')) AS k(kind)
- WHERE image_type <> 'size_chart' AND CASE kind WHEN 'clarify' THEN floor(c * 0.06) WHEN 'escalate' THEN floor(c * 0.04) ELSE 1 END > 0""")
+_TAG = "CAST('0x' || substr(md5('{seed}|' || tag), 1, 8) AS BIGINT)"
+_NAMES, _MOODS = si.sql_list([n for n, _ in lx.PERSONAS]), si.sql_list(lx.EMOTIONS)
+
+
+@query("expand_plan", "J9 W6", f"""WITH {_DEALT}, cells AS (SELECT intent, image_type, count(*) AS c FROM dealt GROUP BY ALL),
+ pool AS (SELECT image_type, p, row_number() OVER (PARTITION BY image_type ORDER BY md5('42|' || image_type || '|' || p), p) - 1 AS idx, count(*) OVER (PARTITION BY image_type) AS size
+   FROM (SELECT DISTINCT image_type, 'img/' || doc_id AS p FROM dealt WHERE image_type <> 'size_chart')),
+ prods AS (SELECT p_name, row_number() OVER (ORDER BY md5('42|' || p_name), p_name) - 1 AS pidx, count(*) OVER () AS n FROM (SELECT DISTINCT p_name FROM part)),
+ long AS (SELECT intent, image_type, c, i, intent || '|' || image_type || '|' || i AS tag FROM (SELECT *, unnest(range(1, c + 1)) AS i FROM cells)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY intent, image_type ORDER BY md5('42|' || tag)) AS rn FROM long)
+SELECT r.intent, r.image_type, CAST(i AS INTEGER) AS i, CASE WHEN rn <= floor(c * 0.06) THEN 'clarify' WHEN rn <= floor(c * 0.06) + floor(c * 0.04) THEN 'escalate' ELSE 'normal' END AS kind, pool.p AS image_path, p_name AS product,
+  ({_NAMES})[{_TAG.format(seed=45)} % len({_NAMES}) + 1] AS persona, ({_MOODS})[{_TAG.format(seed=46)} % len({_MOODS}) + 1] AS emotion
+FROM r JOIN (SELECT DISTINCT image_type, size FROM pool) z ON z.image_type = r.image_type JOIN pool ON pool.image_type = r.image_type AND pool.idx = {_TAG.format(seed=43)} % z.size
+JOIN prods ON prods.pidx = {_TAG.format(seed=44)} % prods.n""")
 def expand_plan(spark, folder):
+    """Every row with its kind and picks."""
     d = _dealt(spark, folder)
     plan = d.groupBy("intent", "image_type").agg(F.count(F.lit(1)).cast("int").alias("count"))
     images = d.filter("image_type <> 'size_chart'").select("image_type", F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("image_path"))
     products = table(spark, folder, "part").select(F.col("p_name").alias("product"))
-    rows, _ = pk.expand_plan(plan, images, products)
-    return rows.groupBy("intent", "image_type", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return pk.expand_plan(plan, images, products)[0]
 
 
 @query("resume_anti", "J7", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -320,14 +331,19 @@ def pair_stats(spark, folder):
     return pr.pair_stats(_pairs(spark, folder)).withColumn("chosen_longer", F.round("chosen_longer", 6))
 
 
-@query("contrastive_pairs", "J13", f"""WITH {si.SAMPLES} SELECT id, image_type AS own_type, true AS other_type_differs, true AS image_of_other_type FROM samples WHERE image_path IS NOT NULL AND reply_text IS NOT NULL""")
+_PICK = "CAST('0x' || substr(md5('{seed}|' || id), 1, 8) AS BIGINT)"
+
+
+@query("contrastive_pairs", "J13", f"""WITH {si.SAMPLES}, u AS (SELECT seq, id, image_type, image_path || '#' || id AS p, reply_text FROM samples WHERE image_path IS NOT NULL),
+ pool AS (SELECT image_type, p, row_number() OVER (PARTITION BY image_type ORDER BY md5('42|' || image_type || '|' || p), p) - 1 AS idx, count(*) OVER (PARTITION BY image_type) AS size FROM (SELECT DISTINCT image_type, p FROM u)),
+ types AS (SELECT image_type, row_number() OVER (ORDER BY image_type) - 1 AS t, any_value(size) AS size FROM pool GROUP BY image_type), nt AS (SELECT count(*) AS k FROM types),
+ r AS (SELECT u.id, u.image_type, (own.t + 1 + {_PICK.format(seed=43)} % greatest(k - 1, 1)) % k AS t FROM u JOIN types own USING (image_type), nt WHERE reply_text IS NOT NULL AND k >= 2)
+SELECT id, r.image_type AS own_type, o.image_type AS other_type, pool.p AS rejected_image FROM r JOIN types o ON o.t = r.t JOIN pool ON pool.image_type = o.image_type AND pool.idx = {_PICK.format(seed=44)} % o.size""")
 def contrastive_pairs(spark, folder):
-    """Checked by its invariants: which rows get a pair, and that the rejected image belongs to another type."""
-    s = si.samples(spark, folder, messages=False).withColumn("image_path", F.when(F.col("image_path").isNotNull(), F.concat_ws("#", "image_path", "image_type", "id")))
+    """The picks themselves: which image of which other type stands against a row's own."""
+    s = si.samples(spark, folder, messages=False).withColumn("image_path", F.when(F.col("image_path").isNotNull(), F.concat_ws("#", "image_path", "id")))
     p = pr.contrastive_pairs(s.select("seq", "id", "image_type", "image_path", F.col("user_text").alias("query"), F.col("reply_text").alias("answer")))
-    got = F.element_at(F.split(F.get("rejected_images", F.lit(0)), "#"), 2)
-    return p.select(F.regexp_replace("id", "contrast_", "").alias("id"), F.col("image_type").alias("own_type"), (F.col("other_type") != F.col("image_type")).alias("other_type_differs"),
-                    (got == F.col("other_type")).alias("image_of_other_type"))
+    return p.select(F.regexp_replace("id", "contrast_", "").alias("id"), F.col("image_type").alias("own_type"), "other_type", F.get("rejected_images", F.lit(0)).alias("rejected_image"))
 
 
 _LOGPS = "logps AS (SELECT l_returnflag AS g, l_extendedprice / -1000 AS pc, l_quantity * -1.5 AS pr, l_extendedprice / -1100 AS rc, l_quantity * -1.4 AS rr FROM lineitem)"
