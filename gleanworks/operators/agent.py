@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import lexicons as lx
 from ..functions import text as tx
-from ..ordering import exact_quantiles, rank_in_groups, running_sums, top_per_group, with_halo
-from ..session import one_row
+from ..ordering import exact_quantiles, rank_in_groups, running_sums, time_cuts, top_per_group, with_halo
+from ..session import one_row, cut_lineage
 
 
 
@@ -118,7 +118,7 @@ def top_steps(steps: DataFrame, by: str = "ms", n: int = 3, key: str = "session_
 
 def repeat_actions(calls: DataFrame, threshold: int = 2, window: int = 6, key: str = "session_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """Add ``same`` (equal keys among the previous calls) and ``abort``. ``calls``: session, ts, seq, action_key."""
-    wide = with_halo(calls, [key], [F.col(ts), F.col(seq)], F.to_date(ts), window)
+    wide = with_halo(time_cuts(calls, [key], ts), [key], [F.col(ts), F.col(seq)], F.col("_cut"), window).drop("_cut")
     w = Window.partitionBy(key, "_chunk").orderBy("_rn").rowsBetween(-window, -1)
     seen = wide.withColumn("_prev", F.collect_list("action_key").over(w)).filter(~F.col("_context"))
     same = F.size(F.filter("_prev", lambda k: k == F.col("action_key")))
@@ -131,11 +131,11 @@ def guardrail_replay(steps: DataFrame, limits: Mapping[str, float] = lx.GUARD_LI
     Steps and tool calls are counted inside the turn, cost, tokens and turns inside the session. Tools, cost and tokens
     count what happened *before* the step.
     """
-    order = [F.col("ts"), F.col("seq")]
-    day = F.to_date("ts")
-    in_turn = running_sums(steps, ["session_id", "turn"], order, day, {"steps": F.lit(1), "tools": F.col("is_tool").cast("int")})
+    order, part = [F.col("ts"), F.col("seq")], F.col("_cut")
+    steps = cut_lineage(time_cuts(steps.select("session_id", "turn", "ts", "seq", "is_tool", "cost", "tokens"), ["session_id"], "ts"))  # narrow, read by all passes
+    in_turn = running_sums(steps, ["session_id", "turn"], order, part, {"steps": F.lit(1), "tools": F.col("is_tool").cast("int")})
     in_turn = in_turn.withColumn("new_turn", (F.col("steps") == 1).cast("int"))
-    s = running_sums(in_turn, ["session_id"], order, day, {"cost_sum": F.col("cost"), "token_sum": F.col("tokens"), "turns": F.col("new_turn")})
+    s = running_sums(in_turn, ["session_id"], order, part, {"cost_sum": F.col("cost"), "token_sum": F.col("tokens"), "turns": F.col("new_turn")})
     start = steps.groupBy("session_id", "turn").agg(F.min("ts").alias("turn_start"))
     s = s.join(start, ["session_id", "turn"])
     elapsed = _seconds("ts") - _seconds("turn_start")
@@ -150,9 +150,10 @@ def guardrail_replay(steps: DataFrame, limits: Mapping[str, float] = lx.GUARD_LI
 
 def agent_loop_guards(steps: DataFrame, limits: Mapping[str, int] = lx.LOOP_LIMITS) -> DataFrame:
     """Audit of logged loops: verdict per step. ``steps``: session_id, turn, ts, seq, signature, tokens."""
-    order, day = [F.col("ts"), F.col("seq")], F.to_date("ts")
-    s = running_sums(steps, ["session_id", "turn"], order, day, {"n": F.lit(1), "used": F.col("tokens")})
-    s = rank_in_groups(s, ["session_id", "turn", "signature"], order, day, "seen")
+    order, part = [F.col("ts"), F.col("seq")], F.col("_cut")
+    steps = cut_lineage(time_cuts(steps.select("session_id", "turn", "ts", "seq", "signature", "tokens"), ["session_id"], "ts"))
+    s = running_sums(steps, ["session_id", "turn"], order, part, {"n": F.lit(1), "used": F.col("tokens")})
+    s = rank_in_groups(s, ["session_id", "turn", "signature"], order, part, "seen")
     verdict = (F.when(F.col("n") > limits["steps"], F.lit("max_steps")).when(F.col("used") - F.col("tokens") > limits["tokens"], F.lit("token_cap"))
                .when(F.col("seen") - 1 >= limits["repeat"], F.lit("repeat")))
     return s.select("session_id", "turn", "ts", "seq", verdict.alias("verdict"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import lexicons as lx
-from ..ordering import first_wins, rank_in_groups, running_sums
+from ..ordering import first_wins, rank_in_groups, running_sums, time_cuts
 from ..session import cut_lineage
 
 PARALLEL_ROUNDS = 2
@@ -52,14 +52,14 @@ def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple]
     still fit, is sorted by shop, period and time and streamed through ``_fold``: one pass for any number of crossings, holding one balance at a time.
     """
     order = [F.col("ts"), F.col("seq")]
-    day = F.to_date("ts")
+    part = F.col("_cut")
     firsts = first_wins(events.withColumn("_o", F.struct("ts", "seq")), ["shop", "period", "key"], "_o").drop("_o")
-    firsts = cut_lineage(firsts)
+    firsts = cut_lineage(time_cuts(firsts, ["shop", "period"], "ts"))
     cap = F.coalesce(F.col("capped_amount"), F.lit(0).cast("decimal(10,4)"))
     j = firsts.join(subs.select("shop", "plan", "subscription_id", "capped_amount"), "shop", "left")
     j = j.withColumn("cap", cap).withColumn("included", _plan_value(F.col("plan"), 1, plans))
     j = j.withColumn("too_big", (F.col("cap") > 0) & (F.col("amount") > F.col("cap")))
-    fits = rank_in_groups(j.filter(~F.col("too_big")), ["shop", "period"], order, day, "r")
+    fits = rank_in_groups(j.filter(~F.col("too_big")), ["shop", "period"], order, part, "r")
     fits = cut_lineage(fits)
     cols = ["seq", "key", "shop", "period", "outcome", "charged"]
     zero = F.lit(0).cast("decimal(12,4)")
@@ -69,13 +69,13 @@ def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple]
         fits.filter("r <= included").withColumn("outcome", F.lit("included")).withColumn("charged", zero).select(*cols),
         fits.filter((F.col("r") > F.col("included")) & ~has_sub).withColumn("outcome", F.lit("no_subscription")).withColumn("charged", zero).select(*cols),
     ]
-    rest = fits.filter((F.col("r") > F.col("included")) & has_sub).select("seq", "key", "shop", "period", "ts", "amount", "cap")
+    rest = fits.filter((F.col("r") > F.col("included")) & has_sub).select("seq", "key", "shop", "period", "ts", "amount", "cap", "_cut")
     done.append(rest.filter("cap = 0").select("seq", "key", "shop", "period", F.lit("charged").alias("outcome"), F.col("amount").cast("decimal(12,4)").alias("charged")))
     todo = cut_lineage(rest.filter("cap > 0"))
     for _ in range(PARALLEL_ROUNDS):  # every round settles at least one event of every open shop; "cap" is what is left of it
         if todo.isEmpty():
             break
-        run = cut_lineage(running_sums(todo, ["shop", "period"], order, day, {"total": F.col("amount")}))
+        run = cut_lineage(running_sums(todo, ["shop", "period"], order, part, {"total": F.col("amount")}))
         cross = run.filter("total > cap").groupBy("shop", "period").agg(F.min(F.struct("ts", "seq")).alias("x"))
         seen = run.join(cross, ["shop", "period"], "left")
         at = F.struct("ts", "seq")
@@ -86,7 +86,7 @@ def usage_ledger(events: DataFrame, subs: DataFrame, plans: Mapping[str, tuple]
         later = seen.filter(~before).join(used, ["shop", "period"], "left").withColumn("left", (F.col("cap") - F.coalesce("used", F.lit(0))).cast("decimal(12,4)"))
         out = (at == F.col("x")) | (F.col("amount") > F.col("left"))
         done.append(later.filter(out).select("seq", "key", "shop", "period", F.lit("capped").alias("outcome"), zero.alias("charged")))
-        todo = cut_lineage(later.filter(~out).select("seq", "key", "shop", "period", "ts", "amount", F.col("left").alias("cap")))
+        todo = cut_lineage(later.filter(~out).select("seq", "key", "shop", "period", "ts", "amount", F.col("left").alias("cap"), "_cut"))
     if not todo.isEmpty():
         cents = todo.select("seq", "key", "shop", "period", "ts", (F.col("amount") * 10_000).cast("long").alias("amount"), (F.col("cap") * 10_000).cast("long").alias("left"))
         sorted_rows = cents.repartition("shop", "period").sortWithinPartitions("shop", "period", "ts", "seq").drop("ts")

@@ -9,9 +9,12 @@ and the two are joined on (group, bucket).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .session import cut_lineage
+
 
 def seeded_key(seed: int, *cols: str | Column) -> Column:
     """Repeatable random order: an md5 hex string, the same after any repartitioning."""
@@ -69,6 +72,27 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bu
     return out.drop("_bucket", *[f"_{p}_{n}" for n in measures for p in ("m", "run", "off")])
 
 
+CUT_ROWS, CUTS = 100_000, 128
+
+
+def time_cuts(df: DataFrame, keys: Sequence[str], ts: str, rows: int = CUT_ROWS, name: str = "_cut") -> DataFrame:
+    """Add a bucket that follows ``ts`` and cuts only groups of more than ``rows`` rows, at quantiles of their own times.
+
+    A hot group falls into up to ``CUTS`` parts of like size, however its rows lie in time; all others are one part. Rows of one moment stay together.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    hot = cut_lineage(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    if hot.isEmpty():
+        return df.withColumn(name, F.lit(0))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    shares = [i / CUTS for i in range(1, CUTS)]
+    edges = df.join(hot, same, "left_semi").groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.array_distinct(F.percentile_approx(at, shares)).alias("_edges"))
+    joined = df.join(cut_lineage(edges), same, "left")
+    cut = F.coalesce(F.size(F.filter("_edges", lambda e: e < at)), F.lit(0))
+    return joined.withColumn(name, cut).drop("_edges", *[f"_k{i}" for i in range(len(keys))])
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rn") -> DataFrame:
     """First ``n`` rows per group. The rank filter lets Spark cut every group to ``n`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from gleanworks import ordering
 from gleanworks.operators import dedup, graph, simjoin, usage
 
 
@@ -141,3 +142,14 @@ def test_chance_candidates_of_many_random_hashes(spark):
     keys = h.select("h", F.explode(simjoin._mask_keys(F.col("h"), masks)).alias("key"))
     pairs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
     assert pairs <= 20 * n
+
+
+def test_a_hot_group_within_one_day_is_cut_into_even_parts(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") < 50_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 400)).alias("shop"), F.col("id").alias("seq"),
+                                      F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * F.col("id") * 13).alias("ts"))
+    cut = ordering.time_cuts(rows, ["shop"], "ts", rows=2000)
+    n = sorted(r["count"] for r in cut.where("shop = 'hot'").groupBy("_cut").count().collect())
+    assert len(n) > 50 and n[-1] <= 2 * n[len(n) // 2]
+    assert cut.where("shop <> 'hot'").select("_cut").distinct().collect() == [(0,)]
+    ranked = ordering.rank_in_groups(cut, ["shop"], [F.col("ts"), F.col("seq")], F.col("_cut"), "rn").where("shop = 'hot'")
+    assert ranked.where("rn <> seq + 1").count() == 0 and ranked.count() == 50_000
