@@ -163,6 +163,15 @@ def _chunk_grams(depth: int):
     return run
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Keys byte by byte, all highest bytes together and so on: those of ascending keys compress well on their way."""
+    return keys.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Grams and probabilities of a chunk side by side, in few rows."""
     def out() -> pa.RecordBatch:
@@ -171,7 +180,7 @@ def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, key, logp = chunk[order], key[order], logp[order]
         first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
         ends = [*first[1:], len(chunk)]
-        cols = [pa.array(chunk[first]), *[pa.array([v[s:e].tobytes() for s, e in zip(first, ends)], pa.binary()) for v in (key, logp)]]
+        cols = [pa.array(chunk[first]), *[pa.array([f(v[s:e]) for s, e in zip(first, ends)], pa.binary()) for f, v in ((planes, key), (np.ndarray.tobytes, logp))]]
         return pa.RecordBatch.from_arrays(cols, ["chunk", "keys", "logps"])
 
     waiting, size = [], 0
@@ -201,7 +210,7 @@ class _Table:
             return (grams * _SPREAD >> self.shift).astype(np.int64)
 
     def _fill(self) -> None:
-        keys = np.frombuffer(b"".join(k for k, _ in self.parts), np.uint64)
+        keys = np.concatenate([np.empty(0, np.uint64), *[from_planes(k) for k, _ in self.parts]])
         logp = np.frombuffer(b"".join(p for _, p in self.parts), np.float64)
         self.parts = []
         bits = max(4, (2 * len(keys)).bit_length())

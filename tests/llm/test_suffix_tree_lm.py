@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gleanworks.llm.suffix_tree_lm import _Table, score
+from gleanworks.llm.suffix_tree_lm import _Table, planes, score
 
 
 def split(t):
@@ -102,7 +102,7 @@ def test_table_finds_every_gram_and_no_other():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64))
     table = _Table(5)
-    table.parts = [(keys[:20_000].tobytes(), np.arange(20_000.0).tobytes()), (keys[20_000:].tobytes(), np.arange(20_000.0, len(keys)).tobytes())]
+    table.parts = [(planes(keys[:20_000]), np.arange(20_000.0).tobytes()), (planes(keys[20_000:]), np.arange(20_000.0, len(keys)).tobytes())]
     table._fill()
     pick = rng.integers(0, len(keys), 100_000)
     assert table.find(keys[pick]).tolist() == pick.astype(float).tolist()
