@@ -35,7 +35,7 @@ BLOCK_WORDS = ("ads", "adult", "bets", "betting", "bingo", "casino", "clickbait"
                "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "track", "tracker", "viagra", "warez", "xxx")
 # Fixed words that often stand beside them.
 NEAR_WORDS = ("cheap", "farm", "free", "win", "best", "online", "shop", "news", "blog", "example", "html", "page", "www", "com", "net", "org")
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 WORD_SHARE, SEED_SHARE, PRIOR = 1e-5, 1e-4, 1.0
 _PART = re.compile(r"[0-9]+|[^\W\d_]+")
 PIECE, LETTER = 12.0, 4.0  # cost of a piece that is no word, and of each of its letters: below any word of the model

@@ -120,3 +120,13 @@ def test_splits_do_not_depend_on_the_size_of_the_table(spark):
         words.append({r.host_words for r in uf.filter_urls(pages).where("page_id < 4").collect()})
     assert counts.where("word = 'zebra'").first().n < uf.WORD_SHARE * counts.agg({"n": "sum"}).first()[0]  # met in the join
     assert words[0] == words[1] == {"zebra farmhouse test"}
+
+
+def test_words_of_the_rules(spark):
+    """Each rule's verdict as the contract lists it, in letters of its own: hosts, subdomains, longest rule first."""
+    want = {"http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://x.example.com/en/70?q": ("example.com/en/7", "allow"),
+            "http://x.example.com/en/8": ("com/en/", "block"), "http://a.net/de/8": ("net/de/", "allow"), "http://casino.example.net/de/9": ("net/de/", "allow"),
+            "http://example.net/de/8": ("example.net/de/8", "block"), "http://x.example.net/de/81#f": ("example.net/de/8", "block"), "http://notexample.net/de/8": ("net/de/", "allow"),
+            "http://b.org/es/": ("org/es/", "block")}
+    got = uf.filter_urls(page_table(spark, list(want))).collect()
+    assert {list(want)[r.page_id]: (r.rule, r.verdict) for r in got} == want
