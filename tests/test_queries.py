@@ -29,3 +29,9 @@ def test_query_equals_sql(spark, name):
 
 def test_every_twin_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
+@pytest.mark.parametrize("name", ("visual_tokens", "visual_token_stats"))
+def test_image_sizes_of_pages(spark, name):
+    test_query_equals_sql(spark, name)
