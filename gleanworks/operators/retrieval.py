@@ -10,45 +10,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..ordering import top_per_group
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import vectors
 
-QUERY_BLOCK = 2048  # queries held by one task
+QUERY_BLOCK = 512  # queries scored against a batch of the index at a time
+HELD_NUMBERS = 4_000_000  # numbers in the query vectors that every task may hold
 
 
 _OUT = "qid long, id long, score double"
 
 
 def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool = False, min_score: float | None = None,
-                 exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+                 exclude_self: bool = False, block: int = QUERY_BLOCK, held: int = HELD_NUMBERS) -> DataFrame:
     """(qid, id, score, rank): cosine top-k of every query over the whole index.
 
-    ``queries``: qid, vec[, category]; ``index``: id, vec[, category]. Up to ``block`` queries (a bounded matrix) travel to the
-    index partitions, which are scanned once; more queries are joined by cells, with far cells skipped (``vectors.nearest``). The rows are the
-    same. A category filter is applied before the cut, so a query always gets its k best of that category.
+    ``queries``: qid, vec[, category]; ``index``: id, vec[, category]. Queries of up to ``held`` numbers (a bounded matrix) travel to the index partitions, which are scanned
+    once, ``block`` queries at a time: a task gives k rows a query, however many rows it reads. More queries are joined by cells, with far cells skipped (``vectors.nearest``).
+    The rows are the same. A category filter is applied before the cut, so a query always gets its k best of that category; no category (null) meets nothing.
     """
     qcols = ["qid", "vec"] + (["category"] if category else [])
     icols = ["id", "vec"] + (["category"] if category else [])
     queries, index = queries.select(*qcols), index.select(*icols)
+    if category:
+        queries, index = queries.filter("category is not null"), index.filter("category is not null")
     kk = k + 1 if exclude_self else k
-    head = queries.limit(block + 1).count()
-
-    def search(qp: pd.DataFrame, ip: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        groups = [(None, qp, ip)] if not category else [(c, g, ip[ip["category"] == c]) for c, g in qp.groupby("category")]
-        for _, qg, ig in groups:
-            if len(qg) and len(ig):
-                ig = ig.sort_values("id")
-                q = vectors.unit(np.stack(qg["vec"].to_list()))
-                yield vectors.best_of(q, qg["qid"].to_numpy(), ig["id"].to_numpy(), q @ vectors.unit(np.stack(ig["vec"].to_list())).T, kk)
-
-    if head <= block:
-        held = queries.toPandas()  # at most ``block`` rows, checked above
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).first()
+    if size["n"] * size["width"] <= held:
+        put = queries.sparkSession.sparkContext.broadcast(queries.toPandas())  # bounded, checked above
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [(None, put.value)] if not category else list(put.value.groupby("category"))
+            best = [(c, vectors.Best(g["qid"].to_numpy()[at:at + block], vectors.unit(np.stack(g["vec"].to_list()[at:at + block])), kk)) for c, g in parts for at in range(0, len(g), block)]
             for ip in batches:
-                yield from search(held, ip)
-
-        local = index.mapInPandas(scan, _OUT)
+                ip = ip.sort_values("id")
+                for c in {c for c, _ in best}:
+                    ig = ip if c is None else ip[ip["category"] == c]
+                    if len(ig):
+                        ids, x = ig["id"].to_numpy(), vectors.unit(np.stack(ig["vec"].to_list()))
+                        for d, b in best:
+                            if d == c:
+                                b.add(ids, x)
+            for _, b in best:
+                yield b.rows()
+
+        local = spread(index).mapInPandas(scan, _OUT)
     else:
         cat = F.col("category") if category else F.lit(0)
         local = vectors.nearest(queries.select("qid", cat.alias("cat"), "vec"), index.select("id", cat.alias("cat"), "vec"), kk).drop("rank")

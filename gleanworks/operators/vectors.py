@@ -113,6 +113,41 @@ def best_of(q: np.ndarray, qids: np.ndarray, ids: np.ndarray, scores: np.ndarray
     return pd.DataFrame({"qid": np.repeat(qids, k), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
 
 
+class Best:
+    """The k best rows of a stream of batches for a block of queries (unit vectors). Its size depends on neither the number of batches nor the copies in them."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int):
+        self.qids, self.q, self.k = qids, q, k
+        self.at, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bar = np.full(len(q), -np.inf)  # k-th score so far
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """``ids`` ascend."""
+        scores = self.q @ x.T
+        reach = scores >= self.bar[:, None] - 1e-11  # scores are compared after rounding to 12 digits
+        n = reach.sum(axis=1)
+        many = n > 4 * self.k + 16  # first batches and groups of copies: cut to k at once
+        few = np.flatnonzero((n > 0) & ~many)
+        r, c = np.nonzero(reach[few])
+        at, found, score = few[r], ids[c], np.round(scores[few[r], c], 12)
+        if many.any():
+            cut = best_of(scores[many], np.flatnonzero(many), ids, scores[many], self.k)
+            at, found, score = (np.concatenate([a, cut[b].to_numpy()]) for a, b in ((at, "qid"), (found, "id"), (score, "score")))
+        if not len(at):
+            return
+        at, found, score = np.concatenate([self.at, at]), np.concatenate([self.ids, found]), np.concatenate([self.scores, score])
+        order = np.lexsort((found, -score, at))
+        at, found, score = at[order], found[order], score[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        held = rank < self.k
+        self.at, self.ids, self.scores = at[held], found[held], score[held]
+        full = rank == self.k - 1
+        self.bar[at[full]] = score[full]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"qid": self.qids[self.at], "id": self.ids, "score": self.scores})
+
+
 def _placed(centres):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -85,3 +85,32 @@ def test_few_rows(spark):
     x = np.random.default_rng(5).normal(size=(3, 5))
     assert pairs(retrieval.ann_topk(table(spark, x, "qid"), table(spark, x), 10)) == brute(x, x, 10)
     assert vectors.nearest(table(spark, x, "qid"), table(spark, x).limit(0), 3).count() == 0
+
+
+def test_scan_gives_k_rows_a_query_and_task(spark):
+    """Batches, blocks and groups of copies change neither the rows nor how many of them leave a task."""
+    rng = np.random.default_rng(7)
+    x = clustered(rng, 900)
+    x[200:600], x[5] = x[0], 0  # copies in many batches, a vector of zeros
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for block in (7, 512):
+            assert pairs(retrieval.topk_similar(table(spark, x[:100], "qid"), table(spark, x), 5, block=block)) == brute(x[:100], x, 5)
+            assert pairs(retrieval.topk_similar(table(spark, x[:100], "qid"), table(spark, x), 5, held=10)) == brute(x[:100], x, 5)  # by cells
+        scores = np.round(vectors.unit(x[:100]) @ vectors.unit(x).T, 12)
+        others = [(i, j) for i in range(100) for j in sorted(set(range(900)) - {i}, key=lambda j: (-scores[i, j], j))[:5]]
+        assert pairs(retrieval.topk_similar(table(spark, x[:100], "qid"), table(spark, x), 5, exclude_self=True)) == sorted(others)
+        best = vectors.Best(np.arange(100), vectors.unit(x[:100]), 5)
+        for at in range(0, 900, 50):
+            best.add(np.arange(at, at + 50), vectors.unit(x[at:at + 50]))
+            assert len(best.rows()) <= 500
+        assert sorted(zip(best.rows()["qid"], best.rows()["id"])) == brute(x[:100], x, 5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_category_meets_nothing(spark):
+    x = np.eye(3)
+    t = lambda ids: table(spark, x, ids, [None, "a", None]).withColumnRenamed("cat", "category")
+    for held in (0, 1000):
+        assert pairs(retrieval.topk_similar(t("qid"), t("id"), 2, category=True, held=held)) == [(1, 1)]
