@@ -28,6 +28,7 @@ BLOCK, QUERY_ROWS = 4096, 1024
 LISTS, RINGS, SAMPLE = 4096, 8, 50_000
 CODE_WIDTH, CODE_ROWS = 4, 10_000
 HELD_RINGS = 1 << 20
+HELD_SCORES = 1 << 20  # numbers in a matrix of distances or bounds
 CLOSE = 1e-9
 _HITS = "qid long, id long, score double"
 
@@ -43,7 +44,9 @@ def cell_count(n: int) -> int:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1)
+    """The nearest centre of each row; distances are held for some rows at a time, so memory does not grow with the number of centres."""
+    square, step = (centres**2).sum(1), max(1, HELD_SCORES // len(centres))
+    return np.concatenate([np.argmin(square - 2 * (x[i:i + step] @ centres.T), axis=1) for i in range(0, max(1, len(x)), step)])
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 42) -> np.ndarray:
@@ -194,8 +197,9 @@ def _planner(centres, rings, low_rows: int, high_rows: int, kind: str):
                 if held is None or not len(g):
                     continue
                 cell, ring, low, high, units, n = held
-                for at in range(0, len(g), 512):
-                    part = g.iloc[at:at + 512]
+                step = max(1, HELD_SCORES // len(cell))
+                for at in range(0, len(g), step):
+                    part = g.iloc[at:at + step]
                     bound = upper_bounds(np.stack(part["vec"].to_list()), centres.value, cell, low, high, units)
                     order = np.argsort(-bound, axis=1, kind="stable")
                     bound = np.take_along_axis(bound, order, 1)

@@ -114,3 +114,26 @@ def test_no_category_meets_nothing(spark):
     t = lambda ids: table(spark, x, ids, [None, "a", None]).withColumnRenamed("cat", "category")
     for held in (0, 1000):
         assert pairs(retrieval.topk_similar(t("qid"), t("id"), 2, category=True, held=held)) == [(1, 1)]
+
+
+def test_memory_does_not_grow_with_cells():
+    """Rows meet thousands of centres, queries thousands of rings, in matrices of a bounded size."""
+    import tracemalloc
+    from types import SimpleNamespace as Held
+
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    x, centres = rng.normal(size=(10_000, 16)), rng.normal(size=(4096, 16))
+    rings = 20_000
+    held = (rng.integers(0, 4096, rings), np.arange(rings) % 8, np.zeros(rings), np.ones(rings), np.ones(rings, bool), np.full(rings, 10))
+    run, _ = vectors._planner(Held(value=centres), Held(value={0: held}), 0, 100, "int")
+    asked = pd.DataFrame({"qid": np.arange(600), "cat": 0, "vec": list(vectors.unit(x[:600])), "bar": np.nan})
+    tracemalloc.start()
+    try:
+        cell = vectors._nearest(x, centres)
+        frames = list(run(iter([asked])))
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+    assert (cell[:50] == np.argmin(((x[:50, None] - centres) ** 2).sum(2), 1)).all() and len(vectors._nearest(x[:0], centres)) == 0
+    assert sum(len(f) for f in frames) == 600 * 10  # the ten best rings of each query hold its first hundred rows
