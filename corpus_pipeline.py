@@ -19,25 +19,35 @@ from gleanworks.session import checkpoint_dir
 
 NEAR_PERCENT = 80  # similarity of word shingles from which one of two documents goes
 MIX_SHARE, MIX_EPOCHS = 0.8, 1  # tokens kept of those that came, and how often a row may be given
+BATCH_ROWS = 1_000  # rows that go to a Python worker at a time: whole texts lie on both sides, beside what earlier stages have left in an executor
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return near_dedup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return mixing.take(docs, MIX_SHARE, MIX_EPOCHS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return sharding.shard(docs)
 
 

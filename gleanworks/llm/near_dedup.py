@@ -31,6 +31,7 @@ from .common import batches, query, read, utf8, words
 WIDTH, PERCENT = 5, 85
 BANDS, ROWS = 32, 6  # ROWS is even: half of a band's values are minima, half are maxima of the same permutations
 STAR_ROUNDS = 2
+WORDS_HELD = 100_000  # words whose hashes a task remembers
 _M = (1 << 64) - 1
 
 
@@ -38,7 +39,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, computed once per word and task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= WORDS_HELD:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

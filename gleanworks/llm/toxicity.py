@@ -40,6 +40,7 @@ CATEGORIES = (*SEEDS, "toxic")
 SAMPLE_ROWS, FOLDS, MIN_DOCS, MIN_Z, THRESHOLD = 20_000, 5, 5, 4.0, 0.5
 RIDGE, STEPS, INNER = 0.1, 30, 60
 PREFIXES = (4, 5, 6, 7)  # bytes
+WORDS_HELD = 100_000  # distinct words that a counting task holds before it passes their counts on
 
 
 def features(text: bytes | None) -> set[bytes]:
@@ -165,7 +166,7 @@ def _word_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, y in zip(by, _labels_of(found, toxic)):
                 if y:
                     c.update(found)
-        if len(seen) > 300_000:
+        if len(seen) > WORDS_HELD:
             yield from out()
     yield from out()
 

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from gleanworks.llm import near_dedup
 
 
 def write(spark, folder, docs, labels, items):
@@ -40,3 +41,22 @@ def test_each_stage_keeps_columns(spark, tmp_path, empty):
         frame = spark.createDataFrame(out.collect(), out.schema)
         assert frame.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert not empty or frame.count() == 0
+
+
+def test_stages_send_small_batches_to_python(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5_000)], "doc_id long, text string").coalesce(1)
+    spark.createDataFrame([("i", "some words of an item")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+        rows = docs.mapInArrow(lambda bs: (b.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+        assert rows.agg({"n": "max"}).first()[0] == corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_word_hashes_stay_bounded():
+    memo = near_dedup._WordHashes()
+    for i in range(2 * near_dedup.WORDS_HELD + 5):
+        memo[b"%d" % i]
+    assert len(memo) <= near_dedup.WORDS_HELD < 500_000
