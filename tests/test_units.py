@@ -155,3 +155,20 @@ def test_sources_guards_and_signatures(spark, tmp_path):
                               sh.valid_query(F.lit(f"state=z&hmac={h}&shop=a.myshopify.com&code=1"), "k").alias("c"), sh.valid_query(F.lit(f"hmac={h}&shop=b"), "k").alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == (True, False, True, False)
     assert lx.PLANS["free"][1] == 50
+
+
+def test_reports_run_the_stages_once(spark):
+    from gleanworks.operators import stages as st
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def reason(i):
+        seen.add(1)
+        return "too long(9)" if i % 2 else None
+
+    df = spark.range(40).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("id"), reason("id").alias("reason")).withColumn("dropped_at", F.when(F.col("reason").isNotNull(), "rules"))
+    labels = spark.range(40).select(F.col("id").cast("string").alias("id"), F.lit("plain").alias("kind"), F.lit("keep").alias("expect"), F.lit(None).cast("string").alias("group"))
+    assert [r.n for r in st.rejection_report(df, F.col("id")).collect()] == [20]
+    once = seen.value
+    assert {(r.check, r.ok, r.bad) for r in st.reconcile(df, labels, ("plain",)).collect()} == {("rows", 20, 20), ("groups", 0, 0), ("must_keep", 20, 20)}
+    assert once <= 80 and seen.value - once <= 80
