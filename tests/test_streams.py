@@ -66,6 +66,43 @@ def test_usage_is_charged_in_order_over_shuffled_batches(spark, tmp_path):
     assert got == want
 
 
+def test_usage_meter_asks_the_state_a_fixed_number_of_times():
+    """Calls to the state are trips to the JVM: their number must not grow with the rows of a shop."""
+    class State:
+        def __init__(self):
+            self.held, self.calls = [], 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name in ("update", "appendList", "put"):
+                    self.held = [*self.held, *args[0]] if name == "appendList" else args[0]
+                return {"exists": bool(self.held), "get": self.held}.get(name)
+
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.states = []
+
+        def make(self, *_):
+            self.states.append(State())
+            return self.states[-1]
+
+        getListState = getValueState = getMapState = make
+
+    def row(i, key):
+        return dict(us=i, seq=i, key=key, amount="1", included=40, subscription_id="", cap="0")
+
+    handle, meter = Handle(), stf.UsageMeter(None)
+    meter.init(handle)
+    first = meter.take(("s", "p"), [row(i, f"k{i // 2}") for i in range(100)])
+    again = meter.take(("s", "p"), [row(100 + i, f"k{i}") for i in range(50)])
+    assert [r[3] for r in first] == (["included", "duplicate"] * 40 + ["no_subscription"] * 20)
+    assert [r[3] for r in again] == ["duplicate"] * 40 + ["no_subscription"] * 10
+    assert sum(s.calls for s in handle.states) <= 12 and len(handle.states[-1].held) <= 2
+
+
 def test_guard_trips_at_the_same_step_over_shuffled_batches(spark, tmp_path):
     rng = random.Random(2)
     limits = {"steps": 6, "tools": 3, "wall_s": 900, "cost": 2.0, "tokens": 900, "turns": 4, "repeat": 3}
