@@ -1,6 +1,7 @@
 """Rules, stages, splits, rewards and sources on the published small cases."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,26 @@ def test_answer_probes_order_as_published(spark):
     assert ev.lint_templates(t).count() == 0
 
 
+def test_oracle_failures_look_for_one_word_first(spark):
+    """A passing row with thousands of words to look for costs no more than its length; failing rows are still judged in full."""
+    rows = [(1, 20_000, None), (2, 20_000, None), (3, 4, "w100002")]
+    t = spark.createDataFrame(rows, "id long, n int, bad string").select(
+        "id", F.transform(F.sequence(F.lit(100_000), F.lit(99_999) + F.col("n")), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("must_contain"),
+        F.array(F.coalesce(F.substring("bad", 1, 6), F.lit("zzz"))).alias("must_not_contain"), F.lit(False).alias("should_refuse"), F.lit(None).cast("string").alias("expected_intent")).cache()
+    t.count()
+
+    def timed(df):
+        start = time.perf_counter()
+        return df.collect(), time.perf_counter() - start
+
+    full = ev.judge_answers(t.withColumn("model_answer", F.array_join("must_contain", "、"))).select("rule.passed")
+    timed(full), timed(ev.oracle_failures(t, "no").select("id"))
+    assert timed(ev.oracle_failures(t, "no").select("id"))[1] < timed(full)[1] / 2
+    bad = ev.oracle_failures(t, "no").collect()
+    assert [r.id for r in bad] == [3] and len(bad[0].must_contain) == 4
+    assert bad[0].rule.checks["must_contain"].passed and not bad[0].rule.checks["must_not_contain"].passed
+
+
 def test_json_extraction_and_rewards(spark):
     cases = ['{"action": "a"}', 'x ```json\n{"action": "b", "k": 1}\n``` y', 'so {bad {"action": "c"} end', "no json", "{unclosed"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
