@@ -15,6 +15,7 @@ from . import vectors
 
 QUERY_BLOCK = 512  # queries scored against a batch of the index at a time
 HELD_NUMBERS = 4_000_000  # numbers in the query vectors that every task may hold
+FEW_CATEGORIES = 64
 
 
 _OUT = "qid long, id long, score double"
@@ -25,8 +26,8 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool =
     """(qid, id, score, rank): cosine top-k of every query over the whole index.
 
     ``queries``: qid, vec[, category]; ``index``: id, vec[, category]. Queries of up to ``held`` numbers (a bounded matrix) travel to the index partitions, which are scanned
-    once, ``block`` queries at a time: a task gives k rows a query, however many rows it reads. More queries are joined by cells, with far cells skipped (``vectors.nearest``).
-    The rows are the same. A category filter is applied before the cut, so a query always gets its k best of that category; no category (null) meets nothing.
+    once, ``block`` queries at a time: a task gives k rows a query, however many rows it reads. More queries meet the index in blocks (``vectors.all_scores``); in more than ``FEW_CATEGORIES``
+    categories they are joined by cells (``vectors.nearest``). The rows are the same. A category filter is applied before the cut, so a query always gets its k best of that category; no category (null) meets nothing.
     """
     qcols = ["qid", "vec"] + (["category"] if category else [])
     icols = ["id", "vec"] + (["category"] if category else [])
@@ -56,7 +57,9 @@ def topk_similar(queries: DataFrame, index: DataFrame, k: int, category: bool =
         local = spread(index).mapInPandas(scan, _OUT)
     else:
         cat = F.col("category") if category else F.lit(0)
-        local = vectors.nearest(queries.select("qid", cat.alias("cat"), "vec"), index.select("id", cat.alias("cat"), "vec"), kk).drop("rank")
+        q, i = queries.select("qid", cat.alias("cat"), "vec"), index.select("id", cat.alias("cat"), "vec")
+        many = category and index.select("category").distinct().limit(FEW_CATEGORIES + 1).count() > FEW_CATEGORIES
+        local = vectors.nearest(q, i, kk).drop("rank") if many else vectors.all_scores(q, i, kk)
     if exclude_self:
         local = local.filter("qid <> id")
     ranked = top_per_group(local, ["qid"], [F.col("score").desc(), F.col("id")], k, "rank")

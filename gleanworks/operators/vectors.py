@@ -19,15 +19,17 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..ordering import top_per_group
-from ..session import cut_lineage
+from ..session import cut_lineage, small_batches, spread
 
 BLOCK, QUERY_ROWS = 4096, 1024
 LISTS, RINGS, SAMPLE = 4096, 8, 50_000
 CODE_WIDTH, CODE_ROWS = 4, 10_000
 HELD_RINGS = 1 << 20
+HELD_BYTES, TILE_BATCH = 64 << 20, 8  # bytes of the index that a task of the product holds, and pairs of blocks that lie in memory
 HELD_SCORES = 1 << 20  # numbers in a matrix of distances or bounds
 CLOSE = 1e-9
 _HITS = "qid long, id long, score double"
@@ -188,6 +190,62 @@ def pack(index: DataFrame, centres, block: int, codes=None) -> tuple[DataFrame,
     return cut_lineage(rows.groupBy("cat", "cell", "ring", "sub").applyInPandas(packed, schema)), rings
 
 
+def _in_blocks(rows: int):
+    """Rows (id, cat, vec) as (cat, ids, body) with the unit vectors of at most ``rows`` of them, by ascending ids."""
+    def block(cat, held: list[pd.DataFrame]) -> dict:
+        f = pd.concat(held).sort_values("id")
+        return {"cat": cat, "ids": f["id"].to_numpy(np.int64).tobytes(), "body": unit(np.stack(f["vec"].to_list())).tobytes()}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, list[pd.DataFrame]] = {}
+        for f in frames:
+            for cat, g in f.groupby("cat"):
+                for at in range(0, len(g), rows):
+                    part = g.iloc[at:at + rows]
+                    if sum(map(len, held.get(cat, []))) + len(part) > rows:
+                        yield pd.DataFrame([block(cat, held.pop(cat))])
+                    held.setdefault(cat, []).append(part)
+        if held:
+            yield pd.DataFrame([block(c, h) for c, h in held.items()])
+
+    return run
+
+
+def all_scores(queries: DataFrame, index: DataFrame, k: int, query_rows: int = QUERY_ROWS, rows: int = BLOCK, held: int = HELD_BYTES) -> DataFrame:
+    """(qid, id, score): the k best of a share of ``index`` (id, cat, vec) for each of ``queries`` (qid, cat, vec), scored against all of its category (not null).
+
+    Blocks of queries meet blocks of the index in a Cartesian product, which shuffles neither and keeps ``held`` bytes of the index in a task; there a query keeps its k best over all blocks. So there are
+    queries x k rows for each share of ``held`` bytes, while scores are queries x rows by nature.
+    """
+    spark = index.sparkSession
+    kind = index.schema["cat"].dataType.simpleString()
+    schema = f"cat {kind}, ids binary, body binary"
+    with small_batches(spark, 4 * rows):
+        q = cut_lineage(spread(queries.select(F.col("qid").alias("id"), "cat", "vec")).mapInPandas(_in_blocks(query_rows), schema))
+        i = cut_lineage(spread(index.select("id", "cat", "vec")).mapInPandas(_in_blocks(rows), schema))
+    size = i.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    q = q.repartition(spark.sparkContext.defaultParallelism * 4).select(F.col("cat").alias("qcat"), F.col("ids").alias("qids"), F.col("body").alias("q"))
+    i = i.repartition(max(1, -(-size // held)))
+
+    def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        for f in frames:
+            for qids, q, ids, body in zip(*(f.column(c) for c in ("qids", "q", "ids", "body"))):
+                if now != (qids := qids.as_py()):  # a block of queries meets all blocks of the share before the next one comes
+                    if best is not None:
+                        yield pa.RecordBatch.from_pandas(best.rows())
+                    now, qid = qids, np.frombuffer(qids, np.int64)
+                    best = Best(qid, np.frombuffer(q.as_py(), np.float64).reshape(len(qid), -1), k)
+                ids = np.frombuffer(ids.as_py(), np.int64)
+                best.add(ids, np.frombuffer(body.as_py(), np.float64).reshape(len(ids), -1))
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best.rows())
+
+    with small_batches(spark, TILE_BATCH):
+        tiles = q.join(i.hint("shuffle_replicate_nl"), F.col("qcat") == F.col("cat")).select("qids", "q", "ids", "body")
+        return cut_lineage(tiles.mapInArrow(score, _HITS))
+
+
 def _planner(centres, rings, low_rows: int, high_rows: int, kind: str):
     """Rings of each query's order that begin at its rows ``low_rows`` to ``high_rows`` and whose bound reaches its bar; ``more`` marks that others follow."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
